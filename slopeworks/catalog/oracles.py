@@ -346,6 +346,14 @@ def _sparse_gradient() -> str:
       FROM range({BUCKETS}) AS r(j) LEFT JOIN gr ON gr.j = r.j, tot"""
 
 
+def _join_gradient() -> str:
+    return f"""
+      WITH en AS MATERIALIZED ({document_entries()}),
+      rows AS MATERIALIZED (
+        SELECT k, {multiplier("logistic")} AS p FROM (SELECT k, y, sum(x * {_PATTERN}) AS m FROM en GROUP BY k, y))
+      SELECT j AS idx, count(*) AS n_entries, {rnd("sum(x * p)")} AS grad_sum FROM en JOIN rows USING (k) GROUP BY j"""
+
+
 def _loss_validation() -> str:
     one = lambda loss: f"""
       SELECT count(*) FILTER (NOT held) AS n, count(*) FILTER (held) AS n_val, '{loss}' AS loss,
@@ -509,6 +517,7 @@ def all_oracles() -> dict[str, str]:
         "grad_hinge": _gradient_sql("hinge"),
         "grad_logistic_dense64": _dense64_gradient(),
         "grad_logistic_sparse": _sparse_gradient(),
+        "grad_logistic_join": _join_gradient(),
         "loss_validation": _loss_validation(),
         "reg_value": _reg_value(),
         "ctl_convergence": _convergence(),
@@ -574,4 +583,5 @@ def all_oracles() -> dict[str, str]:
     found |= {name: training_sql(changes) for name, changes in q.training_cases().items()}
     found["train_lr_dense64"] = training_sql({"updater": "adam"}, width=64, data=EMBEDDINGS)
     found["train_lr_sparse"] = sparse_training_sql(0.01)
+    found["train_lr_sparse_join"] = sparse_training_sql(0.01)
     return found

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from slopeworks.catalog.tables import BUCKETS, document_set, embedding_set, lineitem_set, read
 from slopeworks.config import L1, L2, SgdConfig
 from slopeworks.functions.updates import UPDATER_NAMES
-from slopeworks.operators import control, evaluate, features, history, sampling, update
+from slopeworks.operators import control, evaluate, features, history, joined, sampling, update
 from slopeworks.operators.gradient import batch_sums, column_sums, prepare
 from slopeworks.plans.fit import FitResult, fit, history_table
 from slopeworks.plans.model import LinearModel
@@ -170,6 +170,16 @@ def grad_logistic_sparse(spark, folder):
     return _gradient_table(spark, sums)
 
 
+def grad_logistic_join(spark, folder):
+    """The sparse gradient with the weights kept as a table."""
+    rows = joined.identified(document_set(spark, folder))
+    pattern = ((F.col("id") % 7 - 3) / 10.0).alias("w")
+    params = spark.range(BUCKETS).select(F.col("id").cast("int").alias("idx"), pattern)
+    margins = joined.table_margins(rows, params, [F.col("w")], joined.hot_indices(rows))
+    found = joined.table_gradient(rows, margins, ["logistic"], [0.0])
+    return found.filter("idx >= 0").select("idx", F.col("n").alias("n_entries"), rounded(F.col("g_0")).alias("grad_sum"))
+
+
 def loss_validation(spark, folder):
     sums = _point_sums(spark, folder, ["logistic", "hinge"], POINT_BIAS, iteration=2, split=SPLIT)
     parts = [
@@ -462,7 +472,7 @@ def all_queries() -> dict[str, Query]:
     plain = [
         src_training_set, src_libsvm, feat_append_bias, feat_std_scale, feat_std_scale_sparse,
         feat_unscale_weights, val_binary_label, val_feature_width, sample_minibatch, split_validation,
-        grad_logistic_dense64, grad_logistic_sparse, loss_validation, reg_value, ctl_convergence,
+        grad_logistic_dense64, grad_logistic_sparse, grad_logistic_join, loss_validation, reg_value, ctl_convergence,
         ctl_early_stop, history_last10, predict_lr, predict_svm, predict_dense64, predict_sparse,
         eval_accuracy, eval_confusion, eval_majority, sweep_grid, sweep_best_rate, sweep_curves,
         sweep_best_curves, parse_run_log_runs, log_best_rate,
@@ -479,6 +489,9 @@ def all_queries() -> dict[str, Query]:
         found[name] = _train_query(**changes)
     found["train_lr_dense64"] = _train_query(embedding_set, 64, updater="adam")
     found["train_lr_sparse"] = _train_query(document_set, BUCKETS, updater="simple", step_size=0.01)
+    found["train_lr_sparse_join"] = _train_query(
+        document_set, BUCKETS, "join", updater="simple", step_size=0.01
+    )
     return found
 
 

@@ -88,7 +88,6 @@ class _Run:
     penalty: float
     look_ahead: np.ndarray | None = None
     updates: int = 0
-    previous: np.ndarray | None = None
     val_losses: list[float] = field(default_factory=list)
     steps: list[Step] = field(default_factory=list)
     stop_reason: str | None = None
@@ -108,7 +107,8 @@ class _Run:
         """Where the next gradient is taken."""
         return self.weights if self.look_ahead is None else self.look_ahead
 
-    def advance(self, iteration: int, gradient: np.ndarray, loss: float, n: int, held_loss: float, n_held: int):
+    def record(self, iteration: int, loss: float, n: int, held_loss: float, n_held: int) -> bool:
+        """Note an iteration's losses; whether the weights are to be moved."""
         config = self.config
         val_loss = None
         if config.validation_split > 0:
@@ -117,34 +117,38 @@ class _Run:
         if n == 0:
             warnings.warn(f"iteration {iteration} of {config.num_iterations}: the sampled batch is empty")
             self.steps.append(Step(iteration, None, val_loss, 0))
-        else:
-            self.steps.append(Step(iteration, loss / n + self.penalty, val_loss, n))
-            if self._stops_early(iteration):
-                self.stop_reason = "early_stop"
-                return
-            self._move(iteration, gradient / n)
-        if self.stop_reason is None and iteration >= config.num_iterations:
-            self.stop_reason = "max_iterations"
-
-    def _stops_early(self, iteration: int) -> bool:
-        if self.config.validation_split == 0 or iteration <= self.config.iter_validation:
             return False
-        return must_stop(iteration, self.config.iter_validation, self.val_losses[-1], self.val_losses[-2])
+        self.steps.append(Step(iteration, loss / n + self.penalty, val_loss, n))
+        if config.validation_split > 0 and iteration > config.iter_validation:
+            if must_stop(iteration, config.iter_validation, self.val_losses[-1], self.val_losses[-2]):
+                self.stop_reason = "early_stop"
+                return False
+        return True
 
-    def _move(self, iteration: int, gradient: np.ndarray) -> None:
+    def move_weights(self, gradient: np.ndarray, tick: Tick) -> None:
+        """One update of the weights held here."""
         config, rule = self.config, updater_named(self.config.updater)
-        step = config.step_at(iteration)
-        self.updates += 1
         with np.errstate(all="ignore"):
-            move, self.state = rule.move(NumpyOps, gradient, self.state, Tick(config, step, self.updates))
-            moved = regularized(NumpyOps, self.weights, move, config, step)
+            move, self.state = rule.move(NumpyOps, gradient, self.state, tick)
+            self.weights = regularized(NumpyOps, self.weights, move, config, tick.step)
             if rule.looks_ahead:
-                self.look_ahead = moved - config.momentum_fraction * self.state[0]
-            self.penalty = penalty(config, float(np.abs(moved).sum()), float(moved @ moved))
-        before, self.previous, self.weights = self.previous, moved, moved
-        # The first comparison is between the results of the first two updates.
-        if before is not None and has_converged(norm(before - moved), norm(moved), config.convergence_tol):
-            self.stop_reason = "converged"
+                self.look_ahead = self.weights - config.momentum_fraction * self.state[0]
+
+    def advance(self, iteration: int, gradient: np.ndarray, loss: float, n: int, held_loss: float, n_held: int):
+        """One iteration on totals of a pass: record, move, decide whether to go on."""
+        config = self.config
+        if self.record(iteration, loss, n, held_loss, n_held):
+            self.updates += 1
+            before = self.weights
+            self.move_weights(gradient / n, Tick(config, config.step_at(iteration), self.updates))
+            after = self.weights
+            with np.errstate(all="ignore"):
+                self.penalty = penalty(config, float(np.abs(after).sum()), float(after @ after))
+                # The first comparison is between the results of the first two updates.
+                if self.updates > 1 and has_converged(norm(after - before), norm(after), config.convergence_tol):
+                    self.stop_reason = "converged"
+        if self.stop_reason is None and iteration >= config.num_iterations:
+            self.stop_reason = "max_iterations"
 
 
 def fit(
@@ -222,7 +226,7 @@ def _fit_group(df, configs, n_rows: int, start: np.ndarray, storage, layout: str
                 if lead.intercept:
                     gradient = np.append(gradient, sums.bias[k])
                 run.advance(
-                    iteration, gradient, sums.loss[k], sums.n, sums.held_out_loss[k], sums.n_held_out
+                    iteration, gradient, float(sums.loss[k]), sums.n, float(sums.held_out_loss[k]), sums.n_held_out
                 )
             iteration += 1
     finally:

@@ -1,10 +1,10 @@
-"""The folder that all executors of a cluster see."""
+"""The folder that all executors of a cluster see, and what is kept there."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -14,18 +14,24 @@ def shared_root(spark: SparkSession) -> str:
     a machine-local folder would be lost with its machine.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
     current = context.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="slopeworks-"))
-    return context.getCheckpointDir().rstrip("/")
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named and not current:
+        context.setCheckpointDir(named)
+    if not named and not current:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="slopeworks-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A path for a written table under the shared folder."""
     return f"{shared_root(spark)}/{name}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table as computed now, kept in the shared folder: its lineage ends there and the loss of
+    an executor neither recomputes nor changes it."""
+    shared_root(df.sparkSession)
+    return df.checkpoint(eager=True)
