@@ -428,7 +428,7 @@ def sweep_best_curves(spark, folder):
 
 
 # Lines per block when log lines come from a table with unique increasing ids.
-LOG_BLOCK = 1 << 16
+LOG_BLOCK = 1 << 20
 
 
 def event_log(spark, folder) -> DataFrame:

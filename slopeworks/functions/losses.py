@@ -10,10 +10,12 @@ from collections.abc import Callable
 
 
 def logistic(ops, margin, label):
-    multiplier = 1.0 / (1.0 + ops.exp(-margin)) - label
-    # log(1 + e^-|m|) never overflows; the linear part is what the exponent left out.
+    # e^-|m| never overflows and serves both the probability and the loss
+    small = ops.exp(-ops.abs(margin))
+    probability = ops.where(margin < 0, small, 1.0) / (1.0 + small)
     against = ops.where(label > 0, -margin, margin)
-    return multiplier, ops.log1p(ops.exp(-ops.abs(margin))) + ops.maximum(against, 0.0)
+    # a NaN margin makes both results NaN through "small"
+    return probability - label, ops.log1p(small) + ops.maximum(against, 0.0)
 
 
 def hinge(ops, margin, label):

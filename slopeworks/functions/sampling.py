@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from slopeworks.config import BATCH_SEED_BASE, SPLIT_SEED
 
-_HASH_RANGE = 2.0**32
+_HASH_RANGE = 2**32
 
 
 def row_key(*columns: str | Column) -> Column:
@@ -21,11 +23,20 @@ def key_hash(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
+def _hash_below(key: Column, seed: int, share: float) -> Column:
+    """``key_hash(key, seed) < share * 2^32``, decided on the hex digits: their order as text is
+    their order as numbers, so no row pays for a conversion."""
+    limit = math.ceil(share * _HASH_RANGE)
+    if limit >= _HASH_RANGE:
+        return F.lit(True)
+    return F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}"))) < F.lit(f"{limit:08x}")
+
+
 def in_batch(key: Column, iteration: int, fraction: float) -> Column:
     """Whether a row belongs to the mini-batch of a 1-based iteration."""
-    return key_hash(key, BATCH_SEED_BASE + iteration) < F.lit(fraction * _HASH_RANGE)
+    return _hash_below(key, BATCH_SEED_BASE + iteration, fraction)
 
 
 def in_validation(key: Column, split: float) -> Column:
     """Whether a row is set aside for validation."""
-    return key_hash(key, SPLIT_SEED) >= F.lit((1.0 - split) * _HASH_RANGE)
+    return ~_hash_below(key, SPLIT_SEED, 1.0 - split)

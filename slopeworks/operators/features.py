@@ -34,19 +34,25 @@ def bad_labels(df: DataFrame) -> DataFrame:
     return df.filter(~label_is_binary(F.col("label")))
 
 
+def row_width(df: DataFrame) -> Column:
+    """Features of a row: the array's size, or the largest stored index + 1; null without any."""
+    if is_sparse(df):
+        return F.when(F.col("idx").isNotNull() & F.col("val").isNotNull(), F.coalesce(F.array_max("idx") + 1, F.lit(0)))
+    return F.size("features")
+
+
 def width_summary(df: DataFrame) -> DataFrame:
-    """Row count, bad labels, rows without features and feature widths, in one aggregate.
+    """Row count, bad labels, rows without features and feature widths, in one aggregate."""
+    return _summary(df.select("label", row_width(df).alias("length")))
 
-    For a sparse table the width is the largest index + 1.
-    """
-    width = F.coalesce(F.array_max("idx") + 1, F.lit(0)) if is_sparse(df) else F.size("features")
-    vector = F.col("idx") if is_sparse(df) else F.col("features")
+
+def _summary(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(~label_is_binary(F.col("label"))).alias("n_bad_labels"),
-        F.count_if(vector.isNull()).alias("n_missing"),
-        F.min(width).alias("min_width"),
-        F.max(width).alias("max_width"),
+        F.count_if(F.col("length").isNull()).alias("n_missing"),
+        F.min("length").alias("min_width"),
+        F.max("length").alias("max_width"),
     )
 
 
@@ -56,20 +62,27 @@ class Shape:
     width: int
 
 
-def checked_shape(df: DataFrame, num_features: int | None, validate: bool) -> Shape:
-    """Run the summary once and turn its findings into errors."""
-    row = width_summary(df).first()
+def first_width(df: DataFrame) -> int:
+    """Feature count of the first row of a dense table; 0 for an empty one."""
+    row = df.select(row_width(df).alias("length")).first()
+    return 0 if row is None or row["length"] is None else row["length"]
+
+
+def checked_shape(prepared: DataFrame, sparse: bool, width: int | None, validate: bool) -> Shape:
+    """Count a prepared table and turn bad labels or widths into errors, in one pass.
+
+    A sparse table without a given width is as wide as its largest index.
+    """
+    row = _summary(prepared).first()
     if row["n_rows"] == 0:
-        return Shape(0, num_features or 0)
+        return Shape(0, width or 0)
     if validate and row["n_bad_labels"]:
         raise ValueError(f"Input validation failed. {row['n_bad_labels']} labels are not 0 or 1")
     if row["n_missing"]:
         raise ValueError(f"{row['n_missing']} rows have no features")
-    width = num_features if num_features is not None else row["max_width"]
-    if row["max_width"] > width or (not is_sparse(df) and row["min_width"] != width):
-        raise ValueError(
-            f"feature widths run from {row['min_width']} to {row['max_width']}, expected {width}"
-        )
+    width = width if width is not None else row["max_width"]
+    if row["max_width"] > width or (not sparse and row["min_width"] != width):
+        raise ValueError(f"feature widths run from {row['min_width']} to {row['max_width']}, expected {width}")
     return Shape(row["n_rows"], width)
 
 

@@ -14,21 +14,23 @@ Weights that are wider than the bound are handled by joins in ``plans.wide``.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slopeworks.config import BATCH_SEED_BASE, SPLIT_SEED
 from slopeworks.functions.losses import loss_named
 from slopeworks.functions.ops import ColumnOps, NumpyOps
 from slopeworks.functions.sampling import in_batch, in_validation
-from slopeworks.operators.features import MAX_DRIVER_VALUES, NARROW_WIDTH, is_sparse
+from slopeworks.operators.features import MAX_DRIVER_VALUES, NARROW_WIDTH, is_sparse, row_width
 
 # The columns layout pays one generated expression per sum; measured to win up to about here.
-_COLUMN_SUMS = 40
+_COLUMN_SUMS = 48
+# Fewer rows than this do not repay compiling the expressions anew for every set of weights.
+_COLUMN_ROWS = 2_000_000
 # Gradient values that travel together in one partial row.
 _BLOCK = 32
 # Values that all tasks of one pass may emit together before fewer, larger tasks are used.
@@ -48,14 +50,15 @@ class Rows:
     """A prepared training table.
 
     ``kind`` is "narrow" (columns x0..), "dense" (array ``features``) or "sparse" (``idx``/``val``).
-    ``split`` > 0 adds a boolean ``held_out`` column for the validation rows.  ``tasks`` is the
-    number of partitions where it is known, which is so for small tables.
+    ``split`` > 0 adds a boolean ``held_out`` column for the validation rows.  ``n_rows`` and
+    ``tasks`` (partitions) are None where unknown; ``tasks`` is known for small tables.
     """
 
     df: DataFrame
     kind: str
     width: int
     split: float
+    n_rows: int | None = None
     tasks: int | None = None
 
     @property
@@ -68,8 +71,6 @@ class Rows:
             return self.df
         if self.keyed:
             return self.df.filter(in_batch(F.col("row_key"), iteration, fraction))
-        from slopeworks.config import BATCH_SEED_BASE
-
         return self.df.sample(False, fraction, BATCH_SEED_BASE + iteration)
 
     def vector_columns(self) -> list[str]:
@@ -78,43 +79,46 @@ class Rows:
         return ["features"] if self.kind == "dense" else ["idx", "val"]
 
 
+def held_out(df: DataFrame, split: float) -> Column:
+    """Whether a row is kept for validation: by key hash, or by Spark's seeded numbers."""
+    if "row_key" in df.columns:
+        return in_validation(F.col("row_key"), split)
+    return F.rand(SPLIT_SEED) >= 1.0 - split
+
+
 def prepare(df: DataFrame, width: int, split: float = 0.0) -> Rows:
-    """Reshape a canonical training table once, ahead of many passes."""
+    """Reshape a canonical training table once, ahead of many passes.
+
+    ``length`` keeps what the row's own vector says about the number of features.
+    """
     kind = "sparse" if is_sparse(df) else "narrow" if 0 < width <= NARROW_WIDTH else "dense"
     if kind == "narrow":
-        vector = [F.col("features")[j].alias(f"x{j}") for j in range(width)]
+        vector = [F.get("features", F.lit(j)).alias(f"x{j}") for j in range(width)]
     else:
         vector = [F.col(c) for c in (("features",) if kind == "dense" else ("idx", "val"))]
-    keyed = "row_key" in df.columns
-    columns = [F.col("label"), *vector] + ([F.col("row_key")] if keyed else [])
+    columns = [F.col("label"), *vector, row_width(df).alias("length")]
+    if "row_key" in df.columns:
+        columns.append(F.col("row_key"))
     if split > 0:
-        from slopeworks.config import SPLIT_SEED
-
-        held = in_validation(F.col("row_key"), split) if keyed else F.rand(SPLIT_SEED) >= 1.0 - split
-        columns.append(held.alias("held_out"))
+        columns.append(held_out(df, split).alias("held_out"))
     return Rows(df.select(*columns), kind, width, split)
 
 
-def spread_and_keep(
-    rows: Rows, n_rows: int, n_weight_vectors: int, level: StorageLevel | None
-) -> Rows:
-    """Give every core work and persist, for a table that is about to be read many times.
+def spread_out(rows: Rows, n_weight_vectors: int) -> Rows:
+    """Partition a counted table for many passes.
 
     A small table is spread over the cores by one shuffle; a large one is never shuffled.  Where
     partial sums are wide, partitions are merged without a shuffle, so that what all tasks of one
     pass emit stays bounded.
     """
-    df, tasks = rows.df, None
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if n_rows * max(1, rows.width) <= _SMALL_VALUES:
-        df, tasks = df.repartition(cores), cores
-    else:
-        ceiling = max(cores, _PARTIAL_VALUES // max(1, n_weight_vectors * max(1, rows.width)))
-        if ceiling < _MANY_PARTITIONS:
-            df = df.coalesce(int(ceiling))
-    if level is not None:
-        df = df.persist(level)
-    return Rows(df, rows.kind, rows.width, rows.split, tasks)
+    cores = rows.df.sparkSession.sparkContext.defaultParallelism
+    if rows.n_rows * max(1, rows.width) <= _SMALL_VALUES:
+        spread = rows.df.repartition(cores, "row_key") if rows.keyed else rows.df.repartition(cores)
+        return replace(rows, df=spread, tasks=cores)
+    ceiling = max(cores, _PARTIAL_VALUES // max(1, n_weight_vectors * max(1, rows.width)))
+    if ceiling < _MANY_PARTITIONS:
+        return replace(rows, df=rows.df.coalesce(int(ceiling)))
+    return rows
 
 
 @dataclass
@@ -146,7 +150,8 @@ def batch_sums(
         raise ValueError(f"{k} x {width} weights exceed the broadcast bound of {MAX_DRIVER_VALUES}")
     if layout == "auto":
         few = rows.kind == "narrow" and k * (width + 2) <= _COLUMN_SUMS
-        layout = "columns" if few and rows.tasks is None else "arrow"
+        many_rows = rows.n_rows is None or rows.n_rows >= _COLUMN_ROWS
+        layout = "columns" if few and many_rows else "arrow"
     if layout == "columns":
         if rows.kind != "narrow":
             raise ValueError("the columns layout needs a narrow dense table")

@@ -34,6 +34,11 @@ def identified(df: DataFrame) -> DataFrame:
     return settled(df.withColumn("row_id", F.monotonically_increasing_id()))
 
 
+def spread_by_id(rows: DataFrame) -> DataFrame:
+    """Rows partitioned as margins are, so that once this is persisted no join moves them again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row_id")
+
+
 def hot_indices(rows: DataFrame) -> list[int]:
     """Indices with so many entries that a join must split them; 200 at most."""
     counts = rows.select(F.explode("idx").alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("n")).persist()

@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,13 @@ from slopeworks.operators.features import (
     checked_shape,
     collect_vector,
     column_stddev,
+    first_width,
     inverse_sd,
+    is_sparse,
 )
-from slopeworks.operators.gradient import Rows, Sums, batch_sums, prepare, spread_and_keep
+from slopeworks.operators.gradient import Rows, Sums, batch_sums, prepare, spread_out
 from slopeworks.plans.model import LinearModel
+from slopeworks.shared import settled
 
 
 @dataclass(frozen=True)
@@ -155,16 +158,16 @@ def fit(
     df: DataFrame,
     configs: SgdConfig | Sequence[SgdConfig],
     num_features: int | None = None,
-    initial_weights: Sequence[float] | None = None,
+    initial_weights: Sequence[float] | DataFrame | None = None,
     storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK,
     layout: str = "auto",
 ) -> list[FitResult]:
     """Train every configuration on a canonical training table; results keep the given order.
 
-    Weights start at zero unless ``initial_weights`` (without intercept) is given.  The prepared
-    table is persisted for the duration of the fit.  Tables with a ``row_key`` sample
-    reproducibly under any partitioning; without one Spark's own seeded sampler is used, which is
-    reproducible for a table whose rows come in a stable order.
+    Weights start at zero unless ``initial_weights`` (without intercept) is given, as a vector or as
+    a table ``(idx, w)``.  The prepared table is persisted for the duration of the fit.  Tables with
+    a ``row_key`` sample reproducibly under any partitioning; without one Spark's own seeded sampler
+    draws the batches, and a validation split is settled in the shared folder first.
 
     ``layout`` is "auto", "columns", "arrow" or "join"; "auto" moves on to "join" when the weights
     of all configurations exceed the broadcast bound.
@@ -177,31 +180,67 @@ def fit(
         shared = (c.mini_batch_fraction, c.validation_split, c.intercept, c.scale)
         groups.setdefault(shared, []).append(i)
 
-    shape = checked_shape(df, num_features, any(c.validate for c in configs))
-    if initial_weights is not None and shape.width and len(initial_weights) != shape.width:
-        raise ValueError(f"{len(initial_weights)} initial weights for {shape.width} features")
-    width = shape.width or len(initial_weights or ())
-    start = np.zeros(width) if initial_weights is None else np.asarray(initial_weights, dtype=float)
-
+    sparse = is_sparse(df)
+    given = initial_weights is not None and not isinstance(initial_weights, DataFrame)
+    if num_features is None and not sparse:
+        num_features = first_width(df) or None
+    if given:
+        num_features = num_features or len(initial_weights)
+        if len(initial_weights) != num_features:
+            raise ValueError(f"{len(initial_weights)} initial weights for {num_features} features")
     results: list[FitResult | None] = [None] * len(configs)
     for members in groups.values():
         chosen = [configs[i] for i in members]
-        wide = layout == "join" or (layout == "auto" and len(chosen) * (width + 1) > MAX_DRIVER_VALUES)
-        if wide:
-            from slopeworks.plans.wide import fit_wide
 
-            found = fit_wide(df, chosen, shape, start if initial_weights is not None else None, storage)
-        else:
-            found = _fit_group(df, chosen, shape.n_rows, start, storage, layout)
+        def too_wide(width: int | None) -> bool:
+            return layout == "join" or (layout == "auto" and len(chosen) * ((width or 0) + 1) > MAX_DRIVER_VALUES)
+
+        wide = too_wide(num_features)
+        split = 0.0 if wide else chosen[0].validation_split
+        prepared = prepare(df, num_features or 0, split)
+        if split > 0 and not prepared.keyed:
+            # Rows drawn without a key must stay drawn when a lost partition is computed again.
+            prepared = replace(prepared, df=settled(prepared.df))
+        kept = storage is not None and not wide
+        if kept:
+            prepared = replace(prepared, df=prepared.df.persist(storage))
+        try:
+            shape = checked_shape(prepared.df, sparse, num_features, any(c.validate for c in chosen))
+            prepared = replace(prepared, width=shape.width, n_rows=shape.n_rows)
+            if wide or too_wide(shape.width):
+                from slopeworks.plans.wide import fit_wide
+
+                start = weight_table(df.sparkSession, initial_weights) if given else initial_weights
+                found = fit_wide(df, chosen, shape, start, storage)
+            else:
+                found = _fit_group(df, prepared, chosen, _start(initial_weights, shape.width), storage, layout)
+        finally:
+            if kept:
+                prepared.df.unpersist()
         for i, result in zip(members, found):
             results[i] = result
     return results
 
 
-def _fit_group(df, configs, n_rows: int, start: np.ndarray, storage, layout: str) -> list[FitResult]:
+def _start(initial_weights: Sequence[float] | DataFrame | None, width: int) -> np.ndarray:
+    if initial_weights is None:
+        return np.zeros(width)
+    if isinstance(initial_weights, DataFrame):
+        return collect_vector(initial_weights, "w", width)
+    return np.asarray(initial_weights, dtype=float)
+
+
+def weight_table(spark: SparkSession, weights: Sequence[float]) -> DataFrame:
+    """``(idx, w)`` of a weight vector."""
+    values = np.asarray(weights, dtype=float)
+    return spark.createDataFrame(
+        pa.table({"idx": pa.array(np.arange(len(values)), pa.int32()), "w": pa.array(values, pa.float64())})
+    )
+
+
+def _fit_group(df, prepared: Rows, configs, start: np.ndarray, storage, layout: str) -> list[FitResult]:
     began = time.perf_counter()
-    lead = configs[0]
-    width = len(start)
+    lead, width, n_rows = configs[0], len(start), prepared.n_rows
     runs = [_Run.start(c, np.append(start, c.initial_intercept) if c.intercept else start.copy()) for c in configs]
     if n_rows == 0:
         warnings.warn("no rows to train on: the initial weights are returned")
@@ -211,13 +250,14 @@ def _fit_group(df, configs, n_rows: int, start: np.ndarray, storage, layout: str
         warnings.warn("the mini-batch fraction is too small for the number of rows")
 
     factors = np.ones(width)
-    if all(run.stop_reason for run in runs):
-        rows = None
-    else:
-        rows = spread_and_keep(prepare(df, width, lead.validation_split), n_rows, len(runs), storage)
+    if lead.scale and n_rows:
+        factors = inverse_sd(collect_vector(column_stddev(df, width, n_rows), "sd", width))
+    rows = spread_out(prepared, len(runs))
+    # A small table was shuffled, so the spread form is the one worth keeping; a large one is already kept.
+    again = storage is not None and rows.tasks is not None
+    if again:
+        rows = replace(rows, df=rows.df.persist(storage))
     try:
-        if rows is not None and lead.scale:
-            factors = inverse_sd(collect_vector(column_stddev(df, width, n_rows), "sd", width))
         iteration = 1
         while active := [run for run in runs if run.stop_reason is None]:
             sums = _one_pass(rows, active, iteration, width, factors, layout)
@@ -230,7 +270,7 @@ def _fit_group(df, configs, n_rows: int, start: np.ndarray, storage, layout: str
                 )
             iteration += 1
     finally:
-        if rows is not None and storage is not None:
+        if again:
             rows.df.unpersist()
 
     elapsed = round((time.perf_counter() - began) * 1000)

@@ -14,22 +14,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopeworks.config import SPLIT_SEED, SgdConfig
+from slopeworks.config import SgdConfig
 from slopeworks.functions.ops import ColumnOps, NumpyOps
-from slopeworks.functions.sampling import in_validation
 from slopeworks.functions.updates import Tick, opening_penalty, penalty, regularized, updater_named
 from slopeworks.operators.control import has_converged
 from slopeworks.operators.features import MAX_DRIVER_VALUES, collect_vector, column_stddev
-from slopeworks.operators.gradient import Rows
+from slopeworks.operators.gradient import Rows, held_out
 from slopeworks.operators.joined import (
     BIAS,
     HELD_LOSS,
     TRAIN_LOSS,
     hot_indices,
     identified,
+    spread_by_id,
     table_gradient,
     table_margins,
 )
+from slopeworks.operators.update import weight_norms
 from slopeworks.plans.fit import FitResult, _Run
 from slopeworks.plans.model import LinearModel
 from slopeworks.shared import settled
@@ -79,23 +80,25 @@ class _WideRun:
 def fit_wide(df: DataFrame, configs: list[SgdConfig], shape, start, storage) -> list[FitResult]:
     found: list[FitResult] = []
     for first in range(0, len(configs), _TOGETHER):
-        found += _fit_together(df, configs[first : first + _TOGETHER], shape, start)
+        found += _fit_together(df, configs[first : first + _TOGETHER], shape, start, storage)
     return found
 
 
-def _fit_together(df: DataFrame, configs: list[SgdConfig], shape, start: np.ndarray | None) -> list[FitResult]:
+def _fit_together(df: DataFrame, configs: list[SgdConfig], shape, start: DataFrame | None, storage) -> list[FitResult]:
     began = time.perf_counter()
     lead, spark = configs[0], df.sparkSession
     base = spark.range(shape.width).select(F.col("id").cast("int").alias("idx"))
-    opening = F.lit(0.0) if start is None else F.get(F.array(*[F.lit(float(w)) for w in start]), F.col("idx"))
-    scale = F.lit(1.0)
+    opening, scale, l1, l2 = F.lit(0.0), F.lit(1.0), 0.0, 0.0
+    if start is not None:
+        base = base.join(start.select("idx", "w"), "idx", "left")
+        opening = F.coalesce(F.col("w"), F.lit(0.0))
+        norms = weight_norms(start).first()
+        l1, l2 = norms["l1_norm"] or 0.0, norms["squared_l2_norm"] or 0.0
     if lead.scale:
         sd = column_stddev(df, shape.width, shape.n_rows)
         base = base.join(sd, "idx", "left")
         scale = F.when(F.col("sd") > 0.0, 1.0 / F.col("sd")).otherwise(0.0)
     base = base.select("idx", scale.alias("scale"), opening.alias("w"))
-    # The norms of the opening weights come from the given vector: zero without one.
-    l1, l2 = (0.0, 0.0) if start is None else (float(np.abs(start).sum()), float(start @ start))
 
     runs = []
     for key, config in enumerate(configs):
@@ -114,27 +117,34 @@ def _fit_together(df: DataFrame, configs: list[SgdConfig], shape, start: np.ndar
         r.table = params
 
     if any(r.run.stop_reason is None for r in runs):
-        rows = identified(df)
-        if lead.validation_split > 0:
-            keyed = "row_key" in rows.columns
-            held = (
-                in_validation(F.col("row_key"), lead.validation_split)
-                if keyed
-                else F.rand(SPLIT_SEED) >= 1.0 - lead.validation_split
-            )
-            rows = settled(rows.withColumn("held_out", held))
-        sampled = Rows(rows, "sparse", shape.width, lead.validation_split)
-        hot = hot_indices(rows)
-    iteration = 1
-    while active := [r for r in runs if r.run.stop_reason is None]:
-        batch = sampled.batch(iteration, lead.mini_batch_fraction)
-        params = _iterate(batch, params, active, iteration, hot)
-        iteration += 1
+        _iterate_all(df, runs, params, lead, shape, storage)
 
     elapsed = round((time.perf_counter() - began) * 1000)
     return [FitResult(r.run.config, _model(r, lead, shape), r.run.steps, r.run.stop_reason, elapsed) for r in runs]
 
 
+def _iterate_all(df: DataFrame, runs: list[_WideRun], params: DataFrame, lead: SgdConfig, shape, storage) -> None:
+    rows = identified(df)
+    if "row_key" not in rows.columns:
+        # Margins and gradient are separate reads of a batch, so its rows must be chosen by key.
+        rows = rows.withColumn("row_key", F.col("row_id").cast("string"))
+    if lead.validation_split > 0:
+        rows = rows.withColumn("held_out", held_out(rows, lead.validation_split))
+    if storage is not None:
+        rows = spread_by_id(rows).persist(storage)
+    try:
+        sampled = Rows(rows, "sparse", shape.width, lead.validation_split)
+        hot = hot_indices(rows)
+        iteration = 1
+        while active := [r for r in runs if r.run.stop_reason is None]:
+            batch = sampled.batch(iteration, lead.mini_batch_fraction)
+            params = _iterate(batch, params, active, iteration, hot)
+            iteration += 1
+    finally:
+        if storage is not None:
+            rows.unpersist()
+
+
 def _iterate(batch: DataFrame, params: DataFrame, active: list[_WideRun], iteration: int, hot) -> DataFrame:
     configs = [r.run.config for r in active]
     points = [F.col(f"ahead{r.key}") * F.col("scale") for r in active]

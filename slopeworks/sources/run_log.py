@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The two line formats of a run log (the double space is part of the format).
+LOSS_START, SUMMARY_START = "Loss in iteration ", "Testing accuracy  of updater "
 LOSS_LINE = r"^Loss in iteration (\d+) : (\S+)\s*$"
 SUMMARY_LINE = (
     r"^Testing accuracy  of updater (\S+) on alg (\S+) with rate (\S+) = (\S+), "
@@ -27,10 +28,19 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _is_loss(value: Column) -> Column:
+    """The plain prefix is tested first: most lines need no second pattern."""
+    return value.startswith(LOSS_START) & value.rlike(LOSS_LINE)
+
+
+def _is_summary(value: Column) -> Column:
+    return value.startswith(SUMMARY_START) & value.rlike(SUMMARY_LINE)
+
+
 def _summary(value: Column) -> Column:
     part = lambda i: F.regexp_extract(value, SUMMARY_LINE, i)
     return F.when(
-        value.rlike(SUMMARY_LINE),
+        _is_summary(value),
         F.struct(
             part(1).cast("int").alias("updater"),
             part(2).alias("alg"),
@@ -54,10 +64,10 @@ def parse_run_log(lines: DataFrame) -> DataFrame:
     """
     value = F.col("value")
     summary = _summary(value)
-    is_loss = value.rlike(LOSS_LINE)
+    is_loss = _is_loss(value)
     # Cut the lines down before the shuffle to what the formats carry.
     known = (
-        lines.filter(is_loss | value.rlike(SUMMARY_LINE))
+        lines.filter(is_loss | _is_summary(value))
         .select(
             "source",
             "block",

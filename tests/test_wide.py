@@ -68,3 +68,27 @@ def test_the_bound_decides(spark, monkeypatch):
     assert a == b and len(a) == 600
     with pytest.raises(ValueError, match="driver vector"):
         features.collect_vector(far.model.weights, "w", 50)
+
+
+def test_start_as_a_table(spark):
+    rows = skewed_rows(spark)
+    start = spark.range(50).select(F.col("id").cast("int").alias("idx"), (F.col("id") / 100.0).alias("w"))
+    config = SgdConfig(updater="momentum", num_iterations=3, convergence_tol=0.0, reg_type=2, reg_param=0.1)
+    near = fit(rows, config, num_features=50, initial_weights=[j / 100.0 for j in range(50)])[0]
+    for layout in ("arrow", "join"):
+        far = fit(rows, config, num_features=50, initial_weights=start, layout=layout)[0]
+        np.testing.assert_allclose(far.model.weights, near.model.weights, atol=1e-12)
+        np.testing.assert_allclose(far.losses, near.losses, atol=1e-12)
+
+
+def test_batches_without_a_key(spark):
+    """The row ids stand in for keys, so a fit keyed by them agrees."""
+    rows = skewed_rows(spark, n=2000).drop("row_key")
+    config = SgdConfig(num_iterations=3, mini_batch_fraction=0.25, validation_split=0.2, convergence_tol=0.0)
+    far = fit(rows, config, num_features=50, layout="join")[0]
+    keyed = rows.withColumn("row_key", F.monotonically_increasing_id().cast("string"))
+    near = fit(keyed, config, num_features=50, layout="arrow")[0]
+    assert [s.batch_n for s in far.steps] == [s.batch_n for s in near.steps]
+    assert all(300 < s.batch_n < 500 for s in far.steps)
+    np.testing.assert_allclose(far.model.weights, near.model.weights, atol=1e-12)
+    np.testing.assert_allclose([s.val_loss for s in far.steps], [s.val_loss for s in near.steps], atol=1e-12)
