@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from slopeworks.catalog import queries as q
 from slopeworks.catalog.tables import BUCKETS
+from slopeworks.functions.sampling import PRIME, affine
 from slopeworks.functions.updates import UPDATER_NAMES
 from slopeworks.plans.sweep import BASE_RATES, VARIATIONS
 
@@ -29,20 +30,23 @@ def lit(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
-def hash_of(seed: str | int) -> str:
-    return f"CAST(concat('0x', substr(md5(concat(k, '-', {seed})), 1, 8)) AS BIGINT)"
+def placed(seed: int) -> str:
+    """Where a seed places a row in [0, P): the affine map of its two hash words."""
+    a, b, c = affine(seed)
+    first, second = (f"CAST(concat('0x', substr(md5(k), {at}, 8)) AS BIGINT) % {PRIME}" for at in (1, 9))
+    return f"(({first}) * {a} + ({second}) * {b} + {c}) % {PRIME}"
 
 
 def in_batch(iteration: int, fraction: float) -> str:
-    return f"{hash_of(42 + iteration)} < {lit(fraction * 2**32)}"
+    return f"{placed(42 + iteration)} < {lit(fraction * PRIME)}"
 
 
 def held(split: float) -> str:
-    return f"{hash_of(41)} >= {lit((1 - split) * 2**32)}"
+    return f"{placed(41)} >= {lit((1 - split) * PRIME)}"
 
 
-def rnd(expression: str) -> str:
-    return f"round({expression}, 6) + 0e0"
+def rnd(expression: str, digits: int = 6) -> str:
+    return f"round({expression}, {digits}) + 0e0"
 
 
 def margin(weights, bias: float = 0.0, prefix: str = "x") -> str:
@@ -231,14 +235,15 @@ def training_sql(changes: dict, width: int = 4, **fixed) -> str:
     if scale:
         case = " ".join(f"WHEN {j} THEN d{j}" for j in range(width))
         weight, source = f"w / CASE j {case} END", "p3, dev"
+    value = lambda x: rnd(x, q.digits_of(changes.get("loss", "logistic")))
     parts = [
-        f"SELECT updater, 'weight' AS entry, j AS pos, {rnd(weight)} AS value FROM {source} WHERE j < {width}",
-        f"SELECT updater, 'loss', t, {rnd('loss')} FROM hist",
+        f"SELECT updater, 'weight' AS entry, j AS pos, {value(weight)} AS value FROM {source} WHERE j < {width}",
+        f"SELECT updater, 'loss', t, {value('loss')} FROM hist",
     ]
     if changes.get("intercept"):
-        parts.append(f"SELECT updater, 'intercept', 0, {rnd('w')} FROM p3 WHERE j = {width}")
+        parts.append(f"SELECT updater, 'intercept', 0, {value('w')} FROM p3 WHERE j = {width}")
     if changes.get("validation_split"):
-        parts.append(f"SELECT updater, 'val_loss', t, {rnd('val_loss')} FROM hist")
+        parts.append(f"SELECT updater, 'val_loss', t, {value('val_loss')} FROM hist")
     return chain_of(changes, width=width, **fixed) + "\n" + " UNION ALL ".join(parts)
 
 

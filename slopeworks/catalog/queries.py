@@ -238,6 +238,12 @@ def reg_value(spark, folder):
 # --- training -----------------------------------------------------------------------------------
 
 
+def digits_of(loss: str) -> int:
+    """Decimals to compare.  Hinge weights are short decimals that often end in a 5 at the seventh
+    place, where rounding to six would hang on the last bit."""
+    return 9 if loss == "hinge" else 6
+
+
 def result_rows(spark: SparkSession, results: Sequence[FitResult]) -> DataFrame:
     """Weights, intercept and losses of fits in long form: (updater, entry, pos, value)."""
     rows = []
@@ -258,7 +264,8 @@ def result_rows(spark: SparkSession, results: Sequence[FitResult]) -> DataFrame:
             "value": pa.array(value, pa.float64()),
         }
     )
-    return spark.createDataFrame(table).withColumn("value", rounded(F.col("value")))
+    digits = digits_of(results[0].config.loss)
+    return spark.createDataFrame(table).withColumn("value", rounded(F.col("value"), digits))
 
 
 def training_config(**changes) -> SgdConfig:

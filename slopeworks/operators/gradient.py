@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from slopeworks.config import BATCH_SEED_BASE, SPLIT_SEED
 from slopeworks.functions.losses import loss_named
 from slopeworks.functions.ops import ColumnOps, NumpyOps
-from slopeworks.functions.sampling import in_batch, in_validation
+from slopeworks.functions.sampling import WORDS, in_batch, in_validation, key_words
 from slopeworks.operators.features import MAX_DRIVER_VALUES, NARROW_WIDTH, is_sparse, row_width
 
 # The columns layout pays one generated expression per sum; measured to win up to about here.
@@ -63,14 +63,14 @@ class Rows:
 
     @property
     def keyed(self) -> bool:
-        return "row_key" in self.df.columns
+        return WORDS[0] in self.df.columns
 
     def batch(self, iteration: int | None, fraction: float) -> DataFrame:
         """Rows of one mini-batch: by key hash, or by Spark's sampler for tables without a key."""
         if iteration is None or fraction >= 1.0:
             return self.df
         if self.keyed:
-            return self.df.filter(in_batch(F.col("row_key"), iteration, fraction))
+            return self.df.filter(in_batch((F.col(WORDS[0]), F.col(WORDS[1])), iteration, fraction))
         return self.df.sample(False, fraction, BATCH_SEED_BASE + iteration)
 
     def vector_columns(self) -> list[str]:
@@ -82,10 +82,17 @@ class Rows:
 def held_out(df: DataFrame, split: float) -> Column:
     """Whether a row is kept for validation: by key hash, or by Spark's seeded numbers."""
     if "row_key" in df.columns:
-        return in_validation(F.col("row_key"), split)
+        return in_validation(key_words(F.col("row_key")), split)
     return F.rand(SPLIT_SEED) >= 1.0 - split
 
 
+def hash_words(df: DataFrame) -> list[Column]:
+    """What sampling needs of a row's key, where there is one."""
+    if "row_key" not in df.columns:
+        return []
+    return [word.alias(name) for word, name in zip(key_words(F.col("row_key")), WORDS)]
+
+
 def prepare(df: DataFrame, width: int, split: float = 0.0) -> Rows:
     """Reshape a canonical training table once, ahead of many passes.
 
@@ -97,8 +104,7 @@ def prepare(df: DataFrame, width: int, split: float = 0.0) -> Rows:
     else:
         vector = [F.col(c) for c in (("features",) if kind == "dense" else ("idx", "val"))]
     columns = [F.col("label"), *vector, row_width(df).alias("length")]
-    if "row_key" in df.columns:
-        columns.append(F.col("row_key"))
+    columns += hash_words(df)
     if split > 0:
         columns.append(held_out(df, split).alias("held_out"))
     return Rows(df.select(*columns), kind, width, split)
@@ -113,7 +119,7 @@ def spread_out(rows: Rows, n_weight_vectors: int) -> Rows:
     """
     cores = rows.df.sparkSession.sparkContext.defaultParallelism
     if rows.n_rows * max(1, rows.width) <= _SMALL_VALUES:
-        spread = rows.df.repartition(cores, "row_key") if rows.keyed else rows.df.repartition(cores)
+        spread = rows.df.repartition(cores, *WORDS) if rows.keyed else rows.df.repartition(cores)
         return replace(rows, df=spread, tasks=cores)
     ceiling = max(cores, _PARTIAL_VALUES // max(1, n_weight_vectors * max(1, rows.width)))
     if ceiling < _MANY_PARTITIONS:

@@ -57,6 +57,11 @@ class SweepResult:
     history: DataFrame
     results: list[FitResult]
 
+    def save(self, folder: str, mode: str = "append") -> None:
+        """Write ``runs`` and ``history`` as Parquet tables under a folder."""
+        self.runs.write.mode(mode).parquet(f"{folder}/runs")
+        self.history.write.mode(mode).parquet(f"{folder}/history")
+
 
 def sweep(
     train: DataFrame,
@@ -98,10 +103,3 @@ def sweep(
         history.withColumn("run_id", F.col("config_id")).withColumn("loss", F.col("train_loss")),
         results,
     )
-
-
-def experiment(
-    train: DataFrame, test: DataFrame, config: SgdConfig, num_features: int | None = None
-) -> SweepResult:
-    """One run: train, then accuracy on the training and the test table."""
-    return sweep(train, test, [config], num_features)

@@ -42,7 +42,7 @@ def _summary(value: Column) -> Column:
     return F.when(
         _is_summary(value),
         F.struct(
-            part(1).cast("int").alias("updater"),
+            part(1).try_cast("int").alias("updater"),
             part(2).alias("alg"),
             part(3).cast("double").alias("rate"),
             part(4).cast("double").alias("test_acc"),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from slopeworks import SgdConfig, dense_set, fit, sweep, sweep_configs, vector_set
 from slopeworks.operators import history
-from slopeworks.plans.sweep import experiment
+from slopeworks.__main__ import main
+from slopeworks.plans.experiment import named_experiment
 from slopeworks.sources.libsvm import dataset_pair, read_libsvm, to_libsvm_lines
 from slopeworks.sources.run_log import log_tables, parse_run_log, read_run_log, run_log_lines
 
@@ -38,12 +39,35 @@ def test_dataset_pairs(spark, tmp_path):
     (tmp_path / "a9at").write_text("1 3:1\n")
     train, test, width = dataset_pair(spark, "adult", str(tmp_path))
     assert width == 123 and train.columns == ["label", "idx", "val"]
-    found = experiment(train, test, SgdConfig(num_iterations=2), width)
+    found = named_experiment(spark, str(tmp_path), "adult", 3, 1.0, 1.0, 2, "lr")
     assert found.runs.first()["test_acc"] == 1.0
     with pytest.raises(ValueError, match="unknown dataset"):
         dataset_pair(spark, "none", str(tmp_path))
 
 
+def test_command_line_prints_a_log_that_can_be_read(spark, tmp_path, capsys):
+    (tmp_path / "svmguide1").write_text("1 1:1 2:2\n0 1:-1\n1 1:2\n")
+    (tmp_path / "svmguide1.t").write_text("1 1:1\n0 1:3\n")
+    main(["svmguide", "6", "0.2", "1", "3", "svm", "--data", str(tmp_path)])
+    text = capsys.readouterr().out
+    table, runs = log_tables(parse_run_log(lines_of(spark, tmp_path, text)))
+    row = runs.first()
+    assert (row["updater"], row["alg"], row["rate"]) == (6, "svm", 0.2)
+    assert row["train_acc"] == 1.0 and row["test_acc"] == 0.5
+    assert [r["iteration"] for r in table.orderBy("iteration").collect()] == [1, 2, 3]
+    with pytest.raises(ValueError, match="algorithm"):
+        named_experiment(spark, str(tmp_path), "svmguide", 0, 0.1, 1.0, 1, "none")
+
+
+def test_sweep_tables_are_saved(spark, tmp_path):
+    rows = random_rows(spark, 100, 3)
+    base = SgdConfig(num_iterations=2, convergence_tol=0.0)
+    for _ in range(2):
+        sweep(rows, rows, sweep_configs(base, ("adam",), (0.0,))).save(str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "history")).count() == 4
+
+
 def test_libsvm_lines_round_trip(spark, tmp_path):
     rows = random_rows(spark, 50, 4)
     to_libsvm_lines(rows).write.text(str(tmp_path / "text"))

@@ -138,6 +138,24 @@ def test_samples(spark):
     assert sampling.train_validation(rows, 0.0)[1].count() == 0
 
 
+def test_batches_of_different_iterations_are_independent(spark):
+    from pyspark.sql import functions as F
+
+    from slopeworks.functions.sampling import in_batch, key_words
+
+    rows = spark.range(40000).select(F.col("id").cast("string").alias("row_key"))
+    words = key_words(F.col("row_key"))
+    drawn = rows.select(*[in_batch(words, i, 0.25).cast("int").alias(f"b{i}") for i in range(1, 7)])
+    share = lambda *names: F.avg(np.prod([F.col(n) for n in names]))
+    names = drawn.columns
+    single = drawn.agg(*[share(n) for n in names]).first()
+    pairs = drawn.agg(*[share(a, b) for a in names for b in names if a < b]).first()
+    triples = drawn.agg(*[share(a, b, c) for a in names for b in names for c in names if a < b < c]).first()
+    np.testing.assert_allclose(single, 0.25, atol=0.01)
+    np.testing.assert_allclose(pairs, 0.0625, atol=0.006)
+    np.testing.assert_allclose(triples, 0.015625, atol=0.004)
+
+
 def test_model_round_trip(spark, tmp_path):
     model = LinearModel(np.array([0.5, -1.5]), 0.25, "hinge")
     model.save(spark, str(tmp_path / "m"))
