@@ -37,6 +37,8 @@ _BLOCK = 32
 _PARTIAL_VALUES = 4_000_000_000
 # A table of up to this many feature values (400 MB) is spread evenly over the cores.
 _SMALL_VALUES = 50_000_000
+# So is a sparse one of up to this many rows.
+_SMALL_ROWS = 2_000_000
 # No table is expected to have more partitions than this.
 _MANY_PARTITIONS = 10_000_000
 # Partial sums of up to this many values (8 MB) go straight to the driver, without a second stage.
@@ -93,10 +95,24 @@ def hash_words(df: DataFrame) -> list[Column]:
     return [word.alias(name) for word, name in zip(key_words(F.col("row_key")), WORDS)]
 
 
-def prepare(df: DataFrame, width: int, split: float = 0.0) -> Rows:
+def spread_small(df: DataFrame, n_rows: int, width: int | None) -> tuple[DataFrame, int | None]:
+    """A small table spread over the cores by one shuffle, with the number of its partitions; a
+    large one as it is, since it is never worth moving."""
+    small = n_rows <= _SMALL_ROWS if is_sparse(df) else n_rows * (width or 1) <= _SMALL_VALUES
+    if not small:
+        return df, None
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, "row_key") if "row_key" in df.columns else df.repartition(cores), cores
+
+
+def prepare(
+    df: DataFrame, width: int, split: float = 0.0, sampled: bool = True, n_weight_vectors: int = 1
+) -> Rows:
     """Reshape a canonical training table once, ahead of many passes.
 
-    ``length`` keeps what the row's own vector says about the number of features.
+    ``length`` keeps what the row's own vector says about the number of features.  Hash words are
+    made only for tables that are ``sampled``.  Where partial sums will be wide, partitions are
+    merged without a shuffle, so that what all tasks of one pass emit stays bounded.
     """
     kind = "sparse" if is_sparse(df) else "narrow" if 0 < width <= NARROW_WIDTH else "dense"
     if kind == "narrow":
@@ -104,27 +120,15 @@ def prepare(df: DataFrame, width: int, split: float = 0.0) -> Rows:
     else:
         vector = [F.col(c) for c in (("features",) if kind == "dense" else ("idx", "val"))]
     columns = [F.col("label"), *vector, row_width(df).alias("length")]
-    columns += hash_words(df)
+    columns += hash_words(df) if sampled else []
     if split > 0:
         columns.append(held_out(df, split).alias("held_out"))
-    return Rows(df.select(*columns), kind, width, split)
-
-
-def spread_out(rows: Rows, n_weight_vectors: int) -> Rows:
-    """Partition a counted table for many passes.
-
-    A small table is spread over the cores by one shuffle; a large one is never shuffled.  Where
-    partial sums are wide, partitions are merged without a shuffle, so that what all tasks of one
-    pass emit stays bounded.
-    """
-    cores = rows.df.sparkSession.sparkContext.defaultParallelism
-    if rows.n_rows * max(1, rows.width) <= _SMALL_VALUES:
-        spread = rows.df.repartition(cores, *WORDS) if rows.keyed else rows.df.repartition(cores)
-        return replace(rows, df=spread, tasks=cores)
-    ceiling = max(cores, _PARTIAL_VALUES // max(1, n_weight_vectors * max(1, rows.width)))
+    prepared = df.select(*columns)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    ceiling = max(cores, _PARTIAL_VALUES // max(1, n_weight_vectors * max(1, width)))
     if ceiling < _MANY_PARTITIONS:
-        return replace(rows, df=rows.df.coalesce(int(ceiling)))
-    return rows
+        prepared = prepared.coalesce(int(ceiling))
+    return Rows(prepared, kind, width, split)
 
 
 @dataclass

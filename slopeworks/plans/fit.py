@@ -29,7 +29,7 @@ from slopeworks.operators.features import (
     inverse_sd,
     is_sparse,
 )
-from slopeworks.operators.gradient import Rows, Sums, batch_sums, prepare, spread_out
+from slopeworks.operators.gradient import Rows, Sums, batch_sums, prepare, spread_small
 from slopeworks.plans.model import LinearModel
 from slopeworks.shared import settled
 
@@ -188,17 +188,22 @@ def fit(
         num_features = num_features or len(initial_weights)
         if len(initial_weights) != num_features:
             raise ValueError(f"{len(initial_weights)} initial weights for {num_features} features")
+    # Free for a plain Parquet scan; a table that is costly to compute is best passed persisted.
+    n_rows = df.count()
     results: list[FitResult | None] = [None] * len(configs)
     for members in groups.values():
         chosen = [configs[i] for i in members]
+        lead = chosen[0]
 
         def too_wide(width: int | None) -> bool:
             return layout == "join" or (layout == "auto" and len(chosen) * ((width or 0) + 1) > MAX_DRIVER_VALUES)
 
         wide = too_wide(num_features)
-        split = 0.0 if wide else chosen[0].validation_split
-        prepared = prepare(df, num_features or 0, split)
-        if split > 0 and not prepared.keyed:
+        split = 0.0 if wide else lead.validation_split
+        spread, tasks = spread_small(df, n_rows, num_features)
+        sampled = lead.mini_batch_fraction < 1.0 or lead.validation_split > 0
+        prepared = prepare(spread, num_features or 0, split, sampled, len(chosen))
+        if split > 0 and "row_key" not in df.columns:
             # Rows drawn without a key must stay drawn when a lost partition is computed again.
             prepared = replace(prepared, df=settled(prepared.df))
         kept = storage is not None and not wide
@@ -206,14 +211,14 @@ def fit(
             prepared = replace(prepared, df=prepared.df.persist(storage))
         try:
             shape = checked_shape(prepared.df, sparse, num_features, any(c.validate for c in chosen))
-            prepared = replace(prepared, width=shape.width, n_rows=shape.n_rows)
+            prepared = replace(prepared, width=shape.width, n_rows=n_rows, tasks=tasks)
             if wide or too_wide(shape.width):
                 from slopeworks.plans.wide import fit_wide
 
                 start = weight_table(df.sparkSession, initial_weights) if given else initial_weights
                 found = fit_wide(df, chosen, shape, start, storage)
             else:
-                found = _fit_group(df, prepared, chosen, _start(initial_weights, shape.width), storage, layout)
+                found = _fit_group(df, prepared, chosen, _start(initial_weights, shape.width), layout)
         finally:
             if kept:
                 prepared.df.unpersist()
@@ -238,9 +243,9 @@ def weight_table(spark: SparkSession, weights: Sequence[float]) -> DataFrame:
     )
 
 
-def _fit_group(df, prepared: Rows, configs, start: np.ndarray, storage, layout: str) -> list[FitResult]:
+def _fit_group(df: DataFrame, rows: Rows, configs, start: np.ndarray, layout: str) -> list[FitResult]:
     began = time.perf_counter()
-    lead, width, n_rows = configs[0], len(start), prepared.n_rows
+    lead, width, n_rows = configs[0], len(start), rows.n_rows
     runs = [_Run.start(c, np.append(start, c.initial_intercept) if c.intercept else start.copy()) for c in configs]
     if n_rows == 0:
         warnings.warn("no rows to train on: the initial weights are returned")
@@ -252,26 +257,17 @@ def _fit_group(df, prepared: Rows, configs, start: np.ndarray, storage, layout:
     factors = np.ones(width)
     if lead.scale and n_rows:
         factors = inverse_sd(collect_vector(column_stddev(df, width, n_rows), "sd", width))
-    rows = spread_out(prepared, len(runs))
-    # A small table was shuffled, so the spread form is the one worth keeping; a large one is already kept.
-    again = storage is not None and rows.tasks is not None
-    if again:
-        rows = replace(rows, df=rows.df.persist(storage))
-    try:
-        iteration = 1
-        while active := [run for run in runs if run.stop_reason is None]:
-            sums = _one_pass(rows, active, iteration, width, factors, layout)
-            for k, run in enumerate(active):
-                gradient = sums.gradient[k] * factors
-                if lead.intercept:
-                    gradient = np.append(gradient, sums.bias[k])
-                run.advance(
-                    iteration, gradient, float(sums.loss[k]), sums.n, float(sums.held_out_loss[k]), sums.n_held_out
-                )
-            iteration += 1
-    finally:
-        if again:
-            rows.df.unpersist()
+    iteration = 1
+    while active := [run for run in runs if run.stop_reason is None]:
+        sums = _one_pass(rows, active, iteration, width, factors, layout)
+        for k, run in enumerate(active):
+            gradient = sums.gradient[k] * factors
+            if lead.intercept:
+                gradient = np.append(gradient, sums.bias[k])
+            run.advance(
+                iteration, gradient, float(sums.loss[k]), sums.n, float(sums.held_out_loss[k]), sums.n_held_out
+            )
+        iteration += 1
 
     elapsed = round((time.perf_counter() - began) * 1000)
     results = []
