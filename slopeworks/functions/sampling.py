@@ -41,6 +41,12 @@ def affine(seed: int) -> tuple[int, int, int]:
     return a % (PRIME - 1) + 1, b % (PRIME - 1) + 1, c % PRIME
 
 
+def rule(seed: int, share: float) -> tuple[int, int, int, int] | None:
+    """The map of a seed and the limit of a share; None when every row is taken."""
+    limit = math.ceil(share * PRIME)
+    return None if limit >= PRIME else (*affine(seed), limit)
+
+
 def place(words: tuple[Column, Column], seed: int) -> Column:
     """Where a seed places a row in [0, P)."""
     a, b, c = affine(seed)
@@ -49,8 +55,8 @@ def place(words: tuple[Column, Column], seed: int) -> Column:
 
 
 def _below(words: tuple[Column, Column], seed: int, share: float) -> Column:
-    limit = math.ceil(share * PRIME)
-    return F.lit(True) if limit >= PRIME else place(words, seed) < limit
+    found = rule(seed, share)
+    return F.lit(True) if found is None else place(words, seed) < found[-1]
 
 
 def in_batch(words: tuple[Column, Column], iteration: int, fraction: float) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from slopeworks.config import BATCH_SEED_BASE, SPLIT_SEED
 from slopeworks.functions.losses import loss_named
 from slopeworks.functions.ops import ColumnOps, NumpyOps
-from slopeworks.functions.sampling import WORDS, in_batch, in_validation, key_words
+from slopeworks.functions.sampling import PRIME, WORDS, in_batch, in_validation, key_words, rule
 from slopeworks.operators.features import MAX_DRIVER_VALUES, NARROW_WIDTH, is_sparse, row_width
 
 # The columns layout pays one generated expression per sum; measured to win up to about here.
@@ -75,6 +75,13 @@ class Rows:
             return self.df.filter(in_batch((F.col(WORDS[0]), F.col(WORDS[1])), iteration, fraction))
         return self.df.sample(False, fraction, BATCH_SEED_BASE + iteration)
 
+    def rule(self, iteration: int | None, fraction: float) -> tuple[int, int, int, int] | None:
+        """How tasks are to draw the mini-batch themselves.  Small keyed tables do: the numbers of a
+        filter are compiled into it, which costs more than reading all of a small table."""
+        if iteration is None or self.tasks is None or not self.keyed:
+            return None
+        return rule(BATCH_SEED_BASE + iteration, fraction)
+
     def vector_columns(self) -> list[str]:
         if self.kind == "narrow":
             return [f"x{j}" for j in range(self.width)]
@@ -155,6 +162,25 @@ def batch_sums(
 
     Validation rows add to ``held_out_loss`` only.
     """
+    return _sums(rows, batch, None, weights, bias, losses, layout)
+
+
+def minibatch_sums(
+    rows: Rows,
+    iteration: int,
+    fraction: float,
+    weights: np.ndarray,
+    bias: np.ndarray,
+    losses: Sequence[str],
+    layout: str = "auto",
+) -> Sums:
+    """``batch_sums`` over the mini-batch of an iteration."""
+    found = rows.rule(iteration, fraction) if layout in ("auto", "arrow") else None
+    batch = rows.df if found is not None else rows.batch(iteration, fraction)
+    return _sums(rows, batch, found, weights, bias, losses, "arrow" if found is not None else layout)
+
+
+def _sums(rows: Rows, batch: DataFrame, drawn, weights, bias, losses, layout: str) -> Sums:
     k, width = weights.shape
     if k * width > MAX_DRIVER_VALUES:
         raise ValueError(f"{k} x {width} weights exceed the broadcast bound of {MAX_DRIVER_VALUES}")
@@ -167,7 +193,7 @@ def batch_sums(
             raise ValueError("the columns layout needs a narrow dense table")
         row = column_sums(rows, batch, weights, bias, losses).first()
         return _from_row(row, k, width)
-    return _arrow_sums(rows, batch, weights, bias, losses)
+    return _arrow_sums(rows, batch, drawn, weights, bias, losses)
 
 
 # --- columns layout -----------------------------------------------------------------------------
@@ -271,7 +297,16 @@ def _sparse_margins(row_of, idx, val, n, weights, bias):
     return np.column_stack(sums) + bias
 
 
-def _partial_sums(kind: str, width: int, losses: Sequence[str], split: bool, shared) -> Callable:
+def _drawn(batch: pa.RecordBatch, rule: tuple[int, int, int, int]) -> pa.RecordBatch:
+    """The rows of a mini-batch; the same sums as the column form, in 64-bit integers."""
+    a, b, c, limit = rule
+    first, second = (batch.column(w).to_numpy() for w in WORDS)
+    return batch.filter(pa.array((first * a + second * b + c) % PRIME < limit))
+
+
+def _partial_sums(
+    kind: str, width: int, losses: Sequence[str], split: bool, drawn: tuple[int, int, int, int] | None, shared
+) -> Callable:
     loss_groups = _grouped(losses)
     k = len(losses)
 
@@ -281,6 +316,8 @@ def _partial_sums(kind: str, width: int, losses: Sequence[str], split: bool, sha
         loss, held_loss, n, n_held = np.zeros(k), np.zeros(k), 0, 0
         with np.errstate(all="ignore"):
             for whole in batches:
+                if drawn is not None:
+                    whole = _drawn(whole, drawn)
                 step = max(1, _CHUNK_VALUES // k)
                 for start in range(0, whole.num_rows, step):
                     batch = whole.slice(start, step)
@@ -344,15 +381,16 @@ def _partial_rows(gradient, bias_gradient, loss, n, held_loss, n_held) -> pa.Rec
     return pa.RecordBatch.from_pydict(arrays)
 
 
-def _arrow_sums(rows: Rows, batch: DataFrame, weights, bias, losses) -> Sums:
+def _arrow_sums(rows: Rows, batch: DataFrame, drawn, weights, bias, losses) -> Sums:
     k, width = weights.shape
     block = min(_BLOCK, max(width, 1))
     columns = ["label", *rows.vector_columns()] + (["held_out"] if rows.split > 0 else [])
+    columns += WORDS if drawn is not None else ()
     values = ["n", "nv", "l", "lv", "b", *[f"g{j}" for j in range(block)]]
     types = "config int, block int, n bigint, nv bigint" + "".join(f", {v} double" for v in values[2:])
     shared = batch.sparkSession.sparkContext.broadcast((weights, bias))
     try:
-        fold = _partial_sums(rows.kind, width, losses, rows.split > 0, shared)
+        fold = _partial_sums(rows.kind, width, losses, rows.split > 0, drawn, shared)
         partials = batch.select(*columns).mapInArrow(fold, types)
         if rows.tasks is not None and rows.tasks * k * (width + 5) <= _DIRECT_VALUES:
             totals = partials.toArrow().group_by(["config", "block"]).aggregate([(v, "sum") for v in values])

@@ -29,7 +29,7 @@ from slopeworks.operators.features import (
     inverse_sd,
     is_sparse,
 )
-from slopeworks.operators.gradient import Rows, Sums, batch_sums, prepare, spread_small
+from slopeworks.operators.gradient import Rows, Sums, minibatch_sums, prepare, spread_small
 from slopeworks.plans.model import LinearModel
 from slopeworks.shared import settled
 
@@ -283,5 +283,5 @@ def _one_pass(rows: Rows, active: list[_Run], iteration: int, width: int, factor
     config = active[0].config
     points = np.array([run.position for run in active])
     bias = points[:, width] if config.intercept else np.zeros(len(active))
-    batch = rows.batch(iteration, config.mini_batch_fraction)
-    return batch_sums(rows, batch, points[:, :width] * factors, bias, [r.config.loss for r in active], layout)
+    weights, losses = points[:, :width] * factors, [r.config.loss for r in active]
+    return minibatch_sums(rows, iteration, config.mini_batch_fraction, weights, bias, losses, layout)
