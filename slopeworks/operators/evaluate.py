@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from slopeworks.functions.losses import link_of
 from slopeworks.operators.features import MAX_DRIVER_VALUES
-from slopeworks.operators.gradient import Rows, margins_of
+from slopeworks.operators.gradient import DENSE_CHUNK, Rows, margins_of
 
 
 def confusion(scored: DataFrame) -> DataFrame:
@@ -46,15 +46,18 @@ def confusion_of(rows: Rows, models: Sequence) -> DataFrame:
     def count(batches):
         total = np.zeros((len(cuts), 2, 2), dtype=np.int64)
         with np.errstate(all="ignore"):
-            for batch in batches:
-                score = margins_of(batch, kind, weights, bias)
-                score = np.where(log_odds, 1.0 / (1.0 + np.exp(-score)), score)
-                truth = (batch.column("label").to_numpy(zero_copy_only=False) > 0)[:, None]
-                said = score > cuts
-                total[:, 1, 1] += (said & truth).sum(axis=0)
-                total[:, 0, 1] += (said & ~truth).sum(axis=0)
-                total[:, 1, 0] += (~said & truth).sum(axis=0)
-                total[:, 0, 0] += (~said & ~truth).sum(axis=0)
+            for whole in batches:
+                step = max(1, DENSE_CHUNK // len(cuts))
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
+                    score = margins_of(batch, kind, weights, bias)
+                    score = np.where(log_odds, 1.0 / (1.0 + np.exp(-score)), score)
+                    truth = batch.column("label").to_numpy(zero_copy_only=False) > 0
+                    said = score > cuts
+                    for label, among in enumerate((said[~truth], said[truth])):
+                        ones = among.sum(axis=0)
+                        total[:, label, 1] += ones
+                        total[:, label, 0] += len(among) - ones
         config, label, prediction = np.nonzero(total)
         yield pa.RecordBatch.from_pydict(
             {

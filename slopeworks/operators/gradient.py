@@ -43,8 +43,10 @@ _SMALL_ROWS = 2_000_000
 _MANY_PARTITIONS = 10_000_000
 # Partial sums of up to this many values (8 MB) go straight to the driver, without a second stage.
 _DIRECT_VALUES = 1_000_000
-# Rows times weight vectors held at once by a task.
-_CHUNK_VALUES = 2_000_000
+# Rows times weight vectors held at once by a task: dense chunks are to stay in a core's cache,
+# sparse ones are to outweigh a pass over all indices.
+DENSE_CHUNK = 32_768
+_SPARSE_CHUNK = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -263,6 +265,8 @@ def _grouped(losses: Sequence[str]) -> list[tuple[Callable, list[int]]]:
 
 
 def _row_terms(loss_groups, margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(loss_groups) == 1:
+        return loss_groups[0][0](NumpyOps, margins, label[:, None])
     multiplier, loss = np.empty_like(margins), np.empty_like(margins)
     for function, at in loss_groups:
         multiplier[:, at], loss[:, at] = function(NumpyOps, margins[:, at], label[:, None])
@@ -318,7 +322,7 @@ def _partial_sums(
             for whole in batches:
                 if drawn is not None:
                     whole = _drawn(whole, drawn)
-                step = max(1, _CHUNK_VALUES // k)
+                step = max(1, (_SPARSE_CHUNK if kind == "sparse" else DENSE_CHUNK) // k)
                 for start in range(0, whole.num_rows, step):
                     batch = whole.slice(start, step)
                     label = batch.column("label").to_numpy(zero_copy_only=False)
