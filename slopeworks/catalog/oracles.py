@@ -31,10 +31,10 @@ def lit(x: float) -> str:
 
 
 def placed(seed: int) -> str:
-    """Where a seed places a row in [0, P): the affine map of its two hash words."""
+    """Where a seed places a row in [0, P): an affine map of the two parts of its hash word."""
     a, b, c = affine(seed)
-    first, second = (f"CAST(concat('0x', substr(md5(k), {at}, 8)) AS BIGINT) % {PRIME}" for at in (1, 9))
-    return f"(({first}) * {a} + ({second}) * {b} + {c}) % {PRIME}"
+    word = "CAST(concat('0x', substr(md5(k), 1, 15)) AS BIGINT)"
+    return f"(({word} % {2**31}) * {a} + ({word} // {2**31}) * {b} + {c}) % {PRIME}"
 
 
 def in_batch(iteration: int, fraction: float) -> str:

@@ -1,9 +1,9 @@
 """Reproducible row sampling by key: no shuffle, independent of partitioning.
 
-A row's key is hashed once into two words.  Each seed then places every row in [0, P) by one affine
-map of its words modulo the prime P, and a sample of a share takes the rows below share * P.  For
-two seeds the places of a row are independent, and drawing a batch costs two multiplications per
-row instead of a hash.
+A row's key is hashed once into a word of 60 bits.  Each seed then places every row in [0, P) by an
+affine map of the word's low 31 and high 29 bits modulo the prime P, and a sample of a share takes
+the rows below share * P.  Seeds use unrelated maps, and drawing a batch costs two multiplications
+per row instead of a hash.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from slopeworks.config import BATCH_SEED_BASE, SPLIT_SEED
 
 # 2^31 - 1: two products of numbers below it, and a third number, fit a signed 64-bit sum.
 PRIME = 2**31 - 1
-# Hash words of a prepared table.
-WORDS = ("h1", "h2")
+LOW_BITS = 31
+# Hash word of a prepared table.
+WORD = "h"
 
 
 def row_key(*columns: str | Column) -> Column:
@@ -27,11 +28,9 @@ def row_key(*columns: str | Column) -> Column:
     return F.concat_ws("-", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
 
 
-def key_words(key: Column) -> tuple[Column, Column]:
-    """Two numbers below P from the first 64 bits of md5(key)."""
-    digest = F.md5(key.cast("string"))
-    first, second = (F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") % PRIME for at in (1, 9))
-    return first, second
+def key_word(key: Column) -> Column:
+    """The first 60 bits of md5(key) as a number."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
 def affine(seed: int) -> tuple[int, int, int]:
@@ -47,23 +46,23 @@ def rule(seed: int, share: float) -> tuple[int, int, int, int] | None:
     return None if limit >= PRIME else (*affine(seed), limit)
 
 
-def place(words: tuple[Column, Column], seed: int) -> Column:
+def place(word: Column, seed: int) -> Column:
     """Where a seed places a row in [0, P)."""
-    a, b, c = affine(seed)
-    first, second = words
-    return (first * F.lit(a).cast("bigint") + second * F.lit(b).cast("bigint") + F.lit(c).cast("bigint")) % PRIME
+    a, b, c = (F.lit(x).cast("bigint") for x in affine(seed))
+    low = word.bitwiseAND(F.lit(PRIME).cast("bigint"))
+    return (low * a + F.shiftright(word, LOW_BITS) * b + c) % PRIME
 
 
-def _below(words: tuple[Column, Column], seed: int, share: float) -> Column:
+def _below(word: Column, seed: int, share: float) -> Column:
     found = rule(seed, share)
-    return F.lit(True) if found is None else place(words, seed) < found[-1]
+    return F.lit(True) if found is None else place(word, seed) < found[-1]
 
 
-def in_batch(words: tuple[Column, Column], iteration: int, fraction: float) -> Column:
+def in_batch(word: Column, iteration: int, fraction: float) -> Column:
     """Whether a row belongs to the mini-batch of a 1-based iteration."""
-    return _below(words, BATCH_SEED_BASE + iteration, fraction)
+    return _below(word, BATCH_SEED_BASE + iteration, fraction)
 
 
-def in_validation(words: tuple[Column, Column], split: float) -> Column:
+def in_validation(word: Column, split: float) -> Column:
     """Whether a row is set aside for validation."""
-    return ~_below(words, SPLIT_SEED, 1.0 - split)
+    return ~_below(word, SPLIT_SEED, 1.0 - split)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from slopeworks.config import BATCH_SEED_BASE, SPLIT_SEED
 from slopeworks.functions.losses import loss_named
 from slopeworks.functions.ops import ColumnOps, NumpyOps
-from slopeworks.functions.sampling import PRIME, WORDS, in_batch, in_validation, key_words, rule
+from slopeworks.functions.sampling import LOW_BITS, PRIME, WORD, in_batch, in_validation, key_word, rule
 from slopeworks.operators.features import MAX_DRIVER_VALUES, NARROW_WIDTH, is_sparse, row_width
 
 # The columns layout pays one generated expression per sum; measured to win up to about here.
@@ -67,14 +67,14 @@ class Rows:
 
     @property
     def keyed(self) -> bool:
-        return WORDS[0] in self.df.columns
+        return WORD in self.df.columns
 
     def batch(self, iteration: int | None, fraction: float) -> DataFrame:
         """Rows of one mini-batch: by key hash, or by Spark's sampler for tables without a key."""
         if iteration is None or fraction >= 1.0:
             return self.df
         if self.keyed:
-            return self.df.filter(in_batch((F.col(WORDS[0]), F.col(WORDS[1])), iteration, fraction))
+            return self.df.filter(in_batch(F.col(WORD), iteration, fraction))
         return self.df.sample(False, fraction, BATCH_SEED_BASE + iteration)
 
     def rule(self, iteration: int | None, fraction: float) -> tuple[int, int, int, int] | None:
@@ -93,15 +93,15 @@ class Rows:
 def held_out(df: DataFrame, split: float) -> Column:
     """Whether a row is kept for validation: by key hash, or by Spark's seeded numbers."""
     if "row_key" in df.columns:
-        return in_validation(key_words(F.col("row_key")), split)
+        return in_validation(key_word(F.col("row_key")), split)
     return F.rand(SPLIT_SEED) >= 1.0 - split
 
 
-def hash_words(df: DataFrame) -> list[Column]:
+def hash_word(df: DataFrame) -> list[Column]:
     """What sampling needs of a row's key, where there is one."""
     if "row_key" not in df.columns:
         return []
-    return [word.alias(name) for word, name in zip(key_words(F.col("row_key")), WORDS)]
+    return [key_word(F.col("row_key")).alias(WORD)]
 
 
 def spread_small(df: DataFrame, n_rows: int, width: int | None) -> tuple[DataFrame, int | None]:
@@ -129,7 +129,7 @@ def prepare(
     else:
         vector = [F.col(c) for c in (("features",) if kind == "dense" else ("idx", "val"))]
     columns = [F.col("label"), *vector, row_width(df).alias("length")]
-    columns += hash_words(df) if sampled else []
+    columns += hash_word(df) if sampled else []
     if split > 0:
         columns.append(held_out(df, split).alias("held_out"))
     prepared = df.select(*columns)
@@ -304,8 +304,8 @@ def _sparse_margins(row_of, idx, val, n, weights, bias):
 def _drawn(batch: pa.RecordBatch, rule: tuple[int, int, int, int]) -> pa.RecordBatch:
     """The rows of a mini-batch; the same sums as the column form, in 64-bit integers."""
     a, b, c, limit = rule
-    first, second = (batch.column(w).to_numpy() for w in WORDS)
-    return batch.filter(pa.array((first * a + second * b + c) % PRIME < limit))
+    word = batch.column(WORD).to_numpy()
+    return batch.filter(pa.array(((word & PRIME) * a + (word >> LOW_BITS) * b + c) % PRIME < limit))
 
 
 def _partial_sums(
@@ -389,7 +389,7 @@ def _arrow_sums(rows: Rows, batch: DataFrame, drawn, weights, bias, losses) -> S
     k, width = weights.shape
     block = min(_BLOCK, max(width, 1))
     columns = ["label", *rows.vector_columns()] + (["held_out"] if rows.split > 0 else [])
-    columns += WORDS if drawn is not None else ()
+    columns += [WORD] if drawn is not None else []
     values = ["n", "nv", "l", "lv", "b", *[f"g{j}" for j in range(block)]]
     types = "config int, block int, n bigint, nv bigint" + "".join(f", {v} double" for v in values[2:])
     shared = batch.sparkSession.sparkContext.broadcast((weights, bias))

@@ -20,6 +20,7 @@ from slopeworks.config import SgdConfig
 from slopeworks.functions.ops import NumpyOps
 from slopeworks.functions.updates import Tick, opening_penalty, penalty, regularized, updater_named
 from slopeworks.operators.control import has_converged, must_stop, norm
+from slopeworks.operators.evaluate import accuracy, accuracy_of
 from slopeworks.operators.features import (
     MAX_DRIVER_VALUES,
     checked_shape,
@@ -53,6 +54,7 @@ class FitResult:
     steps: list[Step]
     stop_reason: str
     elapsed_ms: int
+    train_accuracy: float | None = None
 
     @property
     def losses(self) -> list[float]:
@@ -161,6 +163,7 @@ def fit(
     initial_weights: Sequence[float] | DataFrame | None = None,
     storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK,
     layout: str = "auto",
+    score: bool = False,
 ) -> list[FitResult]:
     """Train every configuration on a canonical training table; results keep the given order.
 
@@ -169,7 +172,8 @@ def fit(
     a ``row_key`` sample reproducibly under any partitioning; without one Spark's own seeded sampler
     draws the batches, and a validation split is settled in the shared folder first.
 
-    ``layout`` is "auto", "columns", "arrow" or "join"; "auto" moves on to "join" when the weights
+    ``score`` adds the accuracy on the whole table, taken while it is still persisted.  ``layout`` is
+    "auto", "columns", "arrow" or "join"; "auto" moves on to "join" when the weights
     of all configurations exceed the broadcast bound.
     """
     configs = [configs] if isinstance(configs, SgdConfig) else list(configs)
@@ -219,6 +223,9 @@ def fit(
                 found = fit_wide(df, chosen, shape, start, storage)
             else:
                 found = _fit_group(df, prepared, chosen, _start(initial_weights, shape.width), layout)
+            if score and n_rows:
+                for result, value in zip(found, accuracies(df, prepared, [r.model for r in found])):
+                    result.train_accuracy = value
         finally:
             if kept:
                 prepared.df.unpersist()
@@ -227,6 +234,16 @@ def fit(
     return results
 
 
+def accuracies(df: DataFrame, rows: Rows, models: Sequence) -> list[float | None]:
+    """Accuracy of models on a canonical table and its prepared form: in one pass where all weights
+    together may be broadcast, else one pass per model."""
+    bounded = all(isinstance(m, LinearModel) for m in models)
+    if bounded and len(models) * rows.width <= MAX_DRIVER_VALUES:
+        found = {r["config_id"]: r["accuracy"] for r in accuracy_of(rows, models).collect()}
+        return [found.get(i) for i in range(len(models))]
+    return [accuracy(m.transform(df)).first()["accuracy"] for m in models]
+
+
 def _start(initial_weights: Sequence[float] | DataFrame | None, width: int) -> np.ndarray:
     if initial_weights is None:
         return np.zeros(width)

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from slopeworks.config import SgdConfig
 from slopeworks.functions.updates import UPDATER_NAMES
-from slopeworks.operators.evaluate import accuracy_of
 from slopeworks.operators.gradient import prepare
-from slopeworks.plans.fit import FitResult, fit, history_table
+from slopeworks.plans.fit import FitResult, accuracies, fit, history_table
 
 # Base rate per updater in id order, and the relative variations tried around it.
 BASE_RATES = (0.1, 0.1, 0.1, 1.0, 100.0, 0.1, 0.2, 2.0, 0.2, 0.2)
@@ -70,18 +69,14 @@ def sweep(
     num_features: int | None = None,
     **fit_options,
 ) -> SweepResult:
-    """Train all configurations and score them on both tables, one pass per table.
+    """Train all configurations and score them on both tables.
 
     ``elapsed_ms`` is the time of the lock-step group a run belonged to.
     """
     spark = train.sparkSession
-    results = fit(train, configs, num_features, **fit_options)
+    results = fit(train, configs, num_features, score=True, **fit_options)
     models = [r.model for r in results]
-    width = models[0].num_features
-    scores = [
-        accuracy_of(prepare(table, width), models).withColumnRenamed("accuracy", name)
-        for table, name in ((train, "train_acc"), (test, "test_acc"))
-    ]
+    test_accuracy = accuracies(test, prepare(test, models[0].num_features, sampled=False), models)
     alg = [r.config.loss for r in results]
     about = spark.createDataFrame(
         pa.table(
@@ -91,12 +86,12 @@ def sweep(
                 "iterations": pa.array([len(r.steps) for r in results], pa.int32()),
                 "stop_reason": pa.array([r.stop_reason for r in results], pa.string()),
                 "elapsed_ms": pa.array([r.elapsed_ms for r in results], pa.int64()),
+                "train_acc": pa.array([r.train_accuracy for r in results], pa.float64()),
+                "test_acc": pa.array(test_accuracy, pa.float64()),
             }
         )
     )
     runs = config_table(spark, [r.config for r in results]).join(about, "config_id")
-    for score in scores:
-        runs = runs.join(score, "config_id")
     history = history_table(spark, results)
     return SweepResult(
         runs.withColumn("run_id", F.col("config_id")),

@@ -19,7 +19,7 @@ from slopeworks.functions.ops import ColumnOps, NumpyOps
 from slopeworks.functions.updates import Tick, opening_penalty, penalty, regularized, updater_named
 from slopeworks.operators.control import has_converged
 from slopeworks.operators.features import MAX_DRIVER_VALUES, collect_vector, column_stddev
-from slopeworks.operators.gradient import Rows, hash_words, held_out
+from slopeworks.operators.gradient import Rows, hash_word, held_out
 from slopeworks.operators.joined import (
     BIAS,
     HELD_LOSS,
@@ -128,7 +128,7 @@ def _iterate_all(df: DataFrame, runs: list[_WideRun], params: DataFrame, lead: S
     if "row_key" not in rows.columns:
         # Margins and gradient are separate reads of a batch, so its rows must be chosen by key.
         rows = rows.withColumn("row_key", F.col("row_id").cast("string"))
-    marks = hash_words(rows)
+    marks = hash_word(rows)
     if lead.validation_split > 0:
         marks.append(held_out(rows, lead.validation_split).alias("held_out"))
     rows = rows.select("row_id", "label", "idx", "val", *marks)

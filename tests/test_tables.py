@@ -141,11 +141,11 @@ def test_samples(spark):
 def test_batches_of_different_iterations_are_independent(spark):
     from pyspark.sql import functions as F
 
-    from slopeworks.functions.sampling import in_batch, key_words
+    from slopeworks.functions.sampling import in_batch, key_word
 
     rows = spark.range(40000).select(F.col("id").cast("string").alias("row_key"))
-    words = key_words(F.col("row_key"))
-    drawn = rows.select(*[in_batch(words, i, 0.25).cast("int").alias(f"b{i}") for i in range(1, 7)])
+    word = key_word(F.col("row_key"))
+    drawn = rows.select(*[in_batch(word, i, 0.25).cast("int").alias(f"b{i}") for i in range(1, 7)])
     share = lambda *names: F.avg(np.prod([F.col(n) for n in names]))
     names = drawn.columns
     single = drawn.agg(*[share(n) for n in names]).first()
