@@ -104,3 +104,31 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind=pa.int32()) -> pa.Li
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """0: not looked at yet, 1: no letter, 2: letter; by code point."""
+    return np.zeros(0x110000, np.uint8)
+
+
+def letter_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the lower-cased texts, end to end, starts and ends of the runs of letters, and the
+    number of such words before each text (one more than texts)."""
+    lowered = [text.lower() for text in texts]
+    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = _letters()
+    known = table[points]
+    if not known.all():
+        fresh = np.unique(points[known == 0])
+        table[fresh] = [2 if chr(point).isalpha() else 1 for point in fresh.tolist()]
+        known = table[points]
+    breaks = np.concatenate([[0], np.cumsum([len(text) for text in lowered], dtype=np.int64)])
+    starts, ends, before = runs(known == 2, breaks)
+    return points, starts, ends, before
+
+
+def sums_by_text(values: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Sums of the values of each text; ``before`` counts the values before each text."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    return total[before[1:]] - total[before[:-1]]

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slopeworks.shared import shared_folder
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -26,8 +29,59 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _joined(spans, kinds: tuple[str, ...]):
+    kept = F.filter(spans, lambda span: span["kind"].isin(*kinds))
+    return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _number_of(spans, kind: str):
+    return F.size(F.filter(spans, lambda span: span["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from slopeworks.llm.secrets import KINDS, find_secrets
+
+    found = find_secrets(table(spark, folder, "documents"))
+    base = KINDS[:3]
+    counts = [_number_of(F.col("spans"), kind) for kind in base]
+    digest = F.sha2(_joined(F.col("spans"), base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, _joined(F.col("spans"), KINDS).alias("spans"))
+
+
+def op3_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    from slopeworks.llm.decontaminate import contamination
+
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from slopeworks.llm.simhash import near_copies
+
+    found = near_copies(table(spark, folder, "documents"))
+    text = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def op8_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from slopeworks.llm.shards import read_token_shards, write_token_shards
+
+    path = shared_folder(spark, f"token-shards-{uuid4().hex}")
+    write_token_shards(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_shards(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_pieces": op10_pieces}
+    return {"op2_secrets": op2_secrets, "op3_contamination": op3_contamination, "op4_simhash": op4_simhash, "op8_token_shards": op8_token_shards, "op10_pieces": op10_pieces}
 
 
 def llm_oracles() -> dict[str, str]:
