@@ -18,7 +18,7 @@ import pandas as pd
 from slopeworks.llm.blocks import span_hashes
 
 # Distinct pre-tokens a worker keeps.
-MAX_WORDS = 800_000
+MAX_WORDS = 500_000
 _GROUP = 32
 _UNKNOWN, _LETTER, _NUMBER, _SPACE, _OTHER = range(5)
 # The contractions of the byte-level pattern.

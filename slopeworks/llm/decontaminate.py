@@ -49,15 +49,6 @@ def block_words(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndar
     return data, starts, ends, before
 
 
-def _gram_hashes(data, starts, ends, before, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of ``size`` words, and which of them lie within one text."""
-    hashes = shingle_hashes(span_hashes(data, starts, ends), size)
-    if not len(hashes):
-        return hashes, np.zeros(0, bool)
-    owner = np.repeat(np.arange(len(before) - 1), np.diff(before))
-    return hashes, owner[: len(hashes)] == owner[size - 1 :]
-
-
 def benchmark_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """``item_id, window (words joined by a space), n, size, buckets`` for every window of every item;
     ``buckets`` are the places of its shingles in the bitmap."""
@@ -66,7 +57,8 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHI
         for block in row_blocks(batches):
             data, starts, ends, before = block_words(column_of(block, "text"))
             words = [data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            hashes = {size: _gram_hashes(data, starts, ends, before, size)[0] for size in range(1, shingle + 1)}
+            keys = span_hashes(data, starts, ends)
+            hashes = {size: shingle_hashes(keys, size) for size in range(1, shingle + 1)}
             rows = []
             for item, first, stop in zip(
                 column_of(block, "id").to_pylist(), before[:-1].tolist(), before[1:].tolist(), strict=True
@@ -107,8 +99,11 @@ def _scanned(documents: DataFrame, bitmap, sizes: list[int], id_type: str) -> Da
         for block in row_blocks(batches):
             data, starts, ends, before = block_words(column_of(block, "text"))
             found: list[list[dict]] = [[] for _ in range(block.num_rows)]
+            words = span_hashes(data, starts, ends)
+            owner = np.repeat(np.arange(block.num_rows), np.diff(before))
             for size in sizes:
-                hashes, inside = _gram_hashes(data, starts, ends, before, size)
+                hashes = shingle_hashes(words, size)
+                inside = owner[: len(hashes)] == owner[size - 1 :] if len(hashes) else np.zeros(0, bool)
                 places = hashes >> np.uint64(64 - FILTER_BITS)
                 held = (bits[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1)
                 firsts, stops, _ = runs(held.astype(bool) & inside, before)
@@ -197,3 +192,9 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
         F.coalesce(_covered("spans"), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.array_sort(F.array_distinct("items")), none).alias("items"),
     )
+
+
+def clean(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, whose id no contaminated document has."""
+    found = contamination(documents, items).filter("n_hit > 0").select(F.col("doc_id").alias("__id")).distinct()
+    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")

@@ -247,14 +247,34 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> AdditiveModel:
     return model
 
 
-def train(rows: DataFrame, labels: DataFrame, id_column: str, label_column: str, sample: int = SAMPLE) -> AdditiveModel:
+def _labelled(labels: DataFrame, id_column: str, label_column: str) -> DataFrame:
+    known = labels.filter(F.col(label_column).isNotNull()).groupBy(id_column)
+    return known.agg(F.max(label_column).cast("double").alias("__label"))
+
+
+def _sampled(rows: DataFrame, labels: DataFrame, id_column: str, tie: str, label_column: str, sample: int) -> DataFrame:
+    """At most ``sample`` labelled rows, those whose id has the smallest hash."""
+    taken = rows.join(_labelled(labels, id_column, label_column), id_column)
+    return taken.orderBy(F.xxhash64(F.col(id_column).cast("string")), id_column, tie).limit(sample)
+
+
+def train(
+    rows: DataFrame, labels: DataFrame, id_column: str, label_column: str, sample: int = SAMPLE
+) -> AdditiveModel:
     """Fit on at most ``sample`` rows of ``rows`` (id and features) that have a label."""
-    known = labels.filter(F.col(label_column).isNotNull()).groupBy(id_column).agg(F.max(label_column).alias("label"))
-    taken = rows.join(known, id_column).select(id_column, "features", F.col("label").cast("double").alias("label"))
-    taken = taken.orderBy(F.xxhash64(F.col(id_column).cast("string")), id_column, "features").limit(sample).toPandas()
-    if not len(taken):
+    taken = _sampled(rows.select(id_column, "features"), labels, id_column, "features", label_column, sample)
+    found = taken.select("features", "__label").toPandas()
+    if not len(found):
         return AdditiveModel()
-    return fit(np.stack(taken["features"].to_numpy()), taken["label"].to_numpy(np.float64))
+    return fit(np.stack(found["features"].to_numpy()), found["__label"].to_numpy(np.float64))
+
+
+def train_on_texts(
+    rows: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, sample: int = SAMPLE
+) -> AdditiveModel:
+    """As ``train``, from texts: features are taken from labelled rows only."""
+    known = rows.join(labels.filter(F.col(label_column).isNotNull()).select(id_column).distinct(), id_column, "left_semi")
+    return train(features(known, id_column, text_column), labels, id_column, label_column, sample)
 
 
 def score(rows: DataFrame, model: AdditiveModel, id_column: str = "doc_id") -> DataFrame:
@@ -269,3 +289,14 @@ def score(rows: DataFrame, model: AdditiveModel, id_column: str = "doc_id") -> D
 
     own = rows.select(rows[id_column].alias("id"), "features")
     return own.mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_column)
+
+
+def accepted(df: DataFrame, model: AdditiveModel, limit: float, text_column: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose text scores ``limit`` or more."""
+
+    def run(batches):
+        for block in row_blocks(batches, text_column):
+            scores = model.scores(block_features(column_of(block, text_column)))
+            yield block.filter(pa.array(scores >= limit))
+
+    return df.mapInArrow(run, df.schema)

@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.shared import shared_folder
+from slopeworks.shared import settled, shared_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,7 +20,10 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
     from slopeworks.llm.pieces import encode_pieces
 
-    encoded = encode_pieces(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_digests(encode_pieces(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def piece_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -29,6 +32,63 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def remainder(id_column: str, modulus: int):
+    """crc32 of the id as text, modulo ``modulus``."""
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from slopeworks.llm.toxicity import score, train
+
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    learned = documents.filter(remainder("doc_id", 5) != 0)
+    model = train(learned, labels, "doc_id", "text", "toxic", remainder("id", 5) == 1)
+    return _judged(score(documents.select("doc_id", "text"), model), 0.5)
+
+
+def op5_pages(spark: SparkSession, folder: str) -> DataFrame:
+    from slopeworks.llm.pages import extract
+
+    found = extract(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op6_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from slopeworks.llm.vectors import near_vectors
+
+    found = near_vectors(table(spark, folder, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from slopeworks.llm.quality import features, score, train
+
+    rows = settled(features(table(spark, folder, "documents")))
+    labels = table(spark, folder, "labels")
+    model = train(rows.filter(remainder("doc_id", 5) != 0), labels, "doc_id", "quality")
+    return _judged(score(rows, model), 0.3)
+
+
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    from slopeworks.llm.language import identify, train
+
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = remainder("doc_id", 3) == 1
+    model = train(documents.filter(~held_out))
+    found = identify(documents, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def _judged(scored: DataFrame, limit: float) -> DataFrame:
+    """``doc_id, held_out, score, predicted``, for labels learned where the remainder of 5 is not 0."""
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= limit).cast("int").alias("predicted"),
+    )
+
+
 def _joined(spans, kinds: tuple[str, ...]):
     kept = F.filter(spans, lambda span: span["kind"].isin(*kinds))
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -81,7 +141,18 @@ def op8_token_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets, "op3_contamination": op3_contamination, "op4_simhash": op4_simhash, "op8_token_shards": op8_token_shards, "op10_pieces": op10_pieces}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_secrets": op2_secrets,
+        "op3_contamination": op3_contamination,
+        "op4_simhash": op4_simhash,
+        "op5_pages": op5_pages,
+        "op6_vectors": op6_vectors,
+        "op7_quality": op7_quality,
+        "op8_token_shards": op8_token_shards,
+        "op9_language": op9_language,
+        "op10_pieces": op10_pieces,
+    }
 
 
 def llm_oracles() -> dict[str, str]:

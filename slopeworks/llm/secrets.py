@@ -184,3 +184,36 @@ def find_secrets(
     rows = df.select(df[id_column].alias("id"), df[text_column].cast("string").alias("text"))
     schema = f"id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+
+
+def without_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each span, or run of overlapping spans, replaced by the kind of its first."""
+    parts, at = [], 0
+    for start, end, kind in spans:
+        if start >= at:
+            parts += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def redact(df: DataFrame, text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """The rows of ``df`` with secrets taken out of the text, and the length as it is then; other columns
+    and rows without secrets stay as they are."""
+    dictionary = identifier_dictionary(df, text_column)
+
+    def run(batches):
+        for block in row_blocks(batches, text_column):
+            columns = {name: block.column(place) for place, name in enumerate(block.schema.names)}
+            texts = columns[text_column].to_pylist()
+            spans = [spans_of(text, dictionary) if text else [] for text in texts]
+            if any(spans):
+                changed = [without_spans(text, own) if own else text for text, own in zip(texts, spans, strict=True)]
+                columns[text_column] = pa.array(changed, columns[text_column].type)
+                if length_column in columns:
+                    lengths = zip(columns[length_column].to_pylist(), changed, spans, strict=True)
+                    columns[length_column] = pa.array(
+                        [len(text) if own else length for length, text, own in lengths], columns[length_column].type
+                    )
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return df.mapInArrow(run, df.schema)

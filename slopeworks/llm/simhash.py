@@ -90,3 +90,24 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fingerprint", "times", "component_id")
     return join_spread(marked, named, "fingerprint", "times", total).select(id_column, "fingerprint", "component_id")
+
+
+def one_of_each(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, with one document of each component: that with the smallest
+    id.  Of rows that share this id the one with the smallest text stays."""
+    found = near_copies(df, id_column, text_column)
+    kept = settled(
+        found.filter(F.col(id_column).eqNullSafe(F.col("component_id")))
+        .groupBy(id_column)
+        .agg(F.count("*").alias("times"))
+    )
+    own = kept.select(F.col(id_column).alias("__id"), F.col("times").alias("__times"))
+    once = own.filter("__times = 1").drop("__times")
+    rows = df.join(once, F.col(id_column).eqNullSafe(F.col("__id")), "left_semi")
+    again = own.filter("__times > 1").drop("__times")
+    if again.isEmpty():
+        return rows
+    several = df.join(again, F.col(id_column).eqNullSafe(F.col("__id")), "left_semi")
+    order = Window.partitionBy(id_column).orderBy(F.asc_nulls_first(text_column))
+    first = several.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
+    return rows.unionByName(first)
