@@ -248,7 +248,7 @@ def _links(indexed: DataFrame, model, size: int, threshold: float) -> DataFrame:
         )
     )
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         place, found = key[0].as_py(), {}
         for member in (True, False):
             rows = table.filter(pa.compute.equal(table["member"], member))
