@@ -139,7 +139,9 @@ def surroundings(df: DataFrame, text_column: str = "text") -> DataFrame:
                 for start, end in candidates(text):
                     for side in around(text, start, end):
                         for word in _IDENTIFIER.findall(side):
-                            counts[word] = counts.get(word, 0) + 1
+                            # A secret near another one must not teach the compressor.
+                            if len(word) < 8 or not _MIXED.match(word):
+                                counts[word] = counts.get(word, 0) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "times"]
             )
