@@ -33,7 +33,7 @@ def majority_accuracy(df: DataFrame) -> DataFrame:
 def confusion_of(rows: Rows, models: Sequence) -> DataFrame:
     """``(config_id, label, prediction, n)`` for many models in one pass over a prepared table.
 
-    Every task sends at most four counts per model.
+    Labels are told apart as they are, null among them; every task sends two counts per label and model.
     """
     weights = np.array([m.weights for m in models])
     if weights.size > MAX_DRIVER_VALUES:
@@ -44,7 +44,8 @@ def confusion_of(rows: Rows, models: Sequence) -> DataFrame:
     kind = rows.kind
 
     def count(batches):
-        total = np.zeros((len(cuts), 2, 2), dtype=np.int64)
+        # Per label (as it is, null apart) and model: how many rows were said to be 0 and 1.
+        total: dict[float | None, np.ndarray] = {}
         with np.errstate(all="ignore"):
             for whole in batches:
                 step = max(1, DENSE_CHUNK // len(cuts))
@@ -52,21 +53,24 @@ def confusion_of(rows: Rows, models: Sequence) -> DataFrame:
                     batch = whole.slice(start, step)
                     score = margins_of(batch, kind, weights, bias)
                     score = np.where(log_odds, 1.0 / (1.0 + np.exp(-score)), score)
-                    truth = batch.column("label").to_numpy(zero_copy_only=False) > 0
                     said = score > cuts
-                    for label, among in enumerate((said[~truth], said[truth])):
+                    labels = batch.column("label")
+                    for label in labels.unique().to_pylist():
+                        among = said[_equal(labels, label)]
                         ones = among.sum(axis=0)
-                        total[:, label, 1] += ones
-                        total[:, label, 0] += len(among) - ones
-        config, label, prediction = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "config_id": pa.array(config, pa.int32()),
-                "label": pa.array(label, pa.float64()),
-                "prediction": pa.array(prediction, pa.float64()),
-                "n": pa.array(total[config, label, prediction], pa.int64()),
-            }
-        )
+                        key = None if label is None else label + 0.0
+                        total.setdefault(key, np.zeros((len(cuts), 2), np.int64))
+                        total[key] += np.stack([len(among) - ones, ones], axis=1)
+        for label, sums in total.items():
+            config, prediction = np.nonzero(sums)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "config_id": pa.array(config, pa.int32()),
+                    "label": pa.array([label] * len(config), pa.float64()),
+                    "prediction": pa.array(prediction, pa.float64()),
+                    "n": pa.array(sums[config, prediction], pa.int64()),
+                }
+            )
 
     counts = rows.df.select("label", *rows.vector_columns()).mapInArrow(
         count, "config_id int, label double, prediction double, n bigint"
@@ -74,7 +78,16 @@ def confusion_of(rows: Rows, models: Sequence) -> DataFrame:
     return counts.groupBy("config_id", "label", "prediction").agg(F.sum("n").alias("n"))
 
 
+def _equal(labels: pa.Array, label: float | None) -> np.ndarray:
+    if label is None:
+        return labels.is_null().to_numpy(zero_copy_only=False)
+    values = labels.to_numpy(zero_copy_only=False)
+    own = np.isnan(values) & labels.is_valid().to_numpy(zero_copy_only=False) if label != label else values == label
+    return own
+
+
 def accuracy_of(rows: Rows, models: Sequence) -> DataFrame:
     """``(config_id, accuracy)`` for many models in one pass."""
+    known = confusion_of(rows, models).filter(F.col("label").isNotNull())  # as in ``accuracy``
     hits = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
-    return confusion_of(rows, models).groupBy("config_id").agg((hits / F.sum("n")).alias("accuracy"))
+    return known.groupBy("config_id").agg((hits / F.sum("n")).alias("accuracy"))

@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +43,58 @@ def row_width(df: DataFrame) -> Column:
     return F.size("features")
 
 
+def bad_vector(df: DataFrame) -> Column:
+    """Whether a row's vector is unclean: a null element, or in sparse form a null or negative index, a
+    null value, or index and value lists of unequal length.  A row without a vector is not unclean but
+    missing."""
+    if is_sparse(df):
+        broken = (F.size("idx") != F.size("val")) | F.exists("idx", lambda i: i.isNull() | (i < 0))
+        return F.coalesce(broken | F.exists("val", lambda x: x.isNull()), F.lit(False))
+    return F.coalesce(F.exists("features", lambda x: x.isNull()), F.lit(False))
+
+
+def cleaned(df: DataFrame, unclean: Column) -> list[Column]:
+    """The vector columns with one meaning for unclean rows in every layout: a null element or value is
+    0, and entries with a null or negative index, or without a partner, are not there."""
+    if not is_sparse(df):
+        whole = F.transform("features", lambda x: F.coalesce(x, F.lit(0.0)))
+        return [F.when(unclean, whole).otherwise(F.col("features")).alias("features")]
+    pairs = F.filter(
+        F.arrays_zip("idx", "val"), lambda e: e["idx"].isNotNull() & (e["idx"] >= 0) & e["val"].isNotNull()
+    )
+    return [F.when(unclean, pairs[c]).otherwise(F.col(c)).alias(c) for c in ("idx", "val")]
+
+
 def width_summary(df: DataFrame) -> DataFrame:
     """Row count, bad labels, rows without features and feature widths, in one aggregate."""
     return _summary(df.select("label", row_width(df).alias("length")))
 
 
+def unclean_counts(df: DataFrame) -> DataFrame:
+    """``n_bad_labels, n_missing, n_bad_vectors, n_no_key`` of a training table, in one aggregate."""
+    key = F.col("row_key").isNull() if "row_key" in df.columns else F.lit(False)
+    rows = df.select("label", row_width(df).alias("length"), bad_vector(df).alias("unclean"), key.alias("no_key"))
+    return rows.agg(*_bad_rows("label", "length"), *_unclean_rows())
+
+
+def _bad_rows(label: str, length: str) -> list[Column]:
+    return [
+        F.count_if(~label_is_binary(F.col(label))).alias("n_bad_labels"),
+        F.count_if(F.col(length).isNull()).alias("n_missing"),
+    ]
+
+
+def _unclean_rows() -> list[Column]:
+    return [F.count_if("unclean").alias("n_bad_vectors"), F.count_if("no_key").alias("n_no_key")]
+
+
 def _summary(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(~label_is_binary(F.col("label"))).alias("n_bad_labels"),
-        F.count_if(F.col("length").isNull()).alias("n_missing"),
+        *_bad_rows("label", "length"),
         F.min("length").alias("min_width"),
         F.max("length").alias("max_width"),
+        *(_unclean_rows() if "unclean" in df.columns else []),
     )
 
 
@@ -69,15 +111,21 @@ def first_width(df: DataFrame) -> int:
 
 
 def checked_shape(prepared: DataFrame, sparse: bool, width: int | None, validate: bool) -> Shape:
-    """Count a prepared table and turn bad labels or widths into errors, in one pass.
+    """Count a prepared table and turn bad labels, vectors, keys or widths into errors, in one pass.
 
     A sparse table without a given width is as wide as its largest index.
     """
-    row = _summary(prepared).first()
+    row = _summary(prepared).first().asDict()
     if row["n_rows"] == 0:
         return Shape(0, width or 0)
-    if validate and row["n_bad_labels"]:
-        raise ValueError(f"Input validation failed. {row['n_bad_labels']} labels are not 0 or 1")
+    if validate:
+        for name, what in (
+            ("n_bad_labels", "labels are not 0 or 1"),
+            ("n_bad_vectors", "rows have null elements, null or negative indices, or lists of unequal length"),
+            ("n_no_key", "rows have no key"),
+        ):
+            if row.get(name):
+                raise ValueError(f"Input validation failed. {row[name]} {what}")
     if row["n_missing"]:
         raise ValueError(f"{row['n_missing']} rows have no features")
     width = width if width is not None else row["max_width"]
@@ -94,8 +142,10 @@ def column_stddev(df: DataFrame, width: int, n_rows: int | None = None) -> DataF
     sparse table is never widened.
     """
     spark = df.sparkSession
-    if not is_sparse(df) and width <= NARROW_WIDTH:
-        stats = df.agg(*[F.stddev_samp(F.col("features")[j]).alias(f"sd{j}") for j in range(width)])
+    narrow = "x0" in df.columns  # a prepared narrow table
+    if narrow or (not is_sparse(df) and width <= NARROW_WIDTH):
+        value = (lambda j: F.col(f"x{j}")) if narrow else (lambda j: F.col("features")[j])
+        stats = df.agg(*[F.stddev_samp(value(j)).alias(f"sd{j}") for j in range(width)])
         pairs = F.array(*[F.struct(F.lit(j).alias("idx"), F.col(f"sd{j}").alias("sd")) for j in range(width)])
         return stats.select(F.inline(pairs))
     if is_sparse(df):
@@ -122,14 +172,56 @@ def inverse_sd(sd: np.ndarray) -> np.ndarray:
 def scaled(df: DataFrame, sd: DataFrame, width: int) -> DataFrame:
     """Features divided by their standard deviation; constant columns become 0.
 
-    ``sd`` has one row per feature, so it is collected as a vector of the given width.  Training
-    does not use this: it scales the weights and the gradient instead of the rows.
+    Up to the bound of a driver vector the factors are broadcast to vectorised functions; beyond it entries
+    meet their deviation by a join on the index.  Training does not use this: it scales the weights and the
+    gradient instead of the rows.
     """
-    inverse = inverse_sd(collect_vector(sd, "sd", width))
-    factors = F.array(*[F.lit(float(f)) for f in inverse])
+    if width > MAX_DRIVER_VALUES:
+        return _scaled_by_join(df, sd)
+    factors = df.sparkSession.sparkContext.broadcast(inverse_sd(collect_vector(sd, "sd", width)))
     if is_sparse(df):
-        return df.withColumn("val", F.zip_with("idx", "val", lambda i, x: x * F.get(factors, i)))
-    return df.withColumn("features", F.zip_with("features", factors, lambda x, f: x * f))
+
+        def entries(idx: pa.Array, val: pa.Array) -> pa.Array:
+            at = idx.flatten().to_numpy(zero_copy_only=False)
+            known = np.append(factors.value, 0.0)[np.where(at < width, at, width)]
+            values = pa.array(val.flatten().to_numpy(zero_copy_only=False) * known)
+            return _with_lists_of(val, values)
+
+        return df.withColumn("val", F.arrow_udf(entries, "array<double>")("idx", "val"))
+
+    def dense(rows: pa.Array) -> pa.Array:
+        values = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) * factors.value
+        return _with_lists_of(rows, pa.array(values.ravel()))
+
+    return df.withColumn("features", F.arrow_udf(dense, "array<double>")("features"))
+
+
+def _with_lists_of(lists: pa.Array, values: pa.Array) -> pa.Array:
+    """``values`` cut like the lists, null where they are null."""
+    lengths = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, values, mask=lists.is_null())
+
+
+def _scaled_by_join(df: DataFrame, sd: DataFrame) -> DataFrame:
+    """Every entry meets its deviation; a row's entries come together again with the rest of the row."""
+    sparse = is_sparse(df)
+    others = [c for c in df.columns if c not in ("idx", "val", "features")]
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    places = F.arrays_zip("idx", "val") if sparse else F.transform(
+        "features", lambda x, i: F.struct(i.cast("int").alias("idx"), x.alias("val"))
+    )
+    # One entry at index -1 carries the rest of the row, so that the table is read once.
+    none = F.lit(None).cast("struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.select(*others).schema) + ">")
+    carried = F.array(F.struct(F.lit(-1).alias("idx"), F.lit(None).cast("double").alias("val"), F.struct(*others).alias("rest")))
+    entries = F.transform(places, lambda e: F.struct(e["idx"].alias("idx"), e["val"].alias("val"), none.alias("rest")))
+    flat = rows.select("_row", F.inline(F.concat(carried, F.coalesce(entries, F.slice(carried, 1, 0)))))
+    factor = F.when(F.col("sd") > 0, F.col("val") / F.col("sd")).otherwise(F.lit(0.0))
+    met = flat.join(sd, "idx", "left").select("_row", "idx", "rest", factor.alias("val"))
+    pair = F.when(F.col("idx") >= 0, F.struct("idx", "val"))
+    whole = met.groupBy("_row").agg(F.array_sort(F.collect_list(pair)).alias("e"), F.max("rest").alias("rest"))
+    vector = [F.col("e.idx").alias("idx"), F.col("e.val").alias("val")] if sparse else [F.col("e.val").alias("features")]
+    return whole.select("rest.*", *vector).select(*df.columns)
 
 
 def unscaled_weights(params: DataFrame, sd: DataFrame) -> DataFrame:

@@ -15,17 +15,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopeworks.config import BATCH_SEED_BASE, SPLIT_SEED
+from slopeworks.config import BATCH_SEED_BASE
 from slopeworks.functions.losses import loss_named
 from slopeworks.functions.ops import ColumnOps, NumpyOps
 from slopeworks.functions.sampling import LOW_BITS, PRIME, WORD, in_batch, in_validation, key_word, rule
-from slopeworks.operators.features import MAX_DRIVER_VALUES, NARROW_WIDTH, is_sparse, row_width
+from slopeworks.operators.features import MAX_DRIVER_VALUES, NARROW_WIDTH, bad_vector, cleaned, is_sparse, row_width
+from slopeworks.shared import settled
 
 # The columns layout pays one generated expression per sum; measured to win up to about here.
 _COLUMN_SUMS = 48
@@ -33,20 +35,18 @@ _COLUMN_SUMS = 48
 _COLUMN_ROWS = 2_000_000
 # Gradient values that travel together in one partial row.
 _BLOCK = 32
-# Values that all tasks of one pass may emit together before fewer, larger tasks are used.
-_PARTIAL_VALUES = 4_000_000_000
 # A table of up to this many feature values (400 MB) is spread evenly over the cores.
 _SMALL_VALUES = 50_000_000
 # So is a sparse one of up to this many rows.
 _SMALL_ROWS = 2_000_000
-# No table is expected to have more partitions than this.
-_MANY_PARTITIONS = 10_000_000
 # Partial sums of up to this many values (8 MB) go straight to the driver, without a second stage.
 _DIRECT_VALUES = 1_000_000
 # Rows times weight vectors held at once by a task: dense chunks are to stay in a core's cache,
 # sparse ones are to outweigh a pass over all indices.
 DENSE_CHUNK = 32_768
 _SPARSE_CHUNK = 2_000_000
+# Entries of sparse rows held at once by a task (48 MB).
+_SPARSE_ENTRIES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -70,12 +70,10 @@ class Rows:
         return WORD in self.df.columns
 
     def batch(self, iteration: int | None, fraction: float) -> DataFrame:
-        """Rows of one mini-batch: by key hash, or by Spark's sampler for tables without a key."""
+        """Rows of one mini-batch, by key; a row without a key (null) is in none but the whole table."""
         if iteration is None or fraction >= 1.0:
             return self.df
-        if self.keyed:
-            return self.df.filter(in_batch(F.col(WORD), iteration, fraction))
-        return self.df.sample(False, fraction, BATCH_SEED_BASE + iteration)
+        return self.df.filter(in_batch(F.col(WORD), iteration, fraction))
 
     def rule(self, iteration: int | None, fraction: float) -> tuple[int, int, int, int] | None:
         """How tasks are to draw the mini-batch themselves.  Small keyed tables do: the numbers of a
@@ -90,53 +88,53 @@ class Rows:
         return ["features"] if self.kind == "dense" else ["idx", "val"]
 
 
-def held_out(df: DataFrame, split: float) -> Column:
-    """Whether a row is kept for validation: by key hash, or by Spark's seeded numbers."""
+def keyed_once(df: DataFrame) -> DataFrame:
+    """The table with a ``row_key``: its own, or a number settled in the shared folder before anything is
+    drawn, so that every layout and every retry draws the same rows."""
     if "row_key" in df.columns:
-        return in_validation(key_word(F.col("row_key")), split)
-    return F.rand(SPLIT_SEED) >= 1.0 - split
+        return df
+    return settled(df.withColumn("row_key", F.monotonically_increasing_id().cast("string")))
 
 
-def hash_word(df: DataFrame) -> list[Column]:
-    """What sampling needs of a row's key, where there is one."""
-    if "row_key" not in df.columns:
-        return []
-    return [key_word(F.col("row_key")).alias(WORD)]
+def held_out(split: float) -> Column:
+    """Whether a prepared row is kept for validation; a row without a key is not."""
+    return F.coalesce(in_validation(F.col(WORD), split), F.lit(False))
 
 
-def spread_small(df: DataFrame, n_rows: int, width: int | None) -> tuple[DataFrame, int | None]:
-    """A small table spread over the cores by one shuffle, with the number of its partitions; a
-    large one as it is, since it is never worth moving."""
-    small = n_rows <= _SMALL_ROWS if is_sparse(df) else n_rows * (width or 1) <= _SMALL_VALUES
+def spread_small(df: DataFrame, n_rows: int, width: int | None, sparse: bool) -> tuple[DataFrame, int | None]:
+    """A small table dealt evenly to the cores, with the number of its partitions; a large one as it is,
+    since it is never worth moving.  No result depends on it."""
+    small = n_rows <= _SMALL_ROWS if sparse else n_rows * (width or 1) <= _SMALL_VALUES
     if not small:
         return df, None
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, "row_key") if "row_key" in df.columns else df.repartition(cores), cores
+    return df.repartition(cores), cores
 
 
-def prepare(
-    df: DataFrame, width: int, split: float = 0.0, sampled: bool = True, n_weight_vectors: int = 1
-) -> Rows:
+def prepare(df: DataFrame, width: int, split: float = 0.0, sampled: bool = True) -> Rows:
     """Reshape a canonical training table once, ahead of many passes.
 
-    ``length`` keeps what the row's own vector says about the number of features.  Hash words are
-    made only for tables that are ``sampled``.  Where partial sums will be wide, partitions are
-    merged without a shuffle, so that what all tasks of one pass emit stays bounded.
+    ``length`` keeps what the row's own vector says about the number of features, ``unclean`` and
+    ``no_key`` what validation is to find; unclean vectors are given their one meaning.  Hash words are made
+    only for tables with a ``row_key`` that are ``sampled``.
     """
     kind = "sparse" if is_sparse(df) else "narrow" if 0 < width <= NARROW_WIDTH else "dense"
     if kind == "narrow":
-        vector = [F.get("features", F.lit(j)).alias(f"x{j}") for j in range(width)]
+        vector = [F.coalesce(F.get("features", F.lit(j)), F.lit(0.0)).alias(f"x{j}") for j in range(width)]
+        # Elements that are there and null; a generated expression, unlike a look through the array.
+        nulls = [(F.size("features") > j) & F.get("features", F.lit(j)).isNull() for j in range(width)]
+        unclean = F.coalesce(reduce(Column.__or__, nulls), F.lit(False))
     else:
-        vector = [F.col(c) for c in (("features",) if kind == "dense" else ("idx", "val"))]
-    columns = [F.col("label"), *vector, row_width(df).alias("length")]
-    columns += hash_word(df) if sampled else []
-    if split > 0:
-        columns.append(held_out(df, split).alias("held_out"))
+        unclean = bad_vector(df)
+        vector = cleaned(df, unclean)
+    keyed = "row_key" in df.columns
+    columns = [F.col("label"), *vector, row_width(df).alias("length"), unclean.alias("unclean")]
+    columns.append((F.col("row_key").isNull() if keyed else F.lit(False)).alias("no_key"))
+    if keyed and sampled:
+        columns.append(key_word(F.col("row_key")).alias(WORD))
     prepared = df.select(*columns)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    ceiling = max(cores, _PARTIAL_VALUES // max(1, n_weight_vectors * max(1, width)))
-    if ceiling < _MANY_PARTITIONS:
-        prepared = prepared.coalesce(int(ceiling))
+    if split > 0:
+        prepared = prepared.withColumn("held_out", held_out(split))
     return Rows(prepared, kind, width, split)
 
 
@@ -277,7 +275,10 @@ def dense_block(batch: pa.RecordBatch, kind: str, width: int) -> np.ndarray:
     """The rows of an Arrow batch as an (n x width) array."""
     if kind == "narrow":
         return np.column_stack([batch.column(f"x{j}").to_numpy(zero_copy_only=False) for j in range(width)])
-    return batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    flat = batch.column("features").flatten().to_numpy(zero_copy_only=False)
+    if len(flat) != batch.num_rows * width:
+        raise ValueError(f"rows do not have {width} features each")
+    return flat.reshape(-1, width)
 
 
 def sparse_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,7 +290,7 @@ def sparse_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def margins_of(batch: pa.RecordBatch, kind: str, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """(n x K) margins of an Arrow batch."""
+    """(n x K) margins of an Arrow batch; sparse entries beyond the weights count as weight 0."""
     if kind != "sparse":
         return dense_block(batch, kind, weights.shape[1]) @ weights.T + bias
     row_of, idx, val = sparse_entries(batch)
@@ -297,6 +298,9 @@ def margins_of(batch: pa.RecordBatch, kind: str, weights: np.ndarray, bias: np.n
 
 
 def _sparse_margins(row_of, idx, val, n, weights, bias):
+    if len(idx) and idx.max() >= weights.shape[1]:
+        inside = idx < weights.shape[1]
+        row_of, idx, val = row_of[inside], idx[inside], val[inside]
     sums = [np.bincount(row_of, weights=val * w[idx], minlength=n) for w in weights]
     return np.column_stack(sums) + bias
 
@@ -304,10 +308,25 @@ def _sparse_margins(row_of, idx, val, n, weights, bias):
 def _drawn(batch: pa.RecordBatch, rule: tuple[int, int, int, int]) -> pa.RecordBatch:
     """The rows of a mini-batch; the same sums as the column form, in 64-bit integers."""
     a, b, c, limit = rule
+    batch = batch.filter(batch.column(WORD).is_valid())
     word = batch.column(WORD).to_numpy()
     return batch.filter(pa.array(((word & PRIME) * a + (word >> LOW_BITS) * b + c) % PRIME < limit))
 
 
+def _gathered(batches, rows: int):
+    """Arrow batches joined until they have ``rows`` rows or ``_SPARSE_ENTRIES`` entries."""
+    held, n, entries = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        entries += len(batch.column("idx").flatten())
+        if n >= rows or entries >= _SPARSE_ENTRIES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if n else held[0]
+            held, n, entries = [], 0, 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _partial_sums(
     kind: str, width: int, losses: Sequence[str], split: bool, drawn: tuple[int, int, int, int] | None, shared
 ) -> Callable:
@@ -319,10 +338,11 @@ def _partial_sums(
         gradient, bias_gradient = np.zeros((k, width)), np.zeros(k)
         loss, held_loss, n, n_held = np.zeros(k), np.zeros(k), 0, 0
         with np.errstate(all="ignore"):
-            for whole in batches:
-                if drawn is not None:
-                    whole = _drawn(whole, drawn)
-                step = max(1, (_SPARSE_CHUNK if kind == "sparse" else DENSE_CHUNK) // k)
+            step = max(1, (_SPARSE_CHUNK if kind == "sparse" else DENSE_CHUNK) // k)
+            if drawn is not None:
+                batches = (_drawn(batch, drawn) for batch in batches)
+            # A sparse chunk is gathered from many Arrow batches: it pays for one pass over all indices.
+            for whole in _gathered(batches, step) if kind == "sparse" else batches:
                 for start in range(0, whole.num_rows, step):
                     batch = whole.slice(start, step)
                     label = batch.column("label").to_numpy(zero_copy_only=False)

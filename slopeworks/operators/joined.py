@@ -16,56 +16,67 @@ from slopeworks.functions.ops import ColumnOps
 from slopeworks.operators.features import is_sparse
 from slopeworks.shared import settled
 
-# An index is hot when it holds more than this share of all entries, so there are at most 200.
-_HOT_SHARE = 1 / 200
-# Parts into which the entries of a hot index are split.
-_HOT_WAYS = 64
+# An index is hot when it holds more than this share of what one partition holds on average.
+_HOT_SHARE = 1 / 4
 
 # Indices below 0 carry totals through the gradient sum.
 TRAIN_LOSS, HELD_LOSS, BIAS = -1, -2, -3
 
 
 def identified(df: DataFrame) -> DataFrame:
-    """A sparse form of a training table with a ``row_id`` that no recomputation can change."""
-    if not is_sparse(df):
-        positions = F.transform("features", lambda _, i: i.cast("int"))
-        others = [c for c in df.columns if c != "features"]
-        df = df.select(*others, positions.alias("idx"), F.col("features").alias("val"))
-    return settled(df.withColumn("row_id", F.monotonically_increasing_id()))
+    """A sparse form of a training table, prepared or not, with a ``row_id`` that no recomputation can
+    change."""
+    return settled(sparse_form(df).withColumn("row_id", F.monotonically_increasing_id()))
+
+
+def sparse_form(df: DataFrame) -> DataFrame:
+    """Dense and narrow prepared rows with ``idx`` and ``val`` in place of their vector."""
+    if is_sparse(df):
+        return df
+    narrow = [c for c in df.columns if c[0] == "x" and c[1:].isdigit()]
+    vector = F.array(*[F.col(f"x{j}") for j in range(len(narrow))]) if narrow else F.col("features")
+    others = [c for c in df.columns if c not in ("features", *narrow)]
+    rows = df.select(*others, vector.alias("val"))
+    return rows.withColumn("idx", F.transform("val", lambda _, i: i.cast("int")))
+
+
+def partitions_of(df: DataFrame) -> int:
+    """Partitions a shuffle is dealt to."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def spread_by_id(rows: DataFrame) -> DataFrame:
     """Rows partitioned as margins are, so that once this is persisted no join moves them again."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row_id")
+    return rows.repartition(partitions_of(rows), "row_id")
 
 
-def hot_indices(rows: DataFrame) -> list[int]:
-    """Indices with so many entries that a join must split them; 200 at most."""
+def hot_indices(rows: DataFrame) -> DataFrame:
+    """``idx, ways``: indices with so many entries that a join must split them, and into how many parts, so
+    that no part is above a share of an average partition.  At most ``partitions / _HOT_SHARE`` rows."""
     counts = rows.select(F.explode("idx").alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("n")).persist()
     try:
         total = counts.agg(F.sum("n")).first()[0] or 0
-        return [r["idx"] for r in counts.filter(F.col("n") > total * _HOT_SHARE).select("idx").collect()]
+        limit = max(1.0, total * _HOT_SHARE / partitions_of(rows))
+        hot = counts.filter(F.col("n") > limit).select("idx", F.ceil(F.col("n") / limit).cast("int").alias("ways"))
+        found = hot.toArrow()
     finally:
         counts.unpersist()
+    return rows.sparkSession.createDataFrame(found, "idx int, ways int")
 
 
-def _is_hot(hot: Sequence[int]) -> Column:
-    return F.col("idx").isin(*hot) if hot else F.lit(False)
-
-
-def table_margins(
-    rows: DataFrame, params: DataFrame, weights: Sequence[Column], hot: Sequence[int]
-) -> DataFrame:
+def table_margins(rows: DataFrame, params: DataFrame, weights: Sequence[Column], hot: DataFrame) -> DataFrame:
     """``(row_id, m_0, ..)``: w.x per row and weight column.
 
     Entries meet their weight by an equi-join on the index.  The entries of hot indices are split
     over many parts, to each of which their weights are repeated.  Partial sums per row follow.
     """
-    part = F.when(_is_hot(hot), F.pmod("row_id", F.lit(_HOT_WAYS)).cast("int")).otherwise(0)
-    entries = rows.select("row_id", F.inline(F.arrays_zip("idx", "val"))).withColumn("_part", part)
-    repeats = F.when(_is_hot(hot), F.sequence(F.lit(0), F.lit(_HOT_WAYS - 1))).otherwise(F.array(F.lit(0)))
+    hot = F.broadcast(hot)  # bounded by the number of partitions
+    ways = F.coalesce("ways", F.lit(1))
+    entries = rows.select("row_id", F.inline(F.arrays_zip("idx", "val"))).join(hot, "idx", "left")
+    entries = entries.select("row_id", "idx", "val", F.pmod("row_id", ways).cast("int").alias("_part"))
     named = [w.alias(f"w_{k}") for k, w in enumerate(weights)]
-    points = params.select("idx", *named, F.explode(repeats).alias("_part"))
+    points = params.select("idx", *named).join(hot, "idx", "left")
+    points = points.withColumn("_part", F.explode(F.sequence(F.lit(0), ways - 1))).drop("ways")
     return (
         entries.join(points, ["idx", "_part"])
         .groupBy("row_id")

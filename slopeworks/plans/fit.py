@@ -8,19 +8,20 @@ from __future__ import annotations
 
 import time
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slopeworks.config import SgdConfig
 from slopeworks.functions.ops import NumpyOps
 from slopeworks.functions.updates import Tick, opening_penalty, penalty, regularized, updater_named
 from slopeworks.operators.control import has_converged, must_stop, norm
-from slopeworks.operators.evaluate import accuracy, accuracy_of
+from slopeworks.operators.evaluate import accuracy_of
 from slopeworks.operators.features import (
     MAX_DRIVER_VALUES,
     checked_shape,
@@ -30,9 +31,9 @@ from slopeworks.operators.features import (
     inverse_sd,
     is_sparse,
 )
-from slopeworks.operators.gradient import Rows, Sums, minibatch_sums, prepare, spread_small
+from slopeworks.operators.gradient import Rows, Sums, held_out, keyed_once, minibatch_sums, prepare, spread_small
+from slopeworks.operators.joined import identified
 from slopeworks.plans.model import LinearModel
-from slopeworks.shared import settled
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,7 @@ def history_table(spark: SparkSession, results: Sequence[FitResult]) -> DataFram
     )
 
 
-@dataclass
+@dataclass(eq=False)
 class _Run:
     """Moving parts of one configuration. The bias, when there is one, is the last weight."""
 
@@ -164,18 +165,24 @@ def fit(
     storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK,
     layout: str = "auto",
     score: bool = False,
+    on_step: Callable[[int, Step], None] | None = None,
 ) -> list[FitResult]:
     """Train every configuration on a canonical training table; results keep the given order.
 
     Weights start at zero unless ``initial_weights`` (without intercept) is given, as a vector or as
-    a table ``(idx, w)``.  The prepared table is persisted for the duration of the fit.  Tables with
-    a ``row_key`` sample reproducibly under any partitioning; without one Spark's own seeded sampler
-    draws the batches, and a validation split is settled in the shared folder first.
+    a table ``(idx, w)``.  The table is read once: its prepared form is persisted for the duration of the
+    fit (or settled in the shared folder, where weights are too many to broadcast), and count, checks, width
+    and deviations are taken from that.  Batches and the validation split are drawn by ``row_key`` in every
+    layout; a table without one that is to be drawn from is numbered and settled first.
 
     ``score`` adds the accuracy on the whole table, taken while it is still persisted.  ``layout`` is
-    "auto", "columns", "arrow" or "join"; "auto" moves on to "join" when the weights
-    of all configurations exceed the broadcast bound.
+    "auto", "columns", "arrow" or "join"; "auto" moves on to "join" when the weights of one configuration
+    exceed the broadcast bound, and takes configurations in groups whose weights together stay within it.
+
+    ``on_step`` is called as each iteration ends, with the place of the configuration and its ``Step``, so that
+    the losses of a fit that dies are not lost.
     """
+    began = time.perf_counter()
     configs = [configs] if isinstance(configs, SgdConfig) else list(configs)
     for config in configs:
         config.warn_unusual()
@@ -186,62 +193,85 @@ def fit(
 
     sparse = is_sparse(df)
     given = initial_weights is not None and not isinstance(initial_weights, DataFrame)
+    validate = any(c.validate for c in configs)
+    sampled = any(c.mini_batch_fraction < 1.0 or c.validation_split > 0 for c in configs)
+    if sampled:
+        df = keyed_once(df)
+    if not validate:
+        df = df.filter(F.col("label").isNotNull())
     if num_features is None and not sparse:
         num_features = first_width(df) or None
     if given:
         num_features = num_features or len(initial_weights)
         if len(initial_weights) != num_features:
             raise ValueError(f"{len(initial_weights)} initial weights for {num_features} features")
-    # Free for a plain Parquet scan; a table that is costly to compute is best passed persisted.
-    n_rows = df.count()
-    results: list[FitResult | None] = [None] * len(configs)
-    for members in groups.values():
-        chosen = [configs[i] for i in members]
-        lead = chosen[0]
 
-        def too_wide(width: int | None) -> bool:
-            return layout == "join" or (layout == "auto" and len(chosen) * ((width or 0) + 1) > MAX_DRIVER_VALUES)
+    def too_wide(width: int | None) -> bool:
+        return layout == "join" or (layout == "auto" and (width or 0) + 1 > MAX_DRIVER_VALUES)
+
+    base = prepare(df, num_features or 0, sampled=sampled)
+    kept: list[DataFrame] = []
 
+    def keep(table: DataFrame) -> DataFrame:
+        if storage is not None:
+            kept.append(table.persist(storage))
+        return table
+
+    results: list[FitResult | None] = [None] * len(configs)
+    try:
         wide = too_wide(num_features)
-        split = 0.0 if wide else lead.validation_split
-        spread, tasks = spread_small(df, n_rows, num_features)
-        sampled = lead.mini_batch_fraction < 1.0 or lead.validation_split > 0
-        prepared = prepare(spread, num_features or 0, split, sampled, len(chosen))
-        if split > 0 and "row_key" not in df.columns:
-            # Rows drawn without a key must stay drawn when a lost partition is computed again.
-            prepared = replace(prepared, df=settled(prepared.df))
-        kept = storage is not None and not wide
-        if kept:
-            prepared = replace(prepared, df=prepared.df.persist(storage))
-        try:
-            shape = checked_shape(prepared.df, sparse, num_features, any(c.validate for c in chosen))
-            prepared = replace(prepared, width=shape.width, n_rows=n_rows, tasks=tasks)
-            if wide or too_wide(shape.width):
-                from slopeworks.plans.wide import fit_wide
-
-                start = weight_table(df.sparkSession, initial_weights) if given else initial_weights
-                found = fit_wide(df, chosen, shape, start, storage)
-            else:
-                found = _fit_group(df, prepared, chosen, _start(initial_weights, shape.width), layout)
-            if score and n_rows:
-                for result, value in zip(found, accuracies(df, prepared, [r.model for r in found])):
-                    result.train_accuracy = value
-        finally:
-            if kept:
-                prepared.df.unpersist()
-        for i, result in zip(members, found):
-            results[i] = result
+        base = replace(base, df=identified(base.df) if wide else keep(base.df))
+        shape = checked_shape(base.df, sparse, num_features, validate)
+        base = replace(base, width=shape.width, n_rows=shape.n_rows)
+        if wide or too_wide(shape.width):
+            rows = base.df if wide else identified(base.df)
+            start = weight_table(df.sparkSession, initial_weights) if given else initial_weights
+            from slopeworks.plans.wide import fit_wide
+
+            fit_groups = lambda chosen, told: fit_wide(rows, chosen, shape, start, storage, told)
+            scored, most = replace(base, df=rows), len(configs)
+        else:
+            spread, tasks = spread_small(base.df, shape.n_rows, shape.width, sparse)
+            scored = replace(base, df=keep(spread) if tasks else spread, tasks=tasks)
+            opening = _start(initial_weights, shape.width)
+            factors = None
+            if any(c.scale for c in configs) and shape.n_rows:
+                deviations = column_stddev(base.df, shape.width, shape.n_rows)
+                factors = inverse_sd(collect_vector(deviations, "sd", shape.width))
+            fit_groups = lambda chosen, told: _fit_group(scored, chosen, opening, factors, layout, told)
+            most = max(1, MAX_DRIVER_VALUES // (shape.width + 1))
+        for members in groups.values():
+            for first in range(0, len(members), most):
+                places = members[first : first + most]
+                told = (lambda k, step, places=places: on_step(places[k], step)) if on_step else None
+                for i, result in zip(places, fit_groups([configs[i] for i in places], told)):
+                    results[i] = replace(result, elapsed_ms=round((time.perf_counter() - began) * 1000))
+        if score and shape.n_rows:
+            for result, value in zip(results, accuracies(scored, [r.model for r in results])):
+                result.train_accuracy = value
+    finally:
+        for table in kept:
+            table.unpersist()
     return results
 
 
-def accuracies(df: DataFrame, rows: Rows, models: Sequence) -> list[float | None]:
-    """Accuracy of models on a canonical table and its prepared form: in one pass where all weights
-    together may be broadcast, else one pass per model."""
-    bounded = all(isinstance(m, LinearModel) for m in models)
-    if bounded and len(models) * rows.width <= MAX_DRIVER_VALUES:
-        found = {r["config_id"]: r["accuracy"] for r in accuracy_of(rows, models).collect()}
-        return [found.get(i) for i in range(len(models))]
-    return [accuracy(m.transform(df)).first()["accuracy"] for m in models]
+def accuracies(rows: Rows, models: Sequence) -> list[float | None]:
+    """Accuracy of models on a prepared table: those with bounded weights in as few passes as the
+    broadcast bound allows, those with weight tables in one join."""
+    found: list[float | None] = [None] * len(models)
+    bounded = [i for i, m in enumerate(models) if isinstance(m, LinearModel)]
+    most = max(1, MAX_DRIVER_VALUES // max(1, max((models[i].num_features for i in bounded), default=1)))
+    for first in range(0, len(bounded), most):
+        places = bounded[first : first + most]
+        for row in accuracy_of(rows, [models[i] for i in places]).collect():
+            found[places[row["config_id"]]] = row["accuracy"]
+    tables = [i for i in range(len(models)) if i not in bounded]
+    if tables:
+        from slopeworks.plans.wide import table_accuracies
+
+        for i, value in zip(tables, table_accuracies(rows.df, [models[i] for i in tables])):
+            found[i] = value
+    return found
 
 
 def _start(initial_weights: Sequence[float] | DataFrame | None, width: int) -> np.ndarray:
@@ -260,9 +290,11 @@ def weight_table(spark: SparkSession, weights: Sequence[float]) -> DataFrame:
     )
 
 
-def _fit_group(df: DataFrame, rows: Rows, configs, start: np.ndarray, layout: str) -> list[FitResult]:
-    began = time.perf_counter()
+def _fit_group(rows: Rows, configs, start: np.ndarray, factors, layout: str, told) -> list[FitResult]:
     lead, width, n_rows = configs[0], len(start), rows.n_rows
+    split = lead.validation_split
+    if split > 0:
+        rows = replace(rows, df=rows.df.withColumn("held_out", held_out(split)), split=split)
     runs = [_Run.start(c, np.append(start, c.initial_intercept) if c.intercept else start.copy()) for c in configs]
     if n_rows == 0:
         warnings.warn("no rows to train on: the initial weights are returned")
@@ -271,9 +303,7 @@ def _fit_group(df: DataFrame, rows: Rows, configs, start: np.ndarray, layout: st
     elif n_rows * lead.mini_batch_fraction < 1:
         warnings.warn("the mini-batch fraction is too small for the number of rows")
 
-    factors = np.ones(width)
-    if lead.scale and n_rows:
-        factors = inverse_sd(collect_vector(column_stddev(df, width, n_rows), "sd", width))
+    factors = np.ones(width) if factors is None or not lead.scale else factors
     iteration = 1
     while active := [run for run in runs if run.stop_reason is None]:
         sums = _one_pass(rows, active, iteration, width, factors, layout)
@@ -284,14 +314,15 @@ def _fit_group(df: DataFrame, rows: Rows, configs, start: np.ndarray, layout: st
             run.advance(
                 iteration, gradient, float(sums.loss[k]), sums.n, float(sums.held_out_loss[k]), sums.n_held_out
             )
+            if told:
+                told(runs.index(run), run.steps[-1])
         iteration += 1
 
-    elapsed = round((time.perf_counter() - began) * 1000)
     results = []
     for run in runs:
         weights, bias = (run.weights[:-1], run.weights[-1]) if lead.intercept else (run.weights, 0.0)
         model = LinearModel(weights * factors if lead.scale else weights, float(bias), run.config.loss)
-        results.append(FitResult(run.config, model, run.steps, run.stop_reason, elapsed))
+        results.append(FitResult(run.config, model, run.steps, run.stop_reason, 0))
     return results
 
 

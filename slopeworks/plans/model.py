@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,7 @@ class LinearModel:
 
     @property
     def cut(self) -> float:
-        if self.threshold is not None:
-            return self.threshold
-        return 0.5 if link_of(self.loss) == "sigmoid" else 0.0
+        return cut_of(self.loss, self.threshold)
 
     def __repr__(self) -> str:
         return (
@@ -55,22 +54,13 @@ class LinearModel:
         return _margin_udf(self.weights, float(self.intercept), columns)(*columns)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``margin``, ``probability`` (logistic only) and ``prediction``."""
-        out = df.withColumn("margin", self.margin(df))
-        score = F.col("margin")
-        if link_of(self.loss) == "sigmoid":
-            out = out.withColumn("probability", 1.0 / (1.0 + F.exp(-F.col("margin"))))
-            score = F.col("probability")
-        # NaN sorts above every number in Spark, so it is named
-        positive = (score > F.lit(self.cut)) & ~F.isnan(score)
-        return out.withColumn("prediction", F.when(positive, 1.0).otherwise(0.0))
+        """Adds ``margin``, ``probability`` (logistic only) and ``prediction``.  A row without a vector has
+        a null margin and class 0."""
+        return with_prediction(df.withColumn("margin", self.margin(df)), self.loss, self.cut)
 
     def predict_one(self, features: Sequence[float]) -> float:
         margin = float(np.dot(self.weights, np.asarray(features, dtype=float))) + self.intercept
-        if link_of(self.loss) == "sigmoid":
-            with np.errstate(over="ignore"):
-                margin = float(1.0 / (1.0 + np.exp(-margin)))
-        return 1.0 if margin > self.cut else 0.0
+        return prediction_of(margin, self.loss, self.cut)
 
     def params(self, spark: SparkSession) -> DataFrame:
         """``(idx int, w double, is_intercept boolean)``; the intercept has the last index."""
@@ -97,21 +87,66 @@ class LinearModel:
         )
 
 
+def cut_of(loss: str, threshold: float | None) -> float:
+    """The score above which class 1 is predicted."""
+    if threshold is not None:
+        return threshold
+    return 0.5 if link_of(loss) == "sigmoid" else 0.0
+
+
+def _score(margin: Column, loss: str) -> Column:
+    return 1.0 / (1.0 + F.exp(-margin)) if link_of(loss) == "sigmoid" else margin
+
+
+def _class(score: Column, cut: float) -> Column:
+    # NaN sorts above every number in Spark, so it is named
+    return F.when((score > F.lit(cut)) & ~F.isnan(score), 1.0).otherwise(0.0)
+
+
+def predicted(margin: Column, loss: str, cut: float) -> Column:
+    """The class of a margin; 0 where it is null or NaN."""
+    return _class(_score(margin, loss), cut)
+
+
+def with_prediction(scored: DataFrame, loss: str, cut: float) -> DataFrame:
+    """Adds ``probability`` (logistic only) and ``prediction`` to a table with ``margin``."""
+    score = F.col("margin")
+    if link_of(loss) == "sigmoid":
+        scored = scored.withColumn("probability", _score(score, loss))
+        score = F.col("probability")
+    return scored.withColumn("prediction", _class(score, cut))
+
+
+def prediction_of(margin: float, loss: str, cut: float) -> float:
+    if link_of(loss) == "sigmoid":
+        with np.errstate(over="ignore"):
+            margin = float(1.0 / (1.0 + np.exp(-margin)))
+    return 1.0 if margin > cut else 0.0
+
+
 def _margin_udf(weights: np.ndarray, intercept: float, columns: list[str]):
-    """Vectorized margin for rows too wide for one expression per feature."""
+    """Vectorized margin for rows too wide for one expression per feature; null for a row without one."""
     if len(columns) == 1:
 
         def dense(features: pa.Array) -> pa.Array:
-            block = features.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(weights))
-            return pa.array(block @ weights + intercept)
+            held = features.is_valid()
+            block = features.filter(held).flatten().to_numpy(zero_copy_only=False)
+            if len(block) != held.true_count * len(weights):
+                raise ValueError(f"rows do not have {len(weights)} features each")
+            margins = np.full(len(features), np.nan)
+            margins[held.to_numpy(zero_copy_only=False)] = block.reshape(-1, len(weights)) @ weights + intercept
+            return pa.array(margins, mask=~held.to_numpy(zero_copy_only=False))
 
         return F.arrow_udf(dense, "double")
 
     def sparse(idx: pa.Array, val: pa.Array) -> pa.Array:
-        row_of = np.repeat(np.arange(len(idx)), np.diff(idx.offsets.to_numpy()))
-        at, value = idx.flatten().to_numpy(), val.flatten().to_numpy()
-        inside = at < len(weights)
+        missing = ~(idx.is_valid().to_numpy(zero_copy_only=False) & val.is_valid().to_numpy(zero_copy_only=False))
+        lengths = pa.compute.fill_null(pa.compute.list_value_length(idx), 0).to_numpy(zero_copy_only=False)
+        row_of = np.repeat(np.arange(len(idx)), np.where(missing, 0, lengths))
+        kept = pa.array(~missing)
+        at, value = idx.filter(kept).flatten().to_numpy(), val.filter(kept).flatten().to_numpy()
+        inside = (at >= 0) & (at < len(weights))
         sums = np.bincount(row_of[inside], weights=value[inside] * weights[at[inside]], minlength=len(idx))
-        return pa.array(sums + intercept)
+        return pa.array(sums + intercept, mask=missing)
 
     return F.arrow_udf(sparse, "double")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from slopeworks.config import SgdConfig
 from slopeworks.functions.updates import UPDATER_NAMES
+from slopeworks.operators.features import checked_shape, is_sparse
 from slopeworks.operators.gradient import prepare
 from slopeworks.plans.fit import FitResult, accuracies, fit, history_table
 
@@ -76,7 +77,10 @@ def sweep(
     spark = train.sparkSession
     results = fit(train, configs, num_features, score=True, **fit_options)
     models = [r.model for r in results]
-    test_accuracy = accuracies(test, prepare(test, models[0].num_features, sampled=False), models)
+    rows = prepare(test, models[0].num_features, sampled=False)
+    # The same checks as on the training table; indices beyond the training width count as weight 0.
+    checked_shape(rows.df, is_sparse(test), None if is_sparse(test) else rows.width, configs[0].validate)
+    test_accuracy = accuracies(rows, models)
     alg = [r.config.loss for r in results]
     about = spark.createDataFrame(
         pa.table(

@@ -7,33 +7,35 @@ sees totals only.
 
 from __future__ import annotations
 
-import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopeworks.config import SgdConfig
 from slopeworks.functions.ops import ColumnOps
+from slopeworks.functions.sampling import WORD, key_word
 from slopeworks.functions.updates import Tick, opening_penalty, penalty, regularized, updater_named
 from slopeworks.operators.control import has_converged
-from slopeworks.operators.features import MAX_DRIVER_VALUES, collect_vector, column_stddev
-from slopeworks.operators.gradient import Rows, hash_word, held_out
+from slopeworks.operators.features import MAX_DRIVER_VALUES, collect_vector, column_stddev, is_sparse
+from slopeworks.operators.gradient import Rows, held_out
 from slopeworks.operators.joined import (
     BIAS,
     HELD_LOSS,
     TRAIN_LOSS,
     hot_indices,
     identified,
+    sparse_form,
     spread_by_id,
     table_gradient,
     table_margins,
 )
 from slopeworks.operators.update import weight_norms
 from slopeworks.plans.fit import FitResult, _Run
-from slopeworks.plans.model import LinearModel
-from slopeworks.shared import settled
+from slopeworks.plans.model import LinearModel, cut_of, predicted, prediction_of, with_prediction
+from slopeworks.shared import removed, written
 
 # Configurations that share the columns of one weight table.
 _TOGETHER = 8
@@ -41,22 +43,92 @@ _TOGETHER = 8
 
 @dataclass(frozen=True, eq=False)
 class TableModel:
-    """A linear classifier whose weights ``(idx, w)`` stay a table."""
+    """A linear classifier whose weights ``(idx, w)`` stay a table; in all else like ``LinearModel``."""
 
     weights: DataFrame
     intercept: float
     loss: str
     num_features: int
+    threshold: float | None = None
+
+    @property
+    def cut(self) -> float:
+        return cut_of(self.loss, self.threshold)
+
+    def __repr__(self) -> str:
+        return (
+            f"{type(self).__name__}(loss={self.loss}, intercept={self.intercept}, "
+            f"num_features={self.num_features}, threshold={self.cut})"
+        )
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``margin`` and ``prediction``; rows meet their weights by a join."""
-        rows = identified(df)
-        margins = table_margins(rows, self.weights, [F.col("w")], hot_indices(rows))
-        margin = F.coalesce(F.col("m_0"), F.lit(0.0)) + F.lit(self.intercept)
-        scored = rows.join(margins, "row_id", "left").withColumn("margin", margin).drop("m_0", "row_id")
-        # Both losses put their threshold at margin 0.
-        positive = (F.col("margin") > 0.0) & ~F.isnan("margin")
-        return scored.withColumn("prediction", F.when(positive, 1.0).otherwise(0.0))
+        """Adds ``margin``, ``probability`` (logistic only) and ``prediction``; nothing runs before the result
+        is asked for.
+
+        Each row sends its entries to the weights, and one entry that carries the row itself; sums per
+        row bring them together, so the table is read once.  A skewed index is split by the join.
+        """
+        form = sparse_form(df.withColumn("_rest", F.struct(*df.columns))).withColumn("_row", F.monotonically_increasing_id())
+        vector = F.arrays_zip("idx", "val")
+        kind = f"struct<{', '.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in df.schema)}>"
+        entries = F.coalesce(
+            F.transform(vector, lambda e: F.struct(e["idx"].alias("idx"), e["val"].alias("val"), F.lit(None).cast(kind).alias("rest"))),
+            F.array().cast(f"array<struct<idx:int,val:double,rest:{kind}>>"),
+        )
+        whole = F.array(F.struct(F.lit(-1).alias("idx"), F.lit(None).cast("double").alias("val"), F.col("_rest").alias("rest")))
+        flat = form.select("_row", F.inline(F.concat(whole, entries)))
+        met = flat.join(self.weights.select("idx", "w"), "idx", "left")
+        sums = met.groupBy("_row").agg(
+            F.max("rest").alias("rest"), F.sum(F.when(F.col("idx") >= 0, F.col("val") * F.col("w"))).alias("m")
+        )
+        has = F.col("rest.idx").isNotNull() if is_sparse(df) else F.col("rest.features").isNotNull()
+        margin = F.when(has, F.coalesce("m", F.lit(0.0)) + F.lit(self.intercept))
+        return with_prediction(sums.select("rest.*", margin.alias("margin")), self.loss, self.cut)
+
+    def predict_one(self, features: Sequence[float]) -> float:
+        """The class of one dense vector; only its non-zero places are looked up."""
+        values = {j: float(x) for j, x in enumerate(features) if x}
+        spark = self.weights.sparkSession
+        own = spark.createDataFrame(list(values.items()), "idx int, x double")
+        total = self.weights.join(own, "idx").agg(F.sum(F.col("w") * F.col("x"))).first()[0] or 0.0
+        return prediction_of(total + self.intercept, self.loss, self.cut)
+
+    def params(self, spark: SparkSession) -> DataFrame:
+        """``(idx int, w double, is_intercept boolean)``; the intercept has the last index."""
+        last = spark.range(1).select(
+            F.lit(self.num_features).cast("int").alias("idx"),
+            F.lit(float(self.intercept)).alias("w"),
+            F.lit(True).alias("is_intercept"),
+        )
+        return self.weights.select("idx", "w", F.lit(False).alias("is_intercept")).unionByName(last)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        about = F.lit(self.loss).alias("loss"), F.lit(float(self.cut)).alias("threshold")
+        self.params(spark).select("*", *about).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "TableModel":
+        table = spark.read.parquet(path)
+        last = table.filter("is_intercept").first()
+        weights = table.filter("not is_intercept").select("idx", "w")
+        return TableModel(weights, last["w"], last["loss"], last["idx"], last["threshold"])
+
+
+def table_accuracies(rows: DataFrame, models: Sequence[TableModel]) -> list[float | None]:
+    """Accuracy of models with weight tables on prepared rows, in one join for all of them."""
+    rows = rows if "row_id" in rows.columns else identified(rows)
+    params = None
+    for k, model in enumerate(models):
+        own = model.weights.select("idx", F.col("w").alias(f"v{k}"))
+        params = own if params is None else params.join(own, "idx", "full")
+    weights = [F.coalesce(f"v{k}", F.lit(0.0)) for k in range(len(models))]
+    margins = table_margins(rows, params, weights, hot_indices(rows))
+    scored = rows.select("row_id", "label").join(margins, "row_id", "left")
+    hits = []
+    for k, model in enumerate(models):
+        margin = F.coalesce(f"m_{k}", F.lit(0.0)) + F.lit(model.intercept)
+        hits.append(F.avg((predicted(margin, model.loss, model.cut) == F.col("label")).cast("double")))
+    return list(scored.agg(*hits).first())
 
 
 @dataclass
@@ -67,6 +139,7 @@ class _WideRun:
     key: int
     run: _Run
     table: DataFrame
+    path: str = ""
 
     @property
     def state(self) -> list[str]:
@@ -77,16 +150,33 @@ class _WideRun:
         return [f"w{self.key}", f"ahead{self.key}", *self.state]
 
 
-def fit_wide(df: DataFrame, configs: list[SgdConfig], shape, start, storage) -> list[FitResult]:
-    found: list[FitResult] = []
-    for first in range(0, len(configs), _TOGETHER):
-        found += _fit_together(df, configs[first : first + _TOGETHER], shape, start, storage)
-    return found
+def fit_wide(rows: DataFrame, configs: list[SgdConfig], shape, start, storage, told=None) -> list[FitResult]:
+    """Fit configurations that share their data-level settings; ``rows`` come from ``identified`` and are
+    spread over the partitions once for all of them."""
+    lead = configs[0]
+    table = rows
+    if WORD not in table.columns and (lead.mini_batch_fraction < 1.0 or lead.validation_split > 0):
+        table = table.withColumn(WORD, key_word(F.col("row_id")))
+    marks = [F.col(WORD)] if WORD in table.columns else []
+    if lead.validation_split > 0:
+        marks.append(held_out(lead.validation_split).alias("held_out"))
+    table = table.select("row_id", "label", "idx", "val", *marks)
+    if storage is not None:
+        table = spread_by_id(table).persist(storage)
+    try:
+        hot = hot_indices(table) if shape.n_rows else None
+        found: list[FitResult] = []
+        for first in range(0, len(configs), _TOGETHER):
+            told_own = (lambda k, step, first=first: told(first + k, step)) if told else None
+            found += _fit_together(table, configs[first : first + _TOGETHER], shape, start, hot, told_own)
+        return found
+    finally:
+        if storage is not None:
+            table.unpersist()
 
 
-def _fit_together(df: DataFrame, configs: list[SgdConfig], shape, start: DataFrame | None, storage) -> list[FitResult]:
-    began = time.perf_counter()
-    lead, spark = configs[0], df.sparkSession
+def _fit_together(rows: DataFrame, configs: list[SgdConfig], shape, start: DataFrame | None, hot, told) -> list[FitResult]:
+    lead, spark = configs[0], rows.sparkSession
     base = spark.range(shape.width).select(F.col("id").cast("int").alias("idx"))
     opening, scale, l1, l2 = F.lit(0.0), F.lit(1.0), 0.0, 0.0
     if start is not None:
@@ -95,7 +185,7 @@ def _fit_together(df: DataFrame, configs: list[SgdConfig], shape, start: DataFra
         norms = weight_norms(start).first()
         l1, l2 = norms["l1_norm"] or 0.0, norms["squared_l2_norm"] or 0.0
     if lead.scale:
-        sd = column_stddev(df, shape.width, shape.n_rows)
+        sd = column_stddev(rows, shape.width, shape.n_rows)
         base = base.join(sd, "idx", "left")
         scale = F.when(F.col("sd") > 0.0, 1.0 / F.col("sd")).otherwise(0.0)
     base = base.select("idx", scale.alias("scale"), opening.alias("w"))
@@ -112,47 +202,32 @@ def _fit_together(df: DataFrame, configs: list[SgdConfig], shape, start: DataFra
     for r in runs:
         zero = [F.lit(0.0).alias(s) for s in r.state]
         columns += [F.col("w").alias(f"w{r.key}"), F.col("w").alias(f"ahead{r.key}"), *zero]
-    params = settled(base.select(*columns))
+    params, path = written(base.select(*columns), "weights")
     for r in runs:
-        r.table = params
-
-    if any(r.run.stop_reason is None for r in runs):
-        _iterate_all(df, runs, params, lead, shape, storage)
-
-    elapsed = round((time.perf_counter() - began) * 1000)
-    return [FitResult(r.run.config, _model(r, lead, shape), r.run.steps, r.run.stop_reason, elapsed) for r in runs]
-
-
-def _iterate_all(df: DataFrame, runs: list[_WideRun], params: DataFrame, lead: SgdConfig, shape, storage) -> None:
-    rows = identified(df)
-    if "row_key" not in rows.columns:
-        # Margins and gradient are separate reads of a batch, so its rows must be chosen by key.
-        rows = rows.withColumn("row_key", F.col("row_id").cast("string"))
-    marks = hash_word(rows)
-    if lead.validation_split > 0:
-        marks.append(held_out(rows, lead.validation_split).alias("held_out"))
-    rows = rows.select("row_id", "label", "idx", "val", *marks)
-    if storage is not None:
-        rows = spread_by_id(rows).persist(storage)
-    try:
-        sampled = Rows(rows, "sparse", shape.width, lead.validation_split)
-        hot = hot_indices(rows)
-        iteration = 1
-        while active := [r for r in runs if r.run.stop_reason is None]:
-            batch = sampled.batch(iteration, lead.mini_batch_fraction)
-            params = _iterate(batch, params, active, iteration, hot)
-            iteration += 1
-    finally:
-        if storage is not None:
-            rows.unpersist()
-
-
-def _iterate(batch: DataFrame, params: DataFrame, active: list[_WideRun], iteration: int, hot) -> DataFrame:
+        r.table, r.path = params, path
+
+    sampled = Rows(rows, "sparse", shape.width, lead.validation_split)
+    iteration = 1
+    while active := [r for r in runs if r.run.stop_reason is None]:
+        batch = sampled.batch(iteration, lead.mini_batch_fraction)
+        before = path
+        params, path = _iterate(batch, params, path, active, iteration, hot)
+        if path != before and not any(r.path == before for r in runs):
+            removed(spark, before)  # no run's weights lie there any more
+        if told:
+            for r in active:
+                told(r.key, r.run.steps[-1])
+        iteration += 1
+    return [FitResult(r.run.config, _model(r, lead, shape), r.run.steps, r.run.stop_reason, 0) for r in runs]
+
+
+def _iterate(batch: DataFrame, params: DataFrame, path: str, active: list[_WideRun], iteration: int, hot):
+    """One pass and update; the weight table after it, and where it lies."""
     configs = [r.run.config for r in active]
     points = [F.col(f"ahead{r.key}") * F.col("scale") for r in active]
     margins = table_margins(batch, params, points, hot)
     biases = [float(r.run.position[-1]) if c.intercept else 0.0 for r, c in zip(active, configs)]
-    gradient = settled(table_gradient(batch, margins, [c.loss for c in configs], biases))
+    gradient, sums_path = written(table_gradient(batch, margins, [c.loss for c in configs], biases), "gradient")
     totals = {r["idx"]: r for r in gradient.filter(F.col("idx") < 0).collect()}
 
     def total(of: int, name: str) -> float:
@@ -166,15 +241,16 @@ def _iterate(batch: DataFrame, params: DataFrame, active: list[_WideRun], iterat
         if run.record(iteration, loss, n, held_loss, n_held):
             movers.append((i, r))
     if movers:
-        params = _move_all(params, gradient.filter(F.col("idx") >= 0), movers, iteration, n, totals)
+        params, path = _move_all(params, gradient.filter(F.col("idx") >= 0), movers, iteration, n, totals)
+    removed(batch.sparkSession, sums_path)
     for r in active:
         if r.run.stop_reason is None and iteration >= r.run.config.num_iterations:
             r.run.stop_reason = "max_iterations"
-    return params
+    return params, path
 
 
 def _move_all(params, gradient, movers, iteration: int, n: int, totals) -> DataFrame:
-    """The next weight table and, per configuration, its penalty and convergence."""
+    """The next weight table with its place and, per configuration, its penalty and convergence."""
     joined = params.join(gradient.drop("n"), "idx", "left")
     steps, moves = [], []
     for i, r in movers:
@@ -200,7 +276,7 @@ def _move_all(params, gradient, movers, iteration: int, n: int, totals) -> DataF
         if rule.looks_ahead:
             look = look - config.momentum_fraction * F.col(f"s{r.key}_0")
         aheads.append(look.alias(f"ahead{r.key}"))
-    table = settled(table.select("*", *aheads))
+    table, path = written(table.select("*", *aheads), "weights")
 
     norms = []
     for r, *_ in steps:
@@ -213,7 +289,7 @@ def _move_all(params, gradient, movers, iteration: int, n: int, totals) -> DataF
     measured = table.agg(*norms).first()
     for (i, _), (r, config, rule, tick) in zip(movers, steps):
         run = r.run
-        r.table = table
+        r.table, r.path = table, path
         before = run.weights
         if config.intercept:
             run.move_weights(np.array([totals[BIAS][f"g_{i}"] / n]), tick)
@@ -224,7 +300,7 @@ def _move_all(params, gradient, movers, iteration: int, n: int, totals) -> DataF
         run.penalty = penalty(config, l1, l2)
         if run.updates > 1 and has_converged(change**0.5, l2**0.5, config.convergence_tol):
             run.stop_reason = "converged"
-    return table
+    return table, path
 
 
 def _model(r: _WideRun, lead: SgdConfig, shape) -> LinearModel | TableModel:

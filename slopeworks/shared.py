@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,18 @@ def settled(df: DataFrame) -> DataFrame:
     an executor neither recomputes nor changes it."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table kept in the shared folder like ``settled``, with its path, so that it can be removed once a
+    later one takes its place."""
+    spark = df.sparkSession
+    path = shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table made by ``written``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

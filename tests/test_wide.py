@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from slopeworks import SgdConfig, fit
 from slopeworks.operators import features, joined
 from slopeworks.plans import fit as fit_module
 from slopeworks.plans import wide
+from slopeworks.plans.model import LinearModel
+from slopeworks.shared import shared_root
 
 pytestmark = pytest.mark.filterwarnings("ignore::UserWarning")
 
@@ -30,10 +34,11 @@ def skewed_rows(spark, n=600, width=50):
 def test_hot_indices_are_found_and_split_without_changing_sums(spark):
     rows = joined.identified(skewed_rows(spark))
     hot = joined.hot_indices(rows)
-    assert 0 in hot and len(hot) <= 200
+    ways = {r["idx"]: r["ways"] for r in hot.collect()}
+    assert ways[0] >= 8 and len(ways) <= 4 * joined.partitions_of(rows)
     params = spark.range(50).select(F.col("id").cast("int").alias("idx"), (F.col("id") / 10.0).alias("w"))
     split = joined.table_margins(rows, params, [F.col("w")], hot)
-    whole = joined.table_margins(rows, params, [F.col("w")], [])
+    whole = joined.table_margins(rows, params, [F.col("w")], hot.limit(0))
     a = {r["row_id"]: r["m_0"] for r in split.collect()}
     b = {r["row_id"]: r["m_0"] for r in whole.collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
@@ -63,9 +68,14 @@ def test_the_bound_decides(spark, monkeypatch):
     assert isinstance(far.model, wide.TableModel)
     got = {r["idx"]: r["w"] for r in far.model.weights.collect()}
     np.testing.assert_allclose([got[j] for j in range(50)], near.model.weights, atol=1e-10)
-    a = {r["row_key"]: r["prediction"] for r in near.model.transform(rows).collect()}
-    b = {r["row_key"]: r["prediction"] for r in far.model.transform(rows).collect()}
-    assert a == b and len(a) == 600
+    scored = far.model.transform(rows)
+    assert scored.columns == near.model.transform(rows).columns
+    a = {r["row_key"]: r for r in near.model.transform(rows).collect()}
+    b = {r["row_key"]: r for r in scored.collect()}
+    assert a.keys() == b.keys() and len(a) == 600
+    for key, row in a.items():
+        assert row["prediction"] == b[key]["prediction"] and row["idx"] == b[key]["idx"] and row["val"] == b[key]["val"]
+        assert row["probability"] == pytest.approx(b[key]["probability"])
     with pytest.raises(ValueError, match="driver vector"):
         features.collect_vector(far.model.weights, "w", 50)
 
@@ -92,3 +102,53 @@ def test_batches_without_a_key(spark):
     assert all(300 < s.batch_n < 500 for s in far.steps)
     np.testing.assert_allclose(far.model.weights, near.model.weights, atol=1e-12)
     np.testing.assert_allclose([s.val_loss for s in far.steps], [s.val_loss for s in near.steps], atol=1e-12)
+
+
+def test_table_model_is_a_whole_model(spark, tmp_path):
+    weights = spark.createDataFrame([(0, 0.5), (2, -1.0)], "idx int, w double")
+    model = wide.TableModel(weights, 0.25, "logistic", 3, threshold=0.6)
+    dense = spark.createDataFrame([("a", [1.0, 2.0, 0.5]), ("b", [3.0, 0.0, 0.0]), ("c", None)], "name string, features array<double>")
+    near = LinearModel(np.array([0.5, 0.0, -1.0]), 0.25, "logistic", 0.6)
+    assert sorted(map(str, model.transform(dense).collect())) == sorted(map(str, near.transform(dense).collect()))
+    assert model.predict_one([3.0, 0.0, 0.0]) == near.predict_one([3.0, 0.0, 0.0]) == 1.0
+    model.save(spark, str(tmp_path / "m"))
+    back = wide.TableModel.load(spark, str(tmp_path / "m"))
+    assert (back.intercept, back.loss, back.num_features, back.cut) == (0.25, "logistic", 3, 0.6)
+    assert sorted(map(tuple, back.weights.collect())) == [(0, 0.5), (2, -1.0)]
+    assert sorted(map(tuple, model.params(spark).collect())) == [(0, 0.5, False), (2, -1.0, False), (3, 0.25, True)]
+    assert "threshold=0.6" in repr(model)
+
+
+def test_a_long_fit_leaves_its_last_weights_only(spark):
+    folder = shared_root(spark).removeprefix("file:")
+    kept = lambda: {n for n in os.listdir(folder) if n.startswith(("weights-", "gradient-"))}
+    before = kept()
+    configs = [SgdConfig(updater=u, num_iterations=6, convergence_tol=0.0) for u in ("simple", "adam")]
+    fit(skewed_rows(spark), configs, num_features=50, layout="join")
+    assert len(kept() - before) <= 1
+
+
+def test_many_models_with_tables_are_scored_in_one_join(spark, monkeypatch):
+    rows = skewed_rows(spark)
+    configs = [SgdConfig(updater=u, num_iterations=2, convergence_tol=0.0) for u in ("simple", "adagrad")]
+    near = fit(rows, configs, num_features=50, score=True)
+    for module in (fit_module, wide, features):
+        monkeypatch.setattr(module, "MAX_DRIVER_VALUES", 40)
+    far = fit(rows, configs, num_features=50, score=True)
+    assert all(isinstance(r.model, wide.TableModel) for r in far)
+    assert [r.train_accuracy for r in far] == pytest.approx([r.train_accuracy for r in near])
+
+
+def test_scaling_beyond_the_bound_joins(spark, monkeypatch):
+    sparse = skewed_rows(spark).withColumn("val", F.transform("val", lambda x: x + F.col("row_key").cast("double")))
+    dense = sparse.select("row_key", F.array(*[F.col("row_key").cast("double") * j for j in range(4)]).alias("features"))
+    for rows, width in ((sparse, 50), (dense, 4)):
+        sd = features.column_stddev(rows, width)
+        near = {r["row_key"]: r for r in features.scaled(rows, sd, width).collect()}
+        with monkeypatch.context() as patch:
+            patch.setattr(features, "MAX_DRIVER_VALUES", 3)
+            far = {r["row_key"]: r for r in features.scaled(rows, sd, width).collect()}
+        assert near.keys() == far.keys()
+        name = "val" if width == 50 else "features"
+        for key, row in near.items():
+            assert row[name] == pytest.approx(far[key][name])
