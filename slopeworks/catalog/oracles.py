@@ -151,6 +151,7 @@ def train_chain(
     split: float = 0.0,
     intercept: bool = False,
     scale: bool = False,
+    start: tuple[float, ...] = (),
 ) -> str:
     """CTEs up to ``hist(cfg, updater, rate, t, loss, val_loss)`` and ``p{steps}`` (params).
 
@@ -176,6 +177,9 @@ def train_chain(
              0e0 AS c, s AS ahead
              FROM conf, (SELECT j, CASE WHEN j = {width} THEN 1e0 ELSE 0e0 END AS s FROM range({d}) AS r(j)))""",
     ]
+    if start:
+        case = " ".join(f"WHEN {j} THEN {lit(w)}" for j, w in enumerate(start))
+        parts[-1] = parts[-1].replace("ELSE 0e0 END AS s", f"ELSE CASE j {case} END END AS s")
     hist = []
     for t in range(1, steps + 1):
         pivot = ", ".join(f"max(CASE WHEN j = {j} THEN ahead END) AS v{j}" for j in range(d))
@@ -230,23 +234,66 @@ def chain_of(changes: dict, **fixed) -> str:
 def training_sql(changes: dict, width: int = 4, **fixed) -> str:
     """Result of a training query: weights, intercept, losses."""
     scale = changes.get("scale", False)
+    steps = changes.get("num_iterations", 3)
     weight = "w"
-    source = "p3"
+    source = f"p{steps}"
     if scale:
         case = " ".join(f"WHEN {j} THEN d{j}" for j in range(width))
-        weight, source = f"w / CASE j {case} END", "p3, dev"
+        weight, source = f"w / CASE j {case} END", f"p{steps}, dev"
     value = lambda x: rnd(x, q.digits_of(changes.get("loss", "logistic")))
     parts = [
         f"SELECT updater, 'weight' AS entry, j AS pos, {value(weight)} AS value FROM {source} WHERE j < {width}",
         f"SELECT updater, 'loss', t, {value('loss')} FROM hist",
     ]
     if changes.get("intercept"):
-        parts.append(f"SELECT updater, 'intercept', 0, {value('w')} FROM p3 WHERE j = {width}")
+        parts.append(f"SELECT updater, 'intercept', 0, {value('w')} FROM p{steps} WHERE j = {width}")
     if changes.get("validation_split"):
         parts.append(f"SELECT updater, 'val_loss', t, {value('val_loss')} FROM hist")
     return chain_of(changes, width=width, **fixed) + "\n" + " UNION ALL ".join(parts)
 
 
+def _all_weights(steps: int) -> str:
+    return " UNION ALL ".join(f"SELECT cfg, updater, {t} AS t, j, w FROM p{t}" for t in range(steps + 1))
+
+
+def _early_stopped() -> str:
+    """Weights before the first iteration whose validation loss did not fall, or after the last."""
+    configs = [(i, u, q.RESTLESS_STEP) for i, u in enumerate(q.STOPPING)]
+    steps = q.STOP_STEPS
+    return (
+        train_chain(configs, steps, split=q.SPLIT)
+        + f""", stops AS (
+        SELECT cfg, min(t) AS stop
+        FROM (SELECT cfg, t, val_loss, lag(val_loss) OVER (PARTITION BY cfg ORDER BY t) AS before FROM hist)
+        WHERE t > 1 AND NOT coalesce(val_loss < before, false) GROUP BY cfg),
+      ends AS (SELECT conf.cfg, coalesce(stop - 1, {steps}) AS t, coalesce(stop, {steps}) AS steps,
+                      CASE WHEN stop IS NULL THEN 'max_iterations' ELSE 'early_stop' END AS stop_reason
+               FROM conf LEFT JOIN stops USING (cfg)),
+      al AS ({_all_weights(steps)})
+      SELECT updater, stop_reason, CAST(steps AS INTEGER) AS steps, j AS idx, {rnd("w")} AS w
+      FROM ends JOIN al USING (cfg, t)"""
+    )
+
+
+def _converged() -> str:
+    """Weights after the first update but one that changed them little, or after the last."""
+    configs = [(i, u, q.STEP) for i, u in enumerate(q.STOPPING)]
+    steps = q.CONVERGING_STEPS
+    return (
+        train_chain(configs, steps)
+        + f""", al AS MATERIALIZED ({_all_weights(steps)}),
+      moves AS (SELECT n.cfg, n.t, sqrt(sum((n.w - o.w) * (n.w - o.w))) AS d, sqrt(sum(n.w * n.w)) AS s
+                FROM al n JOIN al o ON n.cfg = o.cfg AND n.j = o.j AND n.t = o.t + 1 GROUP BY n.cfg, n.t),
+      stops AS (SELECT cfg, min(t) AS stop FROM moves
+                WHERE t > 1 AND d < {lit(q.TOLERANCE)} * greatest(s, 1e0) GROUP BY cfg),
+      ends AS (SELECT conf.cfg, coalesce(stop, {steps}) AS t,
+                      CASE WHEN stop IS NULL THEN 'max_iterations' ELSE 'converged' END AS stop_reason
+               FROM conf LEFT JOIN stops USING (cfg))
+      SELECT updater, stop_reason, CAST(t AS INTEGER) AS steps, j AS idx, {rnd("w")} AS w
+      FROM ends JOIN al USING (cfg, t)"""
+    )
+
+
 def two_step_sql(changes: dict) -> str:
     """Result of an update query: two updates with the gradients of the first two mini-batches."""
     s = {"updater": "simple", "step_size": q.STEP, "semantics": "reference"} | changes
@@ -289,6 +336,37 @@ def document_entries(label: str = "toxic") -> str:
 _PATTERN = "((j % 7) - 3) / 10e0"
 
 
+def _sparse_sweep() -> str:
+    """Accuracies of two rates after three steps on the training part; weights start at 0, so an index that only
+    the test part has keeps weight 0."""
+    parts = [
+        f"every AS MATERIALIZED (SELECT *, {held(q.SPLIT)} AS h FROM ({document_entries()}))",
+        "en AS MATERIALIZED (SELECT k, y, j, x FROM every WHERE NOT h)",
+        "docs AS MATERIALIZED (SELECT DISTINCT k, y FROM en)",
+        "whole AS MATERIALIZED (SELECT DISTINCT k, y, h FROM every)",
+    ]
+    out = []
+    for run, rate in enumerate(q.SPARSE_RATES):
+        parts.append(f"p{run}_0 AS MATERIALIZED (SELECT CAST(j AS INTEGER) AS j, 0e0 AS w FROM range({BUCKETS}) AS r(j))")
+        for t in range(1, 4):
+            before = f"p{run}_{t - 1}"
+            parts += [
+                f"m{run}_{t} AS MATERIALIZED (SELECT k, sum(x * w) AS m FROM en JOIN {before} USING (j) GROUP BY k)",
+                f"t{run}_{t} AS MATERIALIZED (SELECT k, {multiplier('logistic')} AS p FROM docs JOIN m{run}_{t} USING (k))",
+                f"g{run}_{t} AS MATERIALIZED (SELECT j, sum(x * p) / (SELECT count(*) FROM docs) AS g "
+                f"FROM en JOIN t{run}_{t} USING (k) GROUP BY j)",
+                f"p{run}_{t} AS MATERIALIZED (SELECT j, w - {lit(rate)} * coalesce(g, 0e0) AS w "
+                f"FROM {before} LEFT JOIN g{run}_{t} USING (j))",
+            ]
+        hit = "CASE WHEN (1e0 / (1e0 + exp(-m)) > 0.5e0) = (y > 0) THEN 1e0 ELSE 0e0 END"
+        out.append(
+            f"SELECT {run} AS run_id, {rnd(lit(rate))} AS rate, {rnd(f'avg({hit}) FILTER (NOT h)')} AS train_acc, "
+            f"{rnd(f'avg({hit}) FILTER (h)')} AS test_acc "
+            f"FROM whole JOIN (SELECT k, sum(x * w) AS m FROM every JOIN p{run}_3 USING (j) GROUP BY k) USING (k)"
+        )
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(out)
+
+
 def sparse_training_sql(rate: float, steps: int = 3) -> str:
     parts = [
         f"en AS MATERIALIZED ({document_entries()})",
@@ -439,11 +517,11 @@ def _sweep(tail: str, steps: int = q.SWEEP_STEPS, **settings) -> str:
     return train_chain(sweep_list(), steps, fraction=q.BATCH, **settings) + tail
 
 
-def _sweep_best() -> str:
+def _sweep_best(steps: int = q.SWEEP_STEPS) -> str:
     return f""", best AS (
       SELECT updater, cfg, rate, loss,
              row_number() OVER (PARTITION BY updater ORDER BY loss, cfg) AS place
-      FROM hist WHERE t = {q.SWEEP_STEPS})"""
+      FROM hist WHERE t = {steps})"""
 
 
 def _sweep_runs(loss: str) -> str:
@@ -479,6 +557,27 @@ _LOG = """WITH ev AS (
 """
 
 
+_LOG_FILES = f"""WITH ev AS (
+        SELECT *, event_id // {q.LOG_FILE} AS source, event_type = 'purchase' AS closes,
+               count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY event_id // {q.LOG_FILE} ORDER BY event_id) AS through
+        FROM events)
+      SELECT source, through - 1 AS run_id, CAST(user_id % 10 AS INTEGER) AS updater,
+             CAST(user_id % 2 AS VARCHAR) AS alg, value AS rate, user_id / 1000e0 AS test_acc,
+             user_id / 2000e0 AS train_acc, event_id AS elapsed_ms
+      FROM ev WHERE closes"""
+
+
+def _confusion_many() -> str:
+    # The key's second part is the line number.
+    label = "CASE WHEN n <> 5 THEN CAST(n % 4 - 1 AS DOUBLE) END"
+    parts = [
+        f"SELECT {i} AS config_id, {label} AS label, hat AS prediction, count(*) AS n "
+        f"FROM (SELECT hat, CAST(string_split(k, '-')[2] AS INTEGER) AS n FROM ({_scores(loss)})) GROUP BY 1, 2, 3"
+        for i, loss in enumerate(("logistic", "hinge"))
+    ]
+    return " UNION ALL ".join(parts)
+
+
 def all_oracles() -> dict[str, str]:
     found = {
         "src_training_set": f"SELECT k AS row_key, y AS label, x0, x1, x2, x3 FROM ({LINEITEM})",
@@ -553,8 +652,9 @@ def all_oracles() -> dict[str, str]:
         "sweep_runs": _sweep_runs("logistic"),
         "sweep_runs_svm": _sweep_runs("hinge"),
         "sweep_best_rate": _sweep(
-            f"""{_sweep_best()} SELECT updater, cfg AS run_id, {rnd("rate")} AS rate, {rnd("loss")} AS loss
-             FROM best WHERE place = 1"""
+            f"""{_sweep_best(q.CRITERION)} SELECT updater, cfg AS run_id, {rnd("rate")} AS rate, {rnd("loss")} AS loss
+             FROM best WHERE place = 1""",
+            steps=q.CRITERION,
         ),
         "sweep_curves": _sweep(
             f""" SELECT updater, cfg AS run_id, {rnd("rate")} AS rate, t AS iteration, {rnd("loss")} AS loss
@@ -587,6 +687,29 @@ def all_oracles() -> dict[str, str]:
     found |= {name: two_step_sql(changes) for name, changes in q.update_cases().items()}
     found |= {name: training_sql(changes) for name, changes in q.training_cases().items()}
     found["train_lr_dense64"] = training_sql({"updater": "adam"}, width=64, data=EMBEDDINGS)
+    share = f"CAST(unnest([1, 2, 3]) AS INTEGER) AS iteration, count(*) AS n_rows"
+    found["sample_unkeyed"] = f"SELECT {share}, true AS layouts_agree, true AS near_share FROM lineitem"
+    found["val_features"] = """
+      SELECT count(*) FILTER (l_returnflag IN ('A', 'N')) AS n_bad_labels, count(*) FILTER (l_linenumber = 4) AS n_missing,
+             count(*) FILTER (l_linenumber IN (1, 2, 3, 5)) AS n_bad_vectors, count(*) FILTER (l_linenumber = 6) AS n_no_key
+      FROM lineitem"""
+    found["eval_confusion_many"] = _confusion_many()
+    found["train_lr_early_stop"] = _early_stopped()
+    found["train_lr_converged"] = _converged()
+    defaults = {"updater": "adagrad", "step_size": 1.0, "num_iterations": q.API_STEPS}
+    found["api_train_logistic"] = found["api_logistic_estimator"] = training_sql(defaults)
+    found["api_train_svm"] = training_sql(defaults | {"loss": "hinge"})
+    found["api_svm_estimator"] = training_sql(
+        defaults | {"loss": "hinge", "reg_type": 2, "reg_param": 0.01}, start=q.POINT
+    )
+    found["predict_sparse_join"] = found["predict_sparse"]
+    found["feat_std_scale_rows_sparse"] = f"""
+      WITH en AS MATERIALIZED ({document_entries()}),
+      n AS (SELECT count(DISTINCT k) AS n FROM en),
+      sd AS (SELECT j, sqrt(greatest(sum(x * x) - sum(x) * sum(x) / n, 0e0) / (n - 1)) AS sd FROM en, n GROUP BY j, n)
+      SELECT k AS row_key, j AS idx, {rnd("CASE WHEN sd > 0 THEN x / sd ELSE 0e0 END")} AS x FROM en JOIN sd USING (j)"""
+    found["sweep_runs_sparse"] = _sparse_sweep()
+    found["parse_run_log_text"] = _LOG_FILES
     found["train_lr_sparse"] = sparse_training_sql(0.01)
     found["train_lr_sparse_join"] = sparse_training_sql(0.01)
     return found

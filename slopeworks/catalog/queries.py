@@ -15,12 +15,14 @@ from slopeworks.config import L1, L2, SgdConfig
 from slopeworks.functions.updates import UPDATER_NAMES
 from slopeworks.operators import control, evaluate, features, history, joined, sampling, update
 from slopeworks.operators.gradient import batch_sums, column_sums, prepare
+from slopeworks.plans.estimators import LinearSvm, LogisticRegression, train_logistic, train_svm
 from slopeworks.plans.fit import FitResult, fit, history_table
 from slopeworks.plans.model import LinearModel
 from slopeworks.plans.sweep import sweep, sweep_configs
-from slopeworks.shared import shared_folder
+from slopeworks.plans.wide import TableModel
+from slopeworks.shared import settled, shared_folder
 from slopeworks.sources.libsvm import read_libsvm, to_libsvm_lines
-from slopeworks.sources.run_log import log_tables, parse_run_log
+from slopeworks.sources.run_log import log_tables, parse_run_log, read_run_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +34,10 @@ REG = 0.05
 BATCH = 0.25
 SPLIT = 0.2
 SWEEP_STEPS = 3
+# Iteration at which the best rate is judged.
+CRITERION = 20
+# Steps of the longer training queries.
+LONG_STEPS = 10
 STANDARD_FORMS = ("adam", "adamax", "nadam", "amsgrad")
 
 
@@ -225,10 +231,14 @@ def _update_query(config: SgdConfig) -> Query:
 
 def reg_value(spark, folder):
     """Penalties of the weights after one step, per kind of regularization."""
+    sums = _point_sums(spark, folder, ["logistic"], iteration=1)
+    start = F.array(*[F.lit(w) for w in POINT])
+    # Four rows: kept, so that the three kinds share one pass over the line items.
+    first = settled(_gradient_rows(sums, 4).select("idx", start[F.col("idx")].alias("w"), F.col("g").alias("g1")))
     parts = []
     for kind in (0, L1, L2):
         config = SgdConfig(updater="simple", step_size=STEP, reg_type=kind, reg_param=REG)
-        params = update.fresh_params(_two_gradients(spark, folder), config)
+        params = update.fresh_params(first, config)
         moved = update.updated(params, F.col("g1"), config, 1, 1).withColumn("reg_type", F.lit(kind))
         parts.append(update.penalties(moved, config, "reg_type"))
     table = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -412,7 +422,8 @@ def _sweep_runs(loss: str) -> Query:
 
 
 def sweep_best_rate(spark, folder):
-    found = history.best_rates(*_sweep_tables(spark, folder), criterion_iteration=SWEEP_STEPS)
+    tables = _sweep_tables(spark, folder, num_iterations=CRITERION)
+    found = history.best_rates(*tables, criterion_iteration=CRITERION)
     return found.select(
         "updater", "run_id", rounded(F.col("rate")).alias("rate"), rounded(F.col("loss")).alias("loss")
     )
@@ -435,7 +446,9 @@ def sweep_best_curves(spark, folder):
 
 
 # Lines per block when log lines come from a table with unique increasing ids.
-LOG_BLOCK = 1 << 20
+LOG_BLOCK = 500
+# Lines per log file, and bytes per split when files are read back as text.
+LOG_FILE, LOG_SPLIT = 20_000, 64 << 10
 
 
 def event_log(spark, folder) -> DataFrame:
@@ -475,6 +488,163 @@ def log_best_rate(spark, folder):
     return history.best_rates(table.groupBy("run_id", "iteration").agg(F.min("loss").alias("loss")), runs, 5)
 
 
+def parse_run_log_text(spark, folder):
+    """The event log written as text files of many lines each, and read back in many splits."""
+    path = shared_folder(spark, f"run-log-{uuid.uuid4().hex}")
+    lines = event_log(spark, folder).select(F.floor(F.col("seq") / LOG_FILE).alias("file"), "seq", "value")
+    files = lines.repartition("file").sortWithinPartitions("file", "seq")
+    files.select("file", "value").write.partitionBy("file").text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(LOG_SPLIT))
+    try:
+        runs = log_tables(parse_run_log(read_run_log(spark, path)))[1]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return runs.withColumn("source", F.regexp_extract("source", r"file=(\d+)/", 1).cast("bigint"))
+
+
+# --- one answer in every layout -------------------------------------------------------------------
+
+
+def sample_unkeyed(spark, folder):
+    """Batches of line items without a key: whether every layout draws as many rows, near the share asked for."""
+    rows = lineitem_set(spark, folder).drop("row_key")
+    config = training_config(mini_batch_fraction=BATCH, validation_split=SPLIT)
+    found = [fit(rows, config, num_features=4, layout=layout)[0] for layout in ("columns", "arrow", "join")]
+    share = BATCH * (1 - SPLIT)
+    n = spark.read.parquet(f"{folder}/lineitem.parquet").agg(F.count(F.lit(1)).alias("n_rows"))
+    steps = [
+        (a.iteration, a.batch_n == b.batch_n == c.batch_n, a.batch_n)
+        for a, b, c in zip(*[result.steps for result in found])
+    ]
+    table = spark.createDataFrame(steps, "iteration int, layouts_agree boolean, batch_n bigint")
+    near = F.abs(F.col("batch_n") / F.col("n_rows") - share) < 0.1 * share
+    return n.join(F.broadcast(table)).select("iteration", "n_rows", "layouts_agree", near.alias("near_share"))
+
+
+def val_features(spark, folder):
+    """Rows of a sparse table that are bad in one way or another, counted per kind."""
+    rows = read(spark, folder, "lineitem")
+    number = F.col("l_linenumber").cast("int")
+    places = (
+        F.when(number == 1, F.array(F.lit(0), F.lit(-1)))
+        .when(number == 2, F.array(F.lit(0), F.lit(None).cast("int")))
+        .when(number == 3, F.array(F.lit(0)))
+        .when(number == 4, F.lit(None).cast("array<int>"))
+        .otherwise(F.array(F.lit(0), F.lit(1)))
+    )
+    values = F.when(number == 5, F.array(F.lit(None).cast("double"), F.col("l_tax"))).otherwise(
+        F.array("l_discount", "l_tax")
+    )
+    label = F.when(F.col("l_returnflag") == "A", F.lit(None).cast("double")).otherwise(
+        F.when(F.col("l_returnflag") == "N", 2.0).otherwise(1.0)
+    )
+    key = F.when(number != 6, F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    table = rows.select(label.alias("label"), places.alias("idx"), values.alias("val"), key.alias("row_key"))
+    return features.unclean_counts(table)
+
+
+def eval_confusion_many(spark, folder):
+    """Confusion of two models at once, with labels outside 0 and 1 and null labels kept apart."""
+    rows = lineitem_set(spark, folder)
+    number = F.split("row_key", "-")[1].cast("int")
+    rows = rows.withColumn("label", F.when(number != 5, (number % 4 - 1).cast("double")))
+    models = [point_model("logistic"), point_model("hinge")]
+    return evaluate.confusion_of(prepare(rows, 4, sampled=False), models)
+
+
+# --- stopping inside the fit ------------------------------------------------------------------------
+
+STOPPING = ("simple", "momentum", "nesterov", "adam", "rmsprop")
+CONVERGING_STEPS, TOLERANCE = 10, 0.2
+
+
+def _stopped_rows(spark, results: Sequence[FitResult]) -> DataFrame:
+    rows = [
+        (r.config.updater, r.stop_reason, len(r.steps), j, float(w)) for r in results for j, w in enumerate(r.model.weights)
+    ]
+    table = spark.createDataFrame(rows, "updater string, stop_reason string, steps int, idx int, w double")
+    return table.withColumn("w", rounded(F.col("w")))
+
+
+def train_lr_early_stop(spark, folder):
+    """Fits that end when the validation loss does not fall, with the weights they return."""
+    configs = [
+        training_config(
+            updater=u, step_size=RESTLESS_STEP, num_iterations=STOP_STEPS, validation_split=SPLIT, iter_validation=1
+        )
+        for u in STOPPING
+    ]
+    return _stopped_rows(spark, fit(lineitem_set(spark, folder), configs, num_features=4))
+
+
+def train_lr_converged(spark, folder):
+    """Fits that end when their weights hardly change."""
+    configs = [
+        training_config(updater=u, num_iterations=CONVERGING_STEPS, convergence_tol=TOLERANCE) for u in STOPPING
+    ]
+    return _stopped_rows(spark, fit(lineitem_set(spark, folder), configs, num_features=4))
+
+
+# --- the public functions and estimators with their defaults ------------------------------------------
+
+API_STEPS = 10
+
+
+def api_train_logistic(spark, folder):
+    return result_rows(spark, [train_logistic(lineitem_set(spark, folder), API_STEPS)])
+
+
+def api_train_svm(spark, folder):
+    return result_rows(spark, [train_svm(lineitem_set(spark, folder), API_STEPS)])
+
+
+def api_logistic_estimator(spark, folder):
+    estimator = LogisticRegression()
+    estimator.config = estimator.config.with_(num_iterations=API_STEPS)
+    return result_rows(spark, [estimator.run(lineitem_set(spark, folder))])
+
+
+def api_svm_estimator(spark, folder):
+    estimator = LinearSvm()
+    estimator.config = estimator.config.with_(num_iterations=API_STEPS, reg_type=L2)
+    return result_rows(spark, [estimator.run(lineitem_set(spark, folder), initial_weights=list(POINT))])
+
+
+# --- weights as a table -----------------------------------------------------------------------------
+
+
+def predict_sparse_join(spark, folder):
+    """As ``predict_sparse``, by a model whose weights are a table."""
+    pattern = ((F.col("id") % 7 - 3) / 10.0).alias("w")
+    weights = spark.range(BUCKETS).select(F.col("id").cast("int").alias("idx"), pattern)
+    scored = TableModel(weights, 0.05, "logistic", BUCKETS).transform(document_set(spark, folder))
+    return scored.select("row_key", "label", rounded(F.col("probability")).alias("probability"), "prediction")
+
+
+def feat_std_scale_rows_sparse(spark, folder):
+    rows = settled(document_set(spark, folder))
+    scaled = features.scaled(rows, features.column_stddev(rows, BUCKETS), BUCKETS)
+    entries = scaled.select("row_key", F.inline(F.arrays_zip("idx", "val")))
+    return entries.select("row_key", "idx", rounded(F.col("val")).alias("x"))
+
+
+SPARSE_RATES = (0.01, 0.1)
+
+
+def sweep_runs_sparse(spark, folder):
+    """A sweep over bags of words; the width is found in the training part, the test part may go beyond it."""
+    train, test = sampling.train_validation(settled(document_set(spark, folder)), SPLIT)
+    configs = [training_config(updater="simple", step_size=rate) for rate in SPARSE_RATES]
+    found = sweep(train, test, configs)
+    return found.runs.select(
+        "run_id",
+        rounded(F.col("rate")).alias("rate"),
+        rounded(F.col("train_acc")).alias("train_acc"),
+        rounded(F.col("test_acc")).alias("test_acc"),
+    )
+
+
 def all_queries() -> dict[str, Query]:
     plain = [
         src_training_set, src_libsvm, feat_append_bias, feat_std_scale, feat_std_scale_sparse,
@@ -482,7 +652,9 @@ def all_queries() -> dict[str, Query]:
         grad_logistic_dense64, grad_logistic_sparse, grad_logistic_join, loss_validation, reg_value, ctl_convergence,
         ctl_early_stop, history_last10, predict_lr, predict_svm, predict_dense64, predict_sparse,
         eval_accuracy, eval_confusion, eval_majority, sweep_grid, sweep_best_rate, sweep_curves,
-        sweep_best_curves, parse_run_log_runs, log_best_rate,
+        sweep_best_curves, parse_run_log_runs, parse_run_log_text, log_best_rate, sample_unkeyed, val_features,
+        eval_confusion_many, train_lr_early_stop, train_lr_converged, api_train_logistic, api_train_svm,
+        api_logistic_estimator, api_svm_estimator, predict_sparse_join, feat_std_scale_rows_sparse, sweep_runs_sparse,
     ]
     found: dict[str, Query] = {q.__name__: q for q in plain}
     found["parse_run_log"] = parse_run_log_history
@@ -515,10 +687,16 @@ def update_cases() -> dict[str, dict]:
 
 def training_cases() -> dict[str, dict]:
     """Settings of the training queries over the line items."""
+    long = {"num_iterations": LONG_STEPS}
     cases = {f"train_lr_{u}": {"updater": u} for u in UPDATER_NAMES}
+    cases |= {f"train_lr_{u}": {"updater": u} | long for u in ("adam", "nadam", "amsgrad", "nesterov")}
     cases |= {f"train_lr_{u}_standard": {"updater": u, "semantics": "standard"} for u in STANDARD_FORMS}
     cases["train_svm_simple"] = {"loss": "hinge"}
-    cases["train_svm_adam"] = {"loss": "hinge", "updater": "adam"}
+    cases["train_svm_adam"] = {"loss": "hinge", "updater": "adam"} | long
+    cases["train_lr_adam_l1"] = {"updater": "adam", "reg_type": L1, "reg_param": REG}
+    cases["train_lr_nesterov_l2"] = {"updater": "nesterov", "reg_type": L2, "reg_param": REG}
+    cases["train_lr_adagrad_decay_l2"] = {"updater": "adagrad", "reg_type": L2, "reg_param": REG, "decay": True}
+    cases["train_lr_adamax_l2"] = {"updater": "adamax", "reg_type": L2, "reg_param": REG}
     cases["train_lr_l1"] = {"reg_type": L1, "reg_param": REG}
     cases["train_lr_l2"] = {"reg_type": L2, "reg_param": REG, "updater": "momentum"}
     cases["train_lr_decay"] = {"decay": True, "updater": "adagrad"}

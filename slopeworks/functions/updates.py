@@ -165,15 +165,3 @@ def penalty(config: SgdConfig, l1_norm: float, squared_l2_norm: float) -> float:
         return 0.5 * config.reg_param * squared_l2_norm
     return 0.0
 
-
-def opening_penalty(config: SgdConfig, l1_norm: float, squared_l2_norm: float) -> float:
-    """Penalty of the initial weights.
-
-    Under reference semantics the opening value is undefined (NaN) where a zero-length first step
-    is divided by zero: AdaMax always, and every rule but the two momentum ones when decaying.
-    """
-    if config.reg_type in (L1, L2) and config.semantics == "reference":
-        undefined = config.decay and config.updater not in ("momentum", "nesterov")
-        if config.updater == "adamax" or undefined:
-            return float("nan")
-    return penalty(config, l1_norm, squared_l2_norm)

@@ -10,8 +10,8 @@ from slopeworks.functions.ops import ColumnOps
 from slopeworks.functions.updates import Tick, regularized, updater_named
 
 
-def state_columns(config: SgdConfig) -> list[str]:
-    return [f"s{i}" for i in range(updater_named(config.updater).state_size)]
+def state_columns(config: SgdConfig, key: str = "") -> list[str]:
+    return [f"s{key}{i}" for i in range(updater_named(config.updater).state_size)]
 
 
 def fresh_params(weights: DataFrame, config: SgdConfig) -> DataFrame:
@@ -19,25 +19,28 @@ def fresh_params(weights: DataFrame, config: SgdConfig) -> DataFrame:
     return weights.select("*", *[F.lit(0.0).alias(s) for s in state_columns(config)])
 
 
-def updated(params: DataFrame, gradient: Column, config: SgdConfig, iteration: int, count: int) -> DataFrame:
+def updated(
+    params: DataFrame, gradient: Column, config: SgdConfig, iteration: int, count: int, key: str = ""
+) -> DataFrame:
     """Next weights and state, given the mean gradient of each row's weight.
 
-    Adds ``ahead``, the point at which the next gradient is to be taken.
+    Adds ``ahead``, the point at which the next gradient is to be taken.  A table with the weights of several
+    configurations names the columns of each by its ``key``: ``w{key}``, ``s{key}0``, ``ahead{key}``.
     """
     rule = updater_named(config.updater)
     step = config.step_at(iteration)
-    state = tuple(F.col(s) for s in state_columns(config))
+    names, own, look = state_columns(config, key), f"w{key}", f"ahead{key}"
+    state = tuple(F.col(s) for s in names)
     move, after = rule.move(ColumnOps, gradient, state, Tick(config, step, count))
-    names = state_columns(config)
-    kept = [c for c in params.columns if c not in ("w", "ahead", *names)]
+    kept = [c for c in params.columns if c not in (own, look, *names)]
     # The step is named first, so the new weight does not expand its expression twice.
     moved = params.select(
-        *kept, "w", move.alias("_move"), *[value.alias(name) for value, name in zip(after, names)]
+        *kept, own, move.alias("_move"), *[value.alias(name) for value, name in zip(after, names)]
     )
-    weight = regularized(ColumnOps, F.col("w"), F.col("_move"), config, step)
-    stepped = moved.select(*kept, weight.alias("w"), *names)
-    ahead = F.col("w") - config.momentum_fraction * F.col("s0") if rule.looks_ahead else F.col("w")
-    return stepped.select("*", ahead.alias("ahead"))
+    weight = regularized(ColumnOps, F.col(own), F.col("_move"), config, step)
+    stepped = moved.select(*kept, weight.alias(own), *names)
+    ahead = F.col(own) - config.momentum_fraction * F.col(names[0]) if rule.looks_ahead else F.col(own)
+    return stepped.select("*", ahead.alias(look))
 
 
 def weight_norms(params: DataFrame, *by: str) -> DataFrame:

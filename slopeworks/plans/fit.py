@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from slopeworks.config import SgdConfig
 from slopeworks.functions.ops import NumpyOps
-from slopeworks.functions.updates import Tick, opening_penalty, penalty, regularized, updater_named
+from slopeworks.functions.updates import Tick, penalty, regularized, updater_named
 from slopeworks.operators.control import has_converged, must_stop, norm
 from slopeworks.operators.evaluate import accuracy_of
 from slopeworks.operators.features import (
@@ -101,7 +101,7 @@ class _Run:
     @classmethod
     def start(cls, config: SgdConfig, weights: np.ndarray) -> "_Run":
         rule = updater_named(config.updater)
-        opening = opening_penalty(config, float(np.abs(weights).sum()), float(weights @ weights))
+        opening = penalty(config, float(np.abs(weights).sum()), float(weights @ weights))
         state = tuple(np.zeros_like(weights) for _ in range(rule.state_size))
         run = cls(config, weights, state, opening)
         if config.num_iterations == 0:

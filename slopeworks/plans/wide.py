@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopeworks.config import SgdConfig
-from slopeworks.functions.ops import ColumnOps
 from slopeworks.functions.sampling import WORD, key_word
-from slopeworks.functions.updates import Tick, opening_penalty, penalty, regularized, updater_named
+from slopeworks.functions.updates import Tick, penalty
 from slopeworks.operators.control import has_converged
 from slopeworks.operators.features import MAX_DRIVER_VALUES, collect_vector, column_stddev, is_sparse
 from slopeworks.operators.gradient import Rows, held_out
@@ -32,7 +31,7 @@ from slopeworks.operators.joined import (
     table_gradient,
     table_margins,
 )
-from slopeworks.operators.update import weight_norms
+from slopeworks.operators.update import state_columns, updated, weight_norms
 from slopeworks.plans.fit import FitResult, _Run
 from slopeworks.plans.model import LinearModel, cut_of, predicted, prediction_of, with_prediction
 from slopeworks.shared import removed, written
@@ -134,7 +133,7 @@ def table_accuracies(rows: DataFrame, models: Sequence[TableModel]) -> list[floa
 @dataclass
 class _WideRun:
     """One configuration: bookkeeping in ``run`` (whose own weights hold the intercept, if any),
-    weights in columns ``w{key}``, ``s{key}_*`` and ``ahead{key}`` of ``table``."""
+    weights in columns ``w{key}_``, ``s{key}_*`` and ``ahead{key}_`` of ``table``."""
 
     key: int
     run: _Run
@@ -143,11 +142,11 @@ class _WideRun:
 
     @property
     def state(self) -> list[str]:
-        return [f"s{self.key}_{i}" for i in range(updater_named(self.run.config.updater).state_size)]
+        return state_columns(self.run.config, f"{self.key}_")
 
     @property
     def columns(self) -> list[str]:
-        return [f"w{self.key}", f"ahead{self.key}", *self.state]
+        return [f"w{self.key}_", f"ahead{self.key}_", *self.state]
 
 
 def fit_wide(rows: DataFrame, configs: list[SgdConfig], shape, start, storage, told=None) -> list[FitResult]:
@@ -194,14 +193,14 @@ def _fit_together(rows: DataFrame, configs: list[SgdConfig], shape, start: DataF
     for key, config in enumerate(configs):
         bias = np.array([config.initial_intercept] if config.intercept else [])
         run = _Run.start(config, bias)
-        run.penalty = opening_penalty(config, l1 + float(np.abs(bias).sum()), l2 + float(bias @ bias))
+        run.penalty = penalty(config, l1 + float(np.abs(bias).sum()), l2 + float(bias @ bias))
         runs.append(_WideRun(key, run, base))
         if shape.n_rows == 0:
             run.stop_reason = "no_data"
     columns = ["idx", "scale"]
     for r in runs:
         zero = [F.lit(0.0).alias(s) for s in r.state]
-        columns += [F.col("w").alias(f"w{r.key}"), F.col("w").alias(f"ahead{r.key}"), *zero]
+        columns += [F.col("w").alias(f"w{r.key}_"), F.col("w").alias(f"ahead{r.key}_"), *zero]
     params, path = written(base.select(*columns), "weights")
     for r in runs:
         r.table, r.path = params, path
@@ -224,7 +223,7 @@ def _fit_together(rows: DataFrame, configs: list[SgdConfig], shape, start: DataF
 def _iterate(batch: DataFrame, params: DataFrame, path: str, active: list[_WideRun], iteration: int, hot):
     """One pass and update; the weight table after it, and where it lies."""
     configs = [r.run.config for r in active]
-    points = [F.col(f"ahead{r.key}") * F.col("scale") for r in active]
+    points = [F.col(f"ahead{r.key}_") * F.col("scale") for r in active]
     margins = table_margins(batch, params, points, hot)
     biases = [float(r.run.position[-1]) if c.intercept else 0.0 for r, c in zip(active, configs)]
     gradient, sums_path = written(table_gradient(batch, margins, [c.loss for c in configs], biases), "gradient")
@@ -251,43 +250,29 @@ def _iterate(batch: DataFrame, params: DataFrame, path: str, active: list[_WideR
 
 def _move_all(params, gradient, movers, iteration: int, n: int, totals) -> DataFrame:
     """The next weight table with its place and, per configuration, its penalty and convergence."""
-    joined = params.join(gradient.drop("n"), "idx", "left")
-    steps, moves = [], []
+    table = params.drop(*[c for c in params.columns if c.startswith("old")])
+    table = table.join(gradient.drop("n"), "idx", "left")
+    table = table.select("*", *[F.col(f"w{r.key}_").alias(f"old{r.key}") for _, r in movers])
+    steps = []
     for i, r in movers:
-        config, rule = r.run.config, updater_named(r.run.config.updater)
+        config = r.run.config
         r.run.updates += 1
         mean = F.coalesce(F.col(f"g_{i}"), F.lit(0.0)) / F.lit(float(n)) * F.col("scale")
-        tick = Tick(config, config.step_at(iteration), r.run.updates)
-        move, state = rule.move(ColumnOps, mean, tuple(F.col(s) for s in r.state), tick)
-        moves += [move.alias(f"u{r.key}"), F.col(f"w{r.key}").alias(f"old{r.key}")]
-        moves += [value.alias(name) for value, name in zip(state, r.state)]
-        steps.append((r, config, rule, tick))
-    moved = joined.select("idx", "scale", *moves)
-    columns = []
-    for r, config, rule, tick in steps:
-        weight = regularized(ColumnOps, F.col(f"old{r.key}"), F.col(f"u{r.key}"), config, tick.step)
-        columns.append(weight.alias(f"w{r.key}"))
-    states = [s for r, *_ in steps for s in r.state]
-    olds = [f"old{r.key}" for r, *_ in steps]
-    table = moved.select("idx", "scale", *states, *olds, *columns)
-    aheads = []
-    for r, config, rule, _ in steps:
-        look = F.col(f"w{r.key}")
-        if rule.looks_ahead:
-            look = look - config.momentum_fraction * F.col(f"s{r.key}_0")
-        aheads.append(look.alias(f"ahead{r.key}"))
-    table, path = written(table.select("*", *aheads), "weights")
+        table = updated(table, mean, config, iteration, r.run.updates, f"{r.key}_")
+        steps.append((r, config, Tick(config, config.step_at(iteration), r.run.updates)))
+    columns = ["idx", "scale", *[c for _, r in movers for c in (*r.columns, f"old{r.key}")]]
+    table, path = written(table.select(*columns), "weights")
 
     norms = []
-    for r, *_ in steps:
-        w, change = F.col(f"w{r.key}"), F.col(f"w{r.key}") - F.col(f"old{r.key}")
+    for _, r in movers:
+        w, change = F.col(f"w{r.key}_"), F.col(f"w{r.key}_") - F.col(f"old{r.key}")
         norms += [
             F.sum(F.abs(w)).alias(f"a{r.key}"),
             F.sum(w * w).alias(f"q{r.key}"),
             F.sum(change * change).alias(f"d{r.key}"),
         ]
     measured = table.agg(*norms).first()
-    for (i, _), (r, config, rule, tick) in zip(movers, steps):
+    for (i, _), (r, config, tick) in zip(movers, steps):
         run = r.run
         r.table, r.path = table, path
         before = run.weights
@@ -305,7 +290,7 @@ def _move_all(params, gradient, movers, iteration: int, n: int, totals) -> DataF
 
 def _model(r: _WideRun, lead: SgdConfig, shape) -> LinearModel | TableModel:
     config = r.run.config
-    weight = F.col(f"w{r.key}") * F.col("scale") if lead.scale else F.col(f"w{r.key}")
+    weight = F.col(f"w{r.key}_") * F.col("scale") if lead.scale else F.col(f"w{r.key}_")
     table = r.table.select("idx", weight.alias("w"))
     intercept = float(r.run.weights[-1]) if config.intercept else 0.0
     if shape.width <= MAX_DRIVER_VALUES:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slopeworks.shared import settled
+
 # The two line formats of a run log (the double space is part of the format).
 LOSS_START, SUMMARY_START = "Loss in iteration ", "Testing accuracy  of updater "
 LOSS_LINE = r"^Loss in iteration (\d+) : (\S+)\s*$"
@@ -65,8 +67,8 @@ def parse_run_log(lines: DataFrame) -> DataFrame:
     value = F.col("value")
     summary = _summary(value)
     is_loss = _is_loss(value)
-    # Cut the lines down before the shuffle to what the formats carry.
-    known = (
+    # Cut the lines down to what the formats carry, once for the two uses that follow.
+    known = settled(
         lines.filter(is_loss | _is_summary(value))
         .select(
             "source",

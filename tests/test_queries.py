@@ -6,9 +6,11 @@ import pytest
 from check_queries import compare, connect
 
 import __spark_entry__ as entry
+from slopeworks.catalog.oracles import all_oracles
+from slopeworks.catalog.queries import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 pytestmark = pytest.mark.filterwarnings("ignore::UserWarning")
 
@@ -18,8 +20,9 @@ def db():
     return connect(FOLDER)
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= entry.queries().keys()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
