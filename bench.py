@@ -48,8 +48,8 @@ def training_cases(spark: SparkSession, folder: str):
         "train_lr_validated_20": lambda: fit(lines, config(validation_split=0.2, intercept=True), 4),
         "train_lr_embeddings_20": lambda: fit(embedding_set(spark, folder), config(updater="adam"), 64),
         "train_lr_documents_20": lambda: fit(document_set(spark, folder), config(step_size=0.1), BUCKETS),
-        "train_lr_documents_join_2": lambda: fit(
-            document_set(spark, folder), config(num_iterations=2, step_size=0.1), BUCKETS, layout="join"
+        "train_lr_documents_join_20": lambda: fit(
+            document_set(spark, folder), config(step_size=0.1), BUCKETS, layout="join"
         ),
         "sweep_30_runs_20": lambda: sweep(
             train, test, sweep_configs(config(), variations=PUBLISHED_VARIATIONS), 4

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from slopeworks.functions.losses import loss_named
 from slopeworks.functions.ops import ColumnOps
+from slopeworks.functions.sampling import WORD
 from slopeworks.operators.features import is_sparse
 from slopeworks.shared import settled
 
@@ -64,19 +65,30 @@ def hot_indices(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(found, "idx int, ways int")
 
 
-def table_margins(rows: DataFrame, params: DataFrame, weights: Sequence[Column], hot: DataFrame) -> DataFrame:
+def entries_of(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``(row_id, idx, val, _part[, h])``: the stored entries; those of a hot index are split over its parts."""
+    kept = [c for c in ("row_id", WORD) if c in rows.columns]
+    entries = rows.select(*kept, F.inline(F.arrays_zip("idx", "val"))).join(F.broadcast(hot), "idx", "left")
+    part = F.pmod("row_id", F.coalesce("ways", F.lit(1))).cast("int")
+    return entries.select(*kept, "idx", "val", part.alias("_part"))
+
+
+def spread_by_index(entries: DataFrame) -> DataFrame:
+    """Entries partitioned as weights are when they meet, so that once this is persisted they stay where
+    they are: an iteration moves weights and partial margins only."""
+    return entries.repartition(partitions_of(entries), "idx", "_part")
+
+
+def table_margins(entries: DataFrame, params: DataFrame, weights: Sequence[Column], hot: DataFrame) -> DataFrame:
     """``(row_id, m_0, ..)``: w.x per row and weight column.
 
-    Entries meet their weight by an equi-join on the index.  The entries of hot indices are split
-    over many parts, to each of which their weights are repeated.  Partial sums per row follow.
+    Entries meet their weight by an equi-join on the index and its part, to each of which the weights of a hot
+    index are repeated.  Partial sums per row follow.
     """
-    hot = F.broadcast(hot)  # bounded by the number of partitions
-    ways = F.coalesce("ways", F.lit(1))
-    entries = rows.select("row_id", F.inline(F.arrays_zip("idx", "val"))).join(hot, "idx", "left")
-    entries = entries.select("row_id", "idx", "val", F.pmod("row_id", ways).cast("int").alias("_part"))
     named = [w.alias(f"w_{k}") for k, w in enumerate(weights)]
-    points = params.select("idx", *named).join(hot, "idx", "left")
-    points = points.withColumn("_part", F.explode(F.sequence(F.lit(0), ways - 1))).drop("ways")
+    points = params.select("idx", *named).join(F.broadcast(hot), "idx", "left")  # bounded by the partitions
+    parts = F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)
+    points = points.withColumn("_part", F.explode(parts)).drop("ways")
     return (
         entries.join(points, ["idx", "_part"])
         .groupBy("row_id")

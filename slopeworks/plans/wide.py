@@ -24,10 +24,12 @@ from slopeworks.operators.joined import (
     BIAS,
     HELD_LOSS,
     TRAIN_LOSS,
+    entries_of,
     hot_indices,
     identified,
     sparse_form,
     spread_by_id,
+    spread_by_index,
     table_gradient,
     table_margins,
 )
@@ -121,7 +123,8 @@ def table_accuracies(rows: DataFrame, models: Sequence[TableModel]) -> list[floa
         own = model.weights.select("idx", F.col("w").alias(f"v{k}"))
         params = own if params is None else params.join(own, "idx", "full")
     weights = [F.coalesce(f"v{k}", F.lit(0.0)) for k in range(len(models))]
-    margins = table_margins(rows, params, weights, hot_indices(rows))
+    hot = hot_indices(rows)
+    margins = table_margins(entries_of(rows, hot), params, weights, hot)
     scored = rows.select("row_id", "label").join(margins, "row_id", "left")
     hits = []
     for k, model in enumerate(models):
@@ -162,19 +165,29 @@ def fit_wide(rows: DataFrame, configs: list[SgdConfig], shape, start, storage, t
     table = table.select("row_id", "label", "idx", "val", *marks)
     if storage is not None:
         table = spread_by_id(table).persist(storage)
+    entries = None
     try:
-        hot = hot_indices(table) if shape.n_rows else None
+        hot = hot_indices(table)
+        entries = entries_of(table, hot)
+        if storage is not None:
+            entries = spread_by_index(entries).persist(storage)
         found: list[FitResult] = []
         for first in range(0, len(configs), _TOGETHER):
             told_own = (lambda k, step, first=first: told(first + k, step)) if told else None
-            found += _fit_together(table, configs[first : first + _TOGETHER], shape, start, hot, told_own)
+            found += _fit_together(
+                table, entries, configs[first : first + _TOGETHER], shape, start, hot, told_own
+            )
         return found
     finally:
         if storage is not None:
             table.unpersist()
+            if entries is not None:
+                entries.unpersist()
 
 
-def _fit_together(rows: DataFrame, configs: list[SgdConfig], shape, start: DataFrame | None, hot, told) -> list[FitResult]:
+def _fit_together(
+    rows: DataFrame, entries: DataFrame, configs: list[SgdConfig], shape, start: DataFrame | None, hot, told
+) -> list[FitResult]:
     lead, spark = configs[0], rows.sparkSession
     base = spark.range(shape.width).select(F.col("id").cast("int").alias("idx"))
     opening, scale, l1, l2 = F.lit(0.0), F.lit(1.0), 0.0, 0.0
@@ -205,12 +218,12 @@ def _fit_together(rows: DataFrame, configs: list[SgdConfig], shape, start: DataF
     for r in runs:
         r.table, r.path = params, path
 
-    sampled = Rows(rows, "sparse", shape.width, lead.validation_split)
+    sampled, split_up = (Rows(x, "sparse", shape.width, lead.validation_split) for x in (rows, entries))
     iteration = 1
     while active := [r for r in runs if r.run.stop_reason is None]:
-        batch = sampled.batch(iteration, lead.mini_batch_fraction)
+        batch, own = (x.batch(iteration, lead.mini_batch_fraction) for x in (sampled, split_up))
         before = path
-        params, path = _iterate(batch, params, path, active, iteration, hot)
+        params, path = _iterate(batch, own, params, path, active, iteration, hot)
         if path != before and not any(r.path == before for r in runs):
             removed(spark, before)  # no run's weights lie there any more
         if told:
@@ -220,11 +233,11 @@ def _fit_together(rows: DataFrame, configs: list[SgdConfig], shape, start: DataF
     return [FitResult(r.run.config, _model(r, lead, shape), r.run.steps, r.run.stop_reason, 0) for r in runs]
 
 
-def _iterate(batch: DataFrame, params: DataFrame, path: str, active: list[_WideRun], iteration: int, hot):
+def _iterate(batch: DataFrame, entries: DataFrame, params: DataFrame, path: str, active: list[_WideRun], iteration: int, hot):
     """One pass and update; the weight table after it, and where it lies."""
     configs = [r.run.config for r in active]
     points = [F.col(f"ahead{r.key}_") * F.col("scale") for r in active]
-    margins = table_margins(batch, params, points, hot)
+    margins = table_margins(entries, params, points, hot)
     biases = [float(r.run.position[-1]) if c.intercept else 0.0 for r, c in zip(active, configs)]
     gradient, sums_path = written(table_gradient(batch, margins, [c.loss for c in configs], biases), "gradient")
     totals = {r["idx"]: r for r in gradient.filter(F.col("idx") < 0).collect()}

@@ -37,8 +37,9 @@ def test_hot_indices_are_found_and_split_without_changing_sums(spark):
     ways = {r["idx"]: r["ways"] for r in hot.collect()}
     assert ways[0] >= 8 and len(ways) <= 4 * joined.partitions_of(rows)
     params = spark.range(50).select(F.col("id").cast("int").alias("idx"), (F.col("id") / 10.0).alias("w"))
-    split = joined.table_margins(rows, params, [F.col("w")], hot)
-    whole = joined.table_margins(rows, params, [F.col("w")], hot.limit(0))
+    none = hot.limit(0)
+    split = joined.table_margins(joined.entries_of(rows, hot), params, [F.col("w")], hot)
+    whole = joined.table_margins(joined.entries_of(rows, none), params, [F.col("w")], none)
     a = {r["row_id"]: r["m_0"] for r in split.collect()}
     b = {r["row_id"]: r["m_0"] for r in whole.collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
@@ -152,3 +153,18 @@ def test_scaling_beyond_the_bound_joins(spark, monkeypatch):
         name = "val" if width == 50 else "features"
         for key, row in near.items():
             assert row[name] == pytest.approx(far[key][name])
+
+
+def test_entries_stay_where_they_are_in_an_iteration(spark):
+    """Once spread and persisted, entries meet the weights without an exchange of their own."""
+    rows = joined.identified(skewed_rows(spark))
+    hot = joined.hot_indices(rows)
+    entries = joined.spread_by_index(joined.entries_of(rows, hot)).persist()
+    entries.count()
+    params = spark.range(50).select(F.col("id").cast("int").alias("idx"), (F.col("id") / 10.0).alias("w"))
+    margins = joined.table_margins(entries, params, [F.col("w")], hot)
+    plan = margins._jdf.queryExecution().executedPlan().toString()
+    cached = plan[plan.index("InMemoryTableScan") - 400 : plan.index("InMemoryTableScan")]
+    assert "Exchange hashpartitioning(idx" not in cached.splitlines()[-2]
+    assert sum("hashpartitioning(idx" in line for line in plan.split("InMemoryRelation")[0].splitlines()) <= 1
+    entries.unpersist()
