@@ -155,5 +155,39 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_CONTAMINATION = """
+  WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+  item_windows AS (
+    SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
+    FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+          FROM b WHERE len(w) > 0)),
+  doc_windows AS (
+    SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM d, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)),
+  hits AS MATERIALIZED (SELECT doc_id, i, n, item_id FROM doc_windows JOIN item_windows USING (n, g)),
+  marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+             FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+  named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+  SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+         coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+_VECTORS = """
+  WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  near AS MATERIALIZED (SELECT a.vec_id AS one, b.vec_id AS two FROM v a, v b
+           WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+  reached(one, two) AS (SELECT vec_id, vec_id FROM v
+           UNION SELECT r.one, n.two FROM reached r JOIN near n ON n.one = r.two)
+  SELECT vec_id, n_links, component_id, vec_id = component_id AS kept
+  FROM (SELECT one AS vec_id, min(two) AS component_id FROM reached GROUP BY one)
+  JOIN (SELECT vec_id, count(two) AS n_links FROM v LEFT JOIN near ON one = vec_id GROUP BY vec_id) USING (vec_id)"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {}
+    """SQL answers, where SQL has what a query needs; the others are tested against brute force."""
+    return {"op3_contamination": _CONTAMINATION, "op6_vectors": _VECTORS}
