@@ -19,6 +19,8 @@ from slopeworks.llm.blocks import span_hashes
 
 # Distinct pre-tokens a worker keeps.
 MAX_WORDS = 500_000
+# Ids it keeps for them.
+MAX_IDS = 8_000_000
 _GROUP = 32
 _UNKNOWN, _LETTER, _NUMBER, _SPACE, _OTHER = range(5)
 # The contractions of the byte-level pattern.
@@ -112,7 +114,7 @@ class WordTable:
         breaks = np.cumsum([0, *map(len, texts)])
         if not joined:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        if len(self.place) > self.max_words:
+        if len(self.place) > self.max_words or len(self.flat) > MAX_IDS:
             self.clear()
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         cuts = self._cuts(points, breaks[:-1][breaks[:-1] < len(points)])

@@ -3,7 +3,7 @@
 Where no piece of the model joins an ordinary character to a following white-space marker, a text
 falls apart at its markers: a run of markers with the characters after it is segmented the same way
 wherever it stands.  Each task keeps a table of the distinct chunks it has met, segments a new chunk
-once, and joins the ids back by position.  The table is emptied when it holds ``max_chunks`` chunks, so
+once, and joins the ids back by position.  The table is emptied when it holds ``max_chunks`` chunks or ``MAX_CHARS`` characters, so
 a worker's memory is bounded; what a chunk encodes to does not depend on it.  Models whose pieces cross
 a marker, or that normalise text, are run on whole texts instead.
 
@@ -26,6 +26,8 @@ from slopeworks.llm.blocks import column_of, list_array, row_blocks
 
 MARK = "▁"
 MAX_CHUNKS = 600_000
+# So it is when its chunks have so many characters together.
+MAX_CHARS = 16_000_000
 # Plain chunks that go through the model in one call.
 _GROUP = 32
 
@@ -57,6 +59,7 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         # What decoding gives where it is not the chunk itself.
         self.other: dict[int, str] = {}
         self.flat = array("i")
@@ -98,12 +101,13 @@ class ChunkTable:
             ids = self.processor.encode(texts, num_threads=1)
             flat = np.fromiter(chain.from_iterable(ids), np.int32)
             return flat, np.array([len(x) for x in ids], np.int64), self.processor.decode(ids, num_threads=1)
-        if len(self.place) > self.max_chunks:
+        if len(self.place) > self.max_chunks or self.chars > MAX_CHARS:
             self.clear()
         cut = [chunks_of(text) for text in texts]
         fresh = set(chain.from_iterable(cut)).difference(self.place)
         if fresh:
             self.add(list(fresh))
+            self.chars += sum(map(len, fresh))
         spots = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64)
         starts = np.frombuffer(self.starts, np.int64)
         flat = np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)

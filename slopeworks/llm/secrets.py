@@ -21,7 +21,9 @@ row, repeated rows included; other columns are left out.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,13 +82,14 @@ def candidates(text: str) -> list[tuple[int, int]]:
             zones[-1][1] = stop
         else:
             zones.append([start, stop])
-    found = []
-    for start, stop in zones:
-        for match in _CANDIDATE.finditer(text, start):
-            if match.start() >= stop:
-                break
-            if (not found or match.start() >= found[-1][1]) and _MIXED.match(match.group()):
-                found.append(match.span())
+    found, at = [], 0
+    for match in _CANDIDATE.finditer(text) if zones else ():
+        while at < len(zones) and zones[at][1] <= match.start():
+            at += 1
+        if at == len(zones):
+            break
+        if match.end() > zones[at][0] and _MIXED.match(match.group()):
+            found.append(match.span())
     return found
 
 
@@ -118,9 +121,10 @@ def novelty(text: str, start: int, end: int, dictionary: bytes) -> float:
 def spans_of(text: str, dictionary: bytes) -> list[tuple[int, int, str]]:
     """Base and novel spans, by start and kind."""
     found = base_spans(text)
-    covered = [(a, b) for a, b, _ in found]
+    starts, reach = [span[0] for span in found], list(accumulate((span[1] for span in found), max))
     for start, end in candidates(text):
-        if any(a <= start and end <= b for a, b in covered):
+        before = bisect_right(starts, start)
+        if before and reach[before - 1] >= end:  # a base span holds it
             continue
         if novelty(text, start, end, dictionary) >= NOVEL_BITS:
             found.append((start, end, "novel"))

@@ -42,6 +42,15 @@ def test_novel_strings_stand_out_from_words_and_repeats():
     assert kinds == ["novel"]
 
 
+def test_candidates_around_sensitive_words():
+    text = f"my_secret_{RANDOM} {'x' * 200} {RANDOM} token {'y' * 200} {RANDOM}"
+    assert [text[a:b] for a, b in candidates(text)] == [f"my_secret_{RANDOM}"]
+    long = "token " * 200_000 + "key " + RANDOM
+    assert [long[a:b] for a, b in candidates(long)] == [RANDOM]
+    many = f"password={RANDOM} " * 20_000
+    assert len(spans_of(many, b"")) == 20_000
+
+
 def test_rows(spark):
     rows = [*texts(), *CASES]
     found = find_secrets(documents(spark, rows)).collect()
