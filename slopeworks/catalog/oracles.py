@@ -543,6 +543,23 @@ def _sweep_runs(loss: str) -> str:
     )
 
 
+def _experiment() -> str:
+    steps = q.EXPERIMENT["iterations"]
+    rows = f"SELECT * FROM ({LINEITEM}) WHERE NOT ({held(q.SPLIT)})"
+    pivot = ", ".join(f"max(CASE WHEN j = {j} THEN w END) AS v{j}" for j in range(4))
+    m = " + ".join(f"v{j} * x{j}" for j in range(4))
+    hit = "CASE WHEN (1e0 / (1e0 + exp(-m)) > 0.5e0) = (y > 0) THEN 1e0 ELSE 0e0 END"
+    return (
+        train_chain([(0, "adam", q.EXPERIMENT["rate"])], steps, data=rows)
+        + f""", fin AS MATERIALIZED (SELECT {pivot} FROM p{steps}),
+      acc AS (SELECT avg({hit}) FILTER (NOT h) AS train_acc, avg({hit}) FILTER (h) AS test_acc
+              FROM (SELECT y, {m} AS m, {held(q.SPLIT)} AS h FROM ({LINEITEM}), fin))
+      SELECT 'adam' AS updater, 'logistic' AS alg, {steps} AS iterations, 'max_iterations' AS stop_reason,
+             {rnd("loss")} AS loss, {rnd("train_acc")} AS train_acc, {rnd("test_acc")} AS test_acc
+      FROM acc, hist WHERE t = {steps}"""
+    )
+
+
 _LOG = """WITH ev AS (
         SELECT *, event_type = 'purchase' AS closes,
                count(*) FILTER (event_type = 'purchase') OVER (ORDER BY event_id) AS through FROM events),
@@ -702,6 +719,7 @@ def all_oracles() -> dict[str, str]:
     found["api_svm_estimator"] = training_sql(
         defaults | {"loss": "hinge", "reg_type": 2, "reg_param": 0.01}, start=q.POINT
     )
+    found["experiment_run"] = _experiment()
     found["predict_sparse_join"] = found["predict_sparse"]
     found["feat_std_scale_rows_sparse"] = f"""
       WITH en AS MATERIALIZED ({document_entries()}),

@@ -16,12 +16,13 @@ from slopeworks.functions.updates import UPDATER_NAMES
 from slopeworks.operators import control, evaluate, features, history, joined, sampling, update
 from slopeworks.operators.gradient import batch_sums, column_sums, prepare
 from slopeworks.plans.estimators import LinearSvm, LogisticRegression, train_logistic, train_svm
+from slopeworks.plans.experiment import named_experiment
 from slopeworks.plans.fit import FitResult, fit, history_table
 from slopeworks.plans.model import LinearModel
 from slopeworks.plans.sweep import sweep, sweep_configs
 from slopeworks.plans.wide import TableModel
 from slopeworks.shared import settled, shared_folder
-from slopeworks.sources.libsvm import read_libsvm, to_libsvm_lines
+from slopeworks.sources.libsvm import DATASETS, read_libsvm, to_libsvm_lines
 from slopeworks.sources.run_log import log_tables, parse_run_log, read_run_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -612,6 +613,28 @@ def api_svm_estimator(spark, folder):
     return result_rows(spark, [estimator.run(lineitem_set(spark, folder), initial_weights=list(POINT))])
 
 
+EXPERIMENT = {"updater_id": 6, "rate": 0.2, "fraction": 1.0, "iterations": 5, "algorithm": "lr"}
+
+
+def experiment_run(spark, folder):
+    """A named experiment over line items written as the LIBSVM files of a pair: its run row and last loss."""
+    path = shared_folder(spark, f"experiment-{uuid.uuid4().hex}")
+    parts = sampling.train_validation(lineitem_set(spark, folder), SPLIT)
+    for rows, name in zip(parts, DATASETS["svmguide"][:2]):
+        to_libsvm_lines(rows).write.text(f"{path}/{name}")
+    found = named_experiment(spark, path, "svmguide", **EXPERIMENT)
+    last = found.history.filter(F.col("iteration") == EXPERIMENT["iterations"])
+    return found.runs.join(last.select("run_id", "loss"), "run_id").select(
+        "updater",
+        "alg",
+        "iterations",
+        "stop_reason",
+        rounded(F.col("loss")).alias("loss"),
+        rounded(F.col("train_acc")).alias("train_acc"),
+        rounded(F.col("test_acc")).alias("test_acc"),
+    )
+
+
 # --- weights as a table -----------------------------------------------------------------------------
 
 
@@ -655,7 +678,7 @@ def all_queries() -> dict[str, Query]:
         eval_accuracy, eval_confusion, eval_majority, sweep_grid, sweep_best_rate, sweep_curves,
         sweep_best_curves, parse_run_log_runs, parse_run_log_text, log_best_rate, sample_unkeyed, val_features,
         eval_confusion_many, train_lr_early_stop, train_lr_converged, api_train_logistic, api_train_svm,
-        api_logistic_estimator, api_svm_estimator, predict_sparse_join, feat_std_scale_rows_sparse, sweep_runs_sparse,
+        api_logistic_estimator, api_svm_estimator, experiment_run, predict_sparse_join, feat_std_scale_rows_sparse, sweep_runs_sparse,
     ]
     found: dict[str, Query] = {q.__name__: q for q in plain}
     found["parse_run_log"] = parse_run_log_history

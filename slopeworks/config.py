@@ -22,6 +22,7 @@ class SgdConfig:
     weight that never saw a gradient.  ``"standard"`` follows the published papers.
     """
 
+    # The established defaults.
     loss: str = "logistic"
     updater: str = "adagrad"
     step_size: float = 1.0
