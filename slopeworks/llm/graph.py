@@ -1,12 +1,18 @@
-"""Connected components of an edge table, and joins that keep hot keys apart."""
+"""Connected components of an edge table, joins that keep hot keys apart, and bitmaps of fixed size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopeworks.shared import settled
 
+# A bitmap of ids has 2 ** ID_BITS bits: 4 MB.
+ID_BITS = 25
 # A key with more than this share of the rows is hot, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1000
 
@@ -48,3 +54,47 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, times: str, total:
     near = left.join(F.broadcast(hot), key)
     far = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return near.unionByName(far)
+
+
+def bitmap(df: DataFrame, place: Column, bits: int) -> np.ndarray:
+    """The places (0 to 2 ** bits - 1) that occur in a table, as a bitmap of 64-bit words; at most
+    2 ** (bits - 6) rows come to the driver."""
+    places = df.select(place.alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")
+    )
+    found = words.toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def held(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether each place is set in a bitmap."""
+    places = places.astype(np.uint64)
+    return ((words[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def maybe_among(ids: DataFrame, id_column: str) -> Callable[[Column], Column]:
+    """A test for whether an id may be among ``ids``: never false for one that is, rarely true for another
+    (often, once ids are as many as the bitmap's bits).  Only the ids pass through Python."""
+    words = ids.sparkSession.sparkContext.broadcast(bitmap(ids, _place(F.col(id_column)), ID_BITS))
+
+    def test(places: pa.Array) -> pa.Array:
+        return pa.array(held(words.value, places.to_numpy(zero_copy_only=False)))
+
+    return lambda column: F.arrow_udf(test, "boolean")(_place(column))
+
+
+def _place(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column.cast("string")), F.lit(1 << ID_BITS).cast("long"))
+
+
+def without_ids(df: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose id is not among ``ids`` (null is an id).
+
+    Rows that a bitmap of the ids clears stay where they are; only the others are shuffled to be compared."""
+    ids = settled(ids.select(F.col(id_column).alias("__id")).distinct())
+    maybe = maybe_among(ids, "__id")(F.col(id_column))
+    rest = df.filter(maybe).join(ids, F.col(id_column).eqNullSafe(F.col("__id")), "left_anti")
+    return df.filter(~maybe).unionByName(rest)
