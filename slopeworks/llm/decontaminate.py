@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopeworks.llm.blocks import column_of, row_blocks, runs, shingle_hashes, span_hashes, text_bytes
+from slopeworks.llm.graph import bitmap, held, without_ids
 from slopeworks.shared import settled
 
 WINDOW = 10
@@ -79,23 +80,11 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHI
     return rows.mapInArrow(run, "item_id string, window string, n int, size int, buckets array<bigint>").distinct()
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """The bitmap of all shingles: at most 2 ** (FILTER_BITS - 6) words come to the driver."""
-    places = windows.select(F.explode("buckets").alias("place"))
-    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")
-    )
-    found = words.toPandas()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return bitmap
-
-
-def _scanned(documents: DataFrame, bitmap, sizes: list[int], id_type: str) -> DataFrame:
+def _scanned(documents: DataFrame, filter_words, sizes: list[int], id_type: str) -> DataFrame:
     """Every document with its number of words and its runs of possible benchmark shingles."""
 
     def run(batches):
-        bits = bitmap.value
+        words_of_filter = filter_words.value
         for block in row_blocks(batches):
             data, starts, ends, before = block_words(column_of(block, "text"))
             found: list[list[dict]] = [[] for _ in range(block.num_rows)]
@@ -104,9 +93,8 @@ def _scanned(documents: DataFrame, bitmap, sizes: list[int], id_type: str) -> Da
             for size in sizes:
                 hashes = shingle_hashes(words, size)
                 inside = owner[: len(hashes)] == owner[size - 1 :] if len(hashes) else np.zeros(0, bool)
-                places = hashes >> np.uint64(64 - FILTER_BITS)
-                held = (bits[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1)
-                firsts, stops, _ = runs(held.astype(bool) & inside, before)
+                possible = held(words_of_filter, hashes >> np.uint64(64 - FILTER_BITS))
+                firsts, stops, _ = runs(possible & inside, before)
                 for row, first, stop in zip(
                     (np.searchsorted(before, firsts, "right") - 1).tolist(), firsts.tolist(), stops.tolist(), strict=True
                 ):
@@ -141,13 +129,13 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     id_type = documents.schema["doc_id"].dataType.simpleString()
     windows = settled(benchmark_windows(items, window, shingle))
     sizes = sorted(row["size"] for row in windows.select("size").distinct().collect())  # at most ``shingle``
-    bitmap = spark.sparkContext.broadcast(_bitmap(windows))
+    filter_words = spark.sparkContext.broadcast(bitmap(windows, F.explode("buckets"), FILTER_BITS))
     rows = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    scanned = settled(_scanned(rows, bitmap, sizes, id_type)).withColumn("row", F.monotonically_increasing_id())
-    held = scanned.select("row", F.explode("runs").alias("run")).select("row", "run.*")
+    scanned = settled(_scanned(rows, filter_words, sizes, id_type)).withColumn("row", F.monotonically_increasing_id())
+    found = scanned.select("row", F.explode("runs").alias("run")).select("row", "run.*")
 
     # Equal runs once, with the number of documents that hold them.
-    texts = held.groupBy("size", "words").agg(F.count("*").alias("times"))
+    texts = found.groupBy("size", "words").agg(F.count("*").alias("times"))
     texts = texts.withColumn("list", F.split("words", " ")).withColumn(
         "at", F.explode(F.expr("sequence(0, size(list) - size)"))
     )
@@ -177,7 +165,7 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
         F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("spans"),
         F.collect_set("item_id").alias("items"),
     )
-    hits = held.join(run_hits, ["size", "words"]).select(
+    hits = found.join(run_hits, ["size", "words"]).select(
         "row",
         F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end"))).alias("spans"),
         "items",
@@ -196,5 +184,4 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
 
 def clean(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``documents``, all columns as they are, whose id no contaminated document has."""
-    found = contamination(documents, items).filter("n_hit > 0").select(F.col("doc_id").alias("__id")).distinct()
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return without_ids(documents, "doc_id", contamination(documents, items).filter("n_hit > 0"))

@@ -6,7 +6,7 @@ one lookup table over its bins.  Then the pairs of features that explain most of
 their own, boosted the same way.  A score is the sum of the looked-up entries through the logistic
 function.
 
-The model is fitted on at most ``SAMPLE`` labelled rows (those with the smallest hash of the id); the tables
+The model is fitted on at most ``SAMPLE`` labelled documents (those with the smallest hash of the id); the tables
 have ``BINS`` entries per feature and ``PAIR_BINS`` squared per pair.  Null and empty texts have features, all
 zero, and get a score.  Without labelled rows every score is 0.5.  Repeated rows are scored each; a document
 with several labels has its largest.  Other columns are left out.
@@ -247,33 +247,33 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> AdditiveModel:
     return model
 
 
-def _labelled(labels: DataFrame, id_column: str, label_column: str) -> DataFrame:
-    known = labels.filter(F.col(label_column).isNotNull()).groupBy(id_column)
-    return known.agg(F.max(label_column).cast("double").alias("__label"))
-
-
-def _sampled(rows: DataFrame, labels: DataFrame, id_column: str, tie: str, label_column: str, sample: int) -> DataFrame:
-    """At most ``sample`` labelled rows, those whose id has the smallest hash."""
-    taken = rows.join(_labelled(labels, id_column, label_column), id_column)
-    return taken.orderBy(F.xxhash64(F.col(id_column).cast("string")), id_column, tie).limit(sample)
+def _asked(labels: DataFrame, id_column: str, label_column: str, sample: int) -> DataFrame:
+    """``id, label`` of at most ``sample`` labelled documents, those whose id has the smallest hash."""
+    known = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column)
+    known = known.agg(F.max(label_column).cast("double").alias("__label"))
+    return known.orderBy(F.xxhash64(F.col(id_column).cast("string")), id_column).limit(sample)
 
 
 def train(
     rows: DataFrame, labels: DataFrame, id_column: str, label_column: str, sample: int = SAMPLE
 ) -> AdditiveModel:
-    """Fit on at most ``sample`` rows of ``rows`` (id and features) that have a label."""
-    taken = _sampled(rows.select(id_column, "features"), labels, id_column, "features", label_column, sample)
-    found = taken.select("features", "__label").toPandas()
+    """Fit on at most ``sample`` rows of ``rows`` (id and features) that have a label; the labels asked for are
+    few enough to be broadcast."""
+    asked = F.broadcast(_asked(labels, id_column, label_column, sample))
+    taken = rows.select(id_column, "features").join(asked, id_column)
+    found = taken.orderBy(id_column, "features").limit(sample).select("features", "__label").toArrow()
     if not len(found):
         return AdditiveModel()
-    return fit(np.stack(found["features"].to_numpy()), found["__label"].to_numpy(np.float64))
+    flat = found["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return fit(flat.reshape(len(found), len(FEATURES)), found["__label"].to_numpy())
 
 
 def train_on_texts(
     rows: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, sample: int = SAMPLE
 ) -> AdditiveModel:
-    """As ``train``, from texts: features are taken from labelled rows only."""
-    known = rows.join(labels.filter(F.col(label_column).isNotNull()).select(id_column).distinct(), id_column, "left_semi")
+    """As ``train``, from texts: features are taken from the labelled rows asked for only."""
+    asked = F.broadcast(_asked(labels, id_column, label_column, sample).select(id_column))
+    known = rows.join(asked, id_column, "left_semi")
     return train(features(known, id_column, text_column), labels, id_column, label_column, sample)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopeworks.llm.blocks import column_of, row_blocks
-from slopeworks.llm.graph import components, join_spread
+from slopeworks.llm.graph import components, join_spread, without_ids
 from slopeworks.shared import settled
 
 SHINGLE = 3
@@ -69,7 +69,10 @@ def _variants(fingerprint: Column) -> Column:
 
 def links(distinct: DataFrame) -> DataFrame:
     """``a, b``: fingerprints of at most two differing bits, each with the smallest one at a shared variant."""
-    balls = distinct.select("fingerprint", F.explode(_variants(F.col("fingerprint"))).alias("variant"))
+    # Spread first: 65 rows come of each, and a few small partitions would make them all.
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.repartition(parts, "fingerprint")
+    balls = spread.select("fingerprint", F.explode(_variants(F.col("fingerprint"))).alias("variant"))
     smallest = F.min("fingerprint").over(Window.partitionBy("variant"))  # of at most 65
     met = balls.select(F.col("fingerprint").alias("a"), smallest.alias("b"))
     pairs = met.filter("a <> b").distinct()
@@ -94,20 +97,15 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 def one_of_each(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``df``, all columns as they are, with one document of each component: that with the smallest
-    id.  Of rows that share this id the one with the smallest text stays."""
+    id.  Of rows that share such an id the one with the smallest text stays."""
     found = near_copies(df, id_column, text_column)
-    kept = settled(
-        found.filter(F.col(id_column).eqNullSafe(F.col("component_id")))
-        .groupBy(id_column)
-        .agg(F.count("*").alias("times"))
-    )
-    own = kept.select(F.col(id_column).alias("__id"), F.col("times").alias("__times"))
-    once = own.filter("__times = 1").drop("__times")
-    rows = df.join(once, F.col(id_column).eqNullSafe(F.col("__id")), "left_semi")
-    again = own.filter("__times > 1").drop("__times")
+    own = F.max(F.col(id_column).eqNullSafe(F.col("component_id"))).alias("own")
+    ids = settled(found.groupBy(id_column).agg(F.count("*").alias("times"), own))
+    rows = without_ids(df, id_column, ids.filter("not own"))
+    again = ids.filter("own and times > 1").select(F.col(id_column).alias("__id"))
     if again.isEmpty():
         return rows
-    several = df.join(again, F.col(id_column).eqNullSafe(F.col("__id")), "left_semi")
+    several = rows.join(again, F.col(id_column).eqNullSafe(F.col("__id")), "left_semi")
     order = Window.partitionBy(id_column).orderBy(F.asc_nulls_first(text_column))
     first = several.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
-    return rows.unionByName(first)
+    return without_ids(rows, id_column, again.withColumnRenamed("__id", id_column)).unionByName(first)
