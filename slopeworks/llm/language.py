@@ -124,7 +124,7 @@ def train(df: DataFrame, text_column: str = "text", lang_column: str = "lang") -
         own = counts.filter(F.col("n") == order)
         limit = MAX_GRAMS if order else MAX_WORDS
         top = own.groupBy("key").agg(F.sum("times").alias("total")).orderBy(F.desc("total"), "key").limit(limit)
-        found = own.join(F.broadcast(top.select("key")), "key").select("key", "lang", "times").toPandas()
+        found = own.join(F.broadcast(top.select("key")), "key").select("key", "lang", "times").toArrow().to_pandas()
         keys, spots = np.unique(found["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
         table = np.full((len(keys), len(languages)), _ALPHA)
         table[spots, found["lang"].map(places).to_numpy(np.int64)] += found["times"].to_numpy(np.float64)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from slopeworks.llm.blocks import column_of, list_array, row_blocks
 
 MARK = "▁"
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 250_000
 # So it is when its chunks have so many characters together.
 MAX_CHARS = 16_000_000
 # Plain chunks that go through the model in one call.

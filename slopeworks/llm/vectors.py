@@ -296,9 +296,9 @@ def near_vectors(
     found = None
     for size, count in sorted(tuple(row) for row in distinct.groupBy("size").count().collect()):  # a row per length
         own = distinct.filter(F.col("size") == size)
-        sample = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("data").toPandas()
+        sample = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("data").toArrow()["data"].to_pylist()
         lists = min(max(1, round(count**0.5)), MAX_LISTS, max(1, len(sample) // 8))
-        model = spark.sparkContext.broadcast(fit(_unit(sample["data"].tolist(), size), lists))
+        model = spark.sparkContext.broadcast(fit(_unit(sample, size), lists))
         indexed = settled(_indexed(own, model, size, reach * float(np.sqrt(2 - 2 * threshold)) / 2))
         links = _links(indexed, model, size, threshold)
         found = links if found is None else found.unionByName(links)
