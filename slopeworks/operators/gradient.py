@@ -37,6 +37,8 @@ _COLUMN_ROWS = 2_000_000
 _BLOCK = 32
 # A table of up to this many feature values (400 MB) is spread evenly over the cores.
 _SMALL_VALUES = 50_000_000
+# One that is expected to have up to this many bytes is so before it is prepared.
+_SMALL_BYTES = 64 << 20
 # So is a sparse one of up to this many rows.
 _SMALL_ROWS = 2_000_000
 # Partial sums of up to this many values (8 MB) go straight to the driver, without a second stage.
@@ -101,6 +103,13 @@ def held_out(split: float) -> Column:
     return F.coalesce(in_validation(F.col(WORD), split), F.lit(False))
 
 
+def looks_small(df: DataFrame) -> bool:
+    """Whether the optimizer expects few enough bytes to deal them to the cores before they are prepared,
+    instead of preparing them in the few tasks that read a small file.  No result depends on it."""
+    expected = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(expected)) <= _SMALL_BYTES
+
+
 def spread_small(df: DataFrame, n_rows: int, width: int | None, sparse: bool) -> tuple[DataFrame, int | None]:
     """A small table dealt evenly to the cores, with the number of its partitions; a large one as it is,
     since it is never worth moving.  No result depends on it."""
@@ -308,7 +317,8 @@ def _sparse_margins(row_of, idx, val, n, weights, bias):
 def _drawn(batch: pa.RecordBatch, rule: tuple[int, int, int, int]) -> pa.RecordBatch:
     """The rows of a mini-batch; the same sums as the column form, in 64-bit integers."""
     a, b, c, limit = rule
-    batch = batch.filter(batch.column(WORD).is_valid())
+    if batch.column(WORD).null_count:
+        batch = batch.filter(batch.column(WORD).is_valid())
     word = batch.column(WORD).to_numpy()
     return batch.filter(pa.array(((word & PRIME) * a + (word >> LOW_BITS) * b + c) % PRIME < limit))
 

@@ -31,7 +31,16 @@ from slopeworks.operators.features import (
     inverse_sd,
     is_sparse,
 )
-from slopeworks.operators.gradient import Rows, Sums, held_out, keyed_once, minibatch_sums, prepare, spread_small
+from slopeworks.operators.gradient import (
+    Rows,
+    Sums,
+    held_out,
+    keyed_once,
+    looks_small,
+    minibatch_sums,
+    prepare,
+    spread_small,
+)
 from slopeworks.operators.joined import identified
 from slopeworks.plans.model import LinearModel
 
@@ -209,7 +218,9 @@ def fit(
     def too_wide(width: int | None) -> bool:
         return layout == "join" or (layout == "auto" and (width or 0) + 1 > MAX_DRIVER_VALUES)
 
-    base = prepare(df, num_features or 0, sampled=sampled)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    spread_first = not too_wide(num_features) and looks_small(df)
+    base = prepare(df.repartition(cores) if spread_first else df, num_features or 0, sampled=sampled)
     kept: list[DataFrame] = []
 
     def keep(table: DataFrame) -> DataFrame:
@@ -231,8 +242,11 @@ def fit(
             fit_groups = lambda chosen, told: fit_wide(rows, chosen, shape, start, storage, told)
             scored, most = replace(base, df=rows), len(configs)
         else:
-            spread, tasks = spread_small(base.df, shape.n_rows, shape.width, sparse)
-            scored = replace(base, df=keep(spread) if tasks else spread, tasks=tasks)
+            if spread_first:
+                scored = replace(base, tasks=cores)
+            else:
+                spread, tasks = spread_small(base.df, shape.n_rows, shape.width, sparse)
+                scored = replace(base, df=keep(spread) if tasks else spread, tasks=tasks)
             opening = _start(initial_weights, shape.width)
             factors = None
             if any(c.scale for c in configs) and shape.n_rows:

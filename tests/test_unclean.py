@@ -85,11 +85,13 @@ def test_sizes_change_no_result(spark, monkeypatch):
     rows = random_rows(spark, 800, 4)
     configs = [plain(updater=u, mini_batch_fraction=0.5, validation_split=0.2, validate=True) for u in ("simple", "adam", "adagrad")]
     near = fit(rows, configs, num_features=4)
+    monkeypatch.setattr(gradient_module, "_SMALL_BYTES", -1)
+    middle = fit(rows, configs, num_features=4)  # spread after it is prepared
     monkeypatch.setattr(gradient_module, "_SMALL_VALUES", 10)
     monkeypatch.setattr(gradient_module, "_COLUMN_ROWS", 10)
     monkeypatch.setattr(fit_module, "MAX_DRIVER_VALUES", 9)  # one configuration at a time, still broadcast
     far = fit(rows, configs, num_features=4)
-    for a, b in zip(near, far):
+    for a, b in [*zip(near, far), *zip(near, middle)]:
         np.testing.assert_allclose(a.model.weights, b.model.weights, atol=1e-12)
         assert [s.batch_n for s in a.steps] == [s.batch_n for s in b.steps]
         assert isinstance(b.model, LinearModel)
