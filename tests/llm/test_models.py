@@ -120,3 +120,39 @@ def test_copies_count_once_for_toxicity(spark):
     counts = {(r.ordinary, r.toxic, r.types) for r in toxicity.counted(joined.select("text", "label")).collect()}
     assert (2, 1, 2) in counts  # d: behind c in both classes, behind q in one
     assert max(r[1] for r in counts) == 1
+
+
+def toxicity_rows(spark):
+    """Rare toxic words behind four different words each, ordinary ones behind many; ids 0 to 3 modulo 4."""
+    rows = [(k, " ".join(f"{a}{b} mild{'abcd'[k % 4]}{b}" for a in "pqrst" for b in "uvwxyz")) for k in range(0, 40)]
+    rows += [(100 + k, f"one{'abcdefgh'[k % 8]} vile{'stuv'[k // 8]}") for k in range(32)]
+    labels = labels_of(spark, [(k, int(k >= 100)) for k, _ in rows])
+    return documents(spark, [*rows, (None, "vilet vileu"), (None, "vilet vileu"), (200, ""), (201, "pu milda")]), labels
+
+
+def test_toxicity_words_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    docs, labels = toxicity_rows(spark)
+
+    def scores():
+        model = toxicity.train(docs, labels, "doc_id", "text", "label", F.col("id") % 4 == 0)
+        rows = [(r.doc_id is None, r.doc_id, r.ratio, r.score) for r in toxicity.score(docs, model).collect()]
+        return model, sorted(rows, key=str)
+
+    whole, expected = scores()
+    assert whole.rest is None and len({r[2] for r in expected}) > 3
+    for most in (3, 10):
+        monkeypatch.setattr(toxicity, "MAX_WORDS", most)
+        model, found = scores()
+        assert len(model.words) == most and most + model.rest.count() == len(whole.words)
+        assert [r[:2] for r in found] == [r[:2] for r in expected]
+        assert [r[2:] for r in found] == [pytest.approx(r[2:]) for r in expected]
+
+
+def test_toxicity_counts_the_fold_too(spark):
+    docs, labels = toxicity_rows(spark)
+    more = [(300 + 4 * k, f"two{'abcdefgh'[k]} fold") for k in range(8)]  # in the fold only
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    labels = labels.select("doc_id", "label").union(spark.createDataFrame([(k, 1) for k, _ in more], "doc_id long, label int"))
+    model = toxicity.train(docs, labels, "doc_id", "text", "label", F.col("id") % 4 == 0)
+    (found,) = toxicity.score(spark.createDataFrame([(1, "fold fold")], "doc_id long, text string"), model).collect()
+    assert found.ratio > 0.5
