@@ -7,12 +7,14 @@ Base kinds are found by pattern (leftmost, not overlapping within a kind):
 * ``access``: ``AKIA[A-Z0-9]+`` of 20 or more characters;
 * ``hex``: ``[0-9a-f]+`` of 24 or more characters.
 
-The method adds ``novel`` spans: a candidate is a string of 16 or more key
+The method adds ``novel`` spans: a candidate is a string of 12 or more key
 characters, with a letter and a digit, within
 ``CONTEXT`` characters behind a sensitive word.  It costs what it adds to the compressed size of the text
 around it, under a dictionary of the identifiers that stand around all candidates of the corpus.  Strings
 that cost ``NOVEL_BITS`` bits per character or more cannot be predicted from code or prose and are reported,
-unless a base span holds them already.
+unless a base span holds them already.  So are strings that cost ``NOVEL_SHARE`` or more of what random strings of
+their alphabet and length cost in their place: where the compressor codes single characters by their frequency, a
+random string of few characters costs its own entropy only.
 
 Spans are in code points, end exclusive.  Null and empty texts have none.  Every input row gives one output
 row, repeated rows included; other columns are left out.
@@ -20,7 +22,9 @@ row, repeated rows included; other columns are left out.
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
@@ -35,6 +39,9 @@ from slopeworks.llm.blocks import column_of, row_blocks
 KINDS = ("assign", "access", "hex", "novel")
 CONTEXT = 120
 NOVEL_BITS = 7.0
+NOVEL_SHARE = 0.8
+# Random strings a candidate is compared with.
+_DRAWS = 4
 DICTIONARY_WORDS = 4096
 DICTIONARY_BYTES = 32768
 
@@ -44,7 +51,7 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _SENSITIVE = re.compile(
     r"(?a:passw(?:or)?d|passphrase|secret|token|api_?key|credential|authori[sz]ation|bearer|private|access|signature)",
     re.IGNORECASE | re.ASCII,
@@ -106,6 +113,34 @@ def _compressor(dictionary: bytes):
     return zstandard.ZstdCompressor(dict_data=content, compression_params=parameters)
 
 
+def _alphabet(own: str) -> str:
+    """The characters a random string like this one is drawn from: digits, and hex digits or the letters of its cases."""
+    letters = set(re.findall("[A-Za-z]", own))
+    lower, upper = any(c.islower() for c in letters), any(c.isupper() for c in letters)
+    if lower != upper and letters <= set("abcdefABCDEF"):
+        return "0123456789" + ("abcdef" if lower else "ABCDEF")
+    return string.digits + string.ascii_lowercase * lower + string.ascii_uppercase * upper
+
+
+def _drawn(own: str) -> list[str]:
+    """Random strings of the same length, with the same marks in the same places; the same for the same span."""
+    draw, alphabet = random.Random(own), _alphabet(own)
+    return ["".join(draw.choice(alphabet) if c.isalnum() else c for c in own) for _ in range(_DRAWS)]
+
+
+def unpredictable(text: str, start: int, end: int, dictionary: bytes) -> bool:
+    """Whether the span costs as much as a random string would there."""
+    bits = novelty(text, start, end, dictionary)
+    if bits >= NOVEL_BITS:
+        return True
+    own = text[start:end]
+    before, after = around(text, start, end)
+    before, after = before.replace(own, " "), after.replace(own, " ")
+    at = len(before)
+    costs = [novelty(f"{before}{other}{after}", at, at + len(own), dictionary) for other in _drawn(own)]
+    return bits >= NOVEL_SHARE * sum(costs) / len(costs)
+
+
 def novelty(text: str, start: int, end: int, dictionary: bytes) -> float:
     """Bits per character that the span adds to the compressed size of the text around it."""
     before, after = around(text, start, end)
@@ -126,7 +161,7 @@ def spans_of(text: str, dictionary: bytes) -> list[tuple[int, int, str]]:
         before = bisect_right(starts, start)
         if before and reach[before - 1] >= end:  # a base span holds it
             continue
-        if novelty(text, start, end, dictionary) >= NOVEL_BITS:
+        if unpredictable(text, start, end, dictionary):
             found.append((start, end, "novel"))
     return sorted(found, key=lambda span: (span[0], KINDS.index(span[2])))
 

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import random
 import re
+import string
+import uuid
+
+import pandas as pd
 
 from slopeworks.llm.secrets import base_spans, candidates, find_secrets, novelty, redact, spans_of
 from tests.llm.fixtures import documents, no_documents, texts
@@ -51,6 +56,33 @@ def test_candidates_around_sensitive_words():
     assert len(spans_of(many, b"")) == 20_000
 
 
+def planted():
+    """Random keys of several alphabets behind a sensitive word, in prose of the given documents."""
+    rows = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text
+    prose = [text[at : at + 160] for text in rows if text and len(text) > 2000 for at in (100, 900, 1600)]
+    draw, made = random.Random(5), {}
+    kinds = {"base62": string.ascii_letters + string.digits, "lower": string.ascii_lowercase + string.digits, "HEX": "0123456789ABCDEF"}
+    for kind, size in (("base62", 14), ("base62", 20), ("base62", 24), ("lower", 24), ("lower", 64), ("HEX", 32), ("HEX", 64)):
+        made[f"{kind}{size}"] = lambda a=kinds[kind], n=size: "".join(draw.choice(a) for _ in range(n))
+    made["uuid"] = lambda: str(uuid.UUID(int=draw.getrandbits(128)))
+    words = " ".join(pd.Series(re.findall(r"[^\W\d]\w{3,31}", " ".join(prose))).value_counts().index[:4096][::-1])
+    for kind, make in made.items():
+        found = []
+        for k in range(100):
+            key = make()
+            while not (re.search("[0-9]", key) and re.search("[A-Za-z]", key)):
+                key = make()
+            start = prose[2 * k % len(prose)] + " bearer "
+            text = f"{start}{key} {prose[(2 * k + 1) % len(prose)]}"
+            found.append((len(start), len(start) + len(key)) in [s[:2] for s in spans_of(text, words.encode()[-32768:])])
+        yield kind, sum(found)
+
+
+def test_random_keys_of_any_alphabet_are_found_in_prose():
+    found = dict(planted())
+    assert min(found.values()) >= 90, found
+
+
 def test_rows(spark):
     rows = [*texts(), *CASES]
     found = find_secrets(documents(spark, rows)).collect()
