@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopeworks.llm.blocks import column_of, row_blocks, runs, shingle_hashes, span_hashes, text_bytes
-from slopeworks.llm.graph import bitmap, held, without_ids
+from slopeworks.llm.graph import bitmap, held, row_key, without_ids
 from slopeworks.shared import settled
 
 WINDOW = 10
@@ -183,5 +183,8 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
 
 
 def clean(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``documents``, all columns as they are, whose id no contaminated document has."""
-    return without_ids(documents, "doc_id", contamination(documents, items).filter("n_hit > 0"))
+    """The rows of ``documents``, all columns as they are, that hold no window; a row goes for its own text only,
+    whatever other rows share its id."""
+    rows = documents.withColumn("__key", row_key("doc_id", "text"))
+    found = contamination(rows.select(F.col("__key").alias("doc_id"), "text"), items).filter("n_hit > 0")
+    return without_ids(rows, "__key", found.select(F.col("doc_id").alias("__key"))).drop("__key")

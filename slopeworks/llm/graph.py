@@ -90,6 +90,18 @@ def _place(column: Column) -> Column:
     return F.pmod(F.xxhash64(column.cast("string")), F.lit(1 << ID_BITS).cast("long"))
 
 
+def row_key(id_column: str, text_column: str) -> Column:
+    """A key that rows share only if they have one id (null is an id) and one text, by 128 bits of hash.  Keys with
+    an id come before those without, then keys are ordered by id."""
+    text = F.col(text_column).cast("string")
+    return F.struct(
+        F.col(id_column).isNull().alias("absent"),
+        F.col(id_column).alias("id"),
+        F.xxhash64(text).alias("one"),
+        F.xxhash64(F.lit(1), text).alias("two"),
+    )
+
+
 def without_ids(df: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df``, all columns as they are, whose id is not among ``ids`` (null is an id).
 

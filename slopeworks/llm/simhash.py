@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopeworks.llm.blocks import column_of, row_blocks
-from slopeworks.llm.graph import components, join_spread, without_ids
+from slopeworks.llm.graph import components, join_spread, maybe_among, row_key, without_ids
 from slopeworks.shared import settled
 
 SHINGLE = 3
@@ -96,16 +96,19 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def one_of_each(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns as they are, with one document of each component: that with the smallest
-    id.  Of rows that share such an id the one with the smallest text stays."""
-    found = near_copies(df, id_column, text_column)
-    own = F.max(F.col(id_column).eqNullSafe(F.col("component_id"))).alias("own")
-    ids = settled(found.groupBy(id_column).agg(F.count("*").alias("times"), own))
-    rows = without_ids(df, id_column, ids.filter("not own"))
-    again = ids.filter("own and times > 1").select(F.col(id_column).alias("__id"))
+    """The rows of ``df``, all columns as they are, with one row of each component: that with the smallest id, or
+    one without an id where no row has one.  Of rows of a component that share such an id (null included) one stays,
+    by the hash of the text; rows that share an id in different components do not touch each other."""
+    rows = df.withColumn("__key", row_key(id_column, text_column))
+    found = near_copies(rows, "__key", text_column)
+    own = F.max(F.col("__key") == F.col("component_id")).alias("own")
+    keys = settled(found.groupBy("__key").agg(F.count("*").alias("times"), own))
+    kept = without_ids(rows, "__key", keys.filter("not own"))
+    again = keys.filter("own and times > 1").select("__key")
     if again.isEmpty():
-        return rows
-    several = rows.join(again, F.col(id_column).eqNullSafe(F.col("__id")), "left_semi")
-    order = Window.partitionBy(id_column).orderBy(F.asc_nulls_first(text_column))
-    first = several.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
-    return without_ids(rows, id_column, again.withColumnRenamed("__id", id_column)).unionByName(first)
+        return kept.drop("__key")
+    # Repeated rows are aggregated before they are shuffled, however many they are.
+    several = rows.filter(maybe_among(again, "__key")(F.col("__key"))).withColumn("__place", F.monotonically_increasing_id())
+    first = several.groupBy("__key").agg(F.min_by(F.struct(*df.columns), "__place").alias("__row"))
+    first = first.join(again, "__key", "left_semi").select("__row.*")
+    return without_ids(kept, "__key", again).drop("__key").unionByName(first)

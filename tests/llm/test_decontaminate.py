@@ -64,3 +64,11 @@ def test_empty_tables(spark):
     assert len(found) == len(texts()) and all(r.n_hit == 0 and r["items"] == [] for r in found)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert contamination(no_documents(spark), items).count() == 0
+
+
+def test_clean_rows_stay_whatever_rows_share_their_id(spark):
+    passage = sentence(11, 30)
+    rows = [(None, f"x {passage} y"), (None, sentence(2, 40)), (7, passage), (7, sentence(3, 40)), (8, sentence(4, 40))]
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    found = sorted(((r.doc_id, r.text) for r in clean(documents(spark, rows), items).collect()), key=str)
+    assert found == sorted([rows[1], rows[3], rows[4]], key=str)

@@ -68,6 +68,14 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_force(rows)})
 
 
+def test_one_of_each_component_without_or_with_repeated_ids(spark):
+    copied = sentence(11, 60)
+    rows = [(None, sentence(k, 40)) for k in (2, 3, 4)] + [(5, sentence(6, 40)), (5, sentence(7, 40)), (9, copied), (None, copied)]
+    rows += [(None, sentence(2, 40)), (5, sentence(6, 40)), (5, sentence(6, 40))]
+    found = sorted(((r.doc_id, r.text) for r in one_of_each(documents(spark, rows)).collect()), key=str)
+    assert found == sorted(rows[:6], key=str)
+
+
 def test_components_of_a_chain_a_star_and_a_ring(spark):
     chain = [(k, k + 1) for k in range(50)]
     star = [(1000 + k, 100) for k in range(40)]
