@@ -140,6 +140,43 @@ def op8_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_shards(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def _damaged_words(documents: DataFrame) -> DataFrame:
+    """``word, n`` of the contract: runs of letters with A-Z lowered, one letter deleted where 199 divides the hash.
+    Runs under six letters give no word of six, so they are not taken."""
+    runs = F.expr(r"regexp_extract_all(text, '[A-Za-z\\u00C0-\\u00FF]{6,}', 0)")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    found = documents.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
+    found = found.withColumn("run", F.translate("run", upper, lower))
+    found = found.withColumn("hash", F.crc32(F.concat_ws(":", "id", "run").cast("binary")))
+    place = (F.col("hash") % F.length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), place), F.substring("run", place + 2, F.length("run")))
+    words = found.select(F.when(F.col("hash") % 199 == 0, shorter).otherwise(F.col("run")).alias("word"))
+    return words.filter(F.length("word") >= 6).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    from slopeworks.llm.spelling import forms
+
+    counted = _damaged_words(table(spark, folder, "documents"))
+    return forms(counted.filter("n >= 5"))
+
+
+def op13_exact(spark: SparkSession, folder: str) -> DataFrame:
+    from slopeworks.llm.exact import DigestIndex, buckets_for, digests
+
+    rows = digests(table(spark, folder, "documents"))
+    path, kind = shared_folder(spark, f"digest-index-{uuid4().hex}"), rows.schema["id"].dataType.simpleString()
+    index = DigestIndex.at(spark, path, kind, buckets_for(rows.count()))
+    # Two deliveries, the smaller ids first, so that the second one meets an index that is not empty.
+    middle = rows.select(F.percentile_approx("id", 0.5)).first()[0]
+    early = F.coalesce(F.col("id") <= F.lit(middle), F.lit(False))
+    index.add(rows.filter(early), "1")
+    index.add(rows.filter(~early), "2")
+    found = index.resolve(rows)
+    digest = F.lower(F.hex("digest")).alias("text_sha256")
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", digest)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -152,6 +189,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_shards": op8_token_shards,
         "op9_language": op9_language,
         "op10_pieces": op10_pieces,
+        "op12_spelling": op12_spelling,
+        "op13_exact": op13_exact,
     }
 
 
@@ -188,6 +227,14 @@ _VECTORS = """
   JOIN (SELECT vec_id, count(two) AS n_links FROM v LEFT JOIN near ON one = vec_id GROUP BY vec_id) USING (vec_id)"""
 
 
+_EXACT = """
+  WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256
+             FROM documents)
+  SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+         row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+  FROM d WINDOW same AS (PARTITION BY text_sha256)"""
+
+
 def llm_oracles() -> dict[str, str]:
     """SQL answers, where SQL has what a query needs; the others are tested against brute force."""
-    return {"op3_contamination": _CONTAMINATION, "op6_vectors": _VECTORS}
+    return {"op3_contamination": _CONTAMINATION, "op6_vectors": _VECTORS, "op13_exact": _EXACT}
