@@ -140,6 +140,30 @@ def op8_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_shards(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def _damaged_conversations(conversations: DataFrame) -> DataFrame:
+    """Rows of the contract: dropped, emptied, without ends of sentences, repeated or given to the user by hash."""
+    text_of = {name: F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn", "role", "text")}
+    hashed = F.crc32(F.concat_ws(":", text_of["conv_id"], text_of["turn"]).cast("binary")) % 20
+    rows = conversations.withColumn("damage", hashed).filter("damage <> 0")
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace(text_of["text"], "[.!?]", ""))
+    role = F.when(F.col("damage") == 4, "user").otherwise(text_of["role"])
+    times = F.when(F.col("damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.otherwise(text_of["text"]).alias("text"), times.alias("times"))
+    return rows.select("conv_id", "turn", "role", "text", F.explode("times").alias("copy")).drop("copy")
+
+
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    from slopeworks.llm.conversations import repair
+
+    conversations = table(spark, folder, "conversations")
+    found = repair(_damaged_conversations(conversations))
+    ids = conversations.select(F.col("conv_id").alias("id")).distinct()
+    joined = ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return joined.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
 def _damaged_words(documents: DataFrame) -> DataFrame:
     """``word, n`` of the contract: runs of letters with A-Z lowered, one letter deleted where 199 divides the hash.
     Runs under six letters give no word of six, so they are not taken."""
@@ -189,6 +213,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_shards": op8_token_shards,
         "op9_language": op9_language,
         "op10_pieces": op10_pieces,
+        "op11_conversations": op11_conversations,
         "op12_spelling": op12_spelling,
         "op13_exact": op13_exact,
     }
