@@ -182,8 +182,8 @@ def grad_logistic_join(spark, folder):
     rows = joined.identified(document_set(spark, folder))
     pattern = ((F.col("id") % 7 - 3) / 10.0).alias("w")
     params = spark.range(BUCKETS).select(F.col("id").cast("int").alias("idx"), pattern)
-    hot = joined.hot_indices(rows)
-    margins = joined.table_margins(joined.entries_of(rows, hot), params, [F.col("w")], hot)
+    grid = joined.grid_of(rows, BUCKETS)
+    margins = joined.table_margins(joined.entries_of(rows, grid), params, [F.col("w")], grid)
     found = joined.table_gradient(rows, margins, ["logistic"], [0.0])
     return found.filter("idx >= 0").select("idx", F.col("n").alias("n_entries"), rounded(F.col("g_0")).alias("grad_sum"))
 

@@ -11,6 +11,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slopeworks.shared import settled
+
 # Up to this many dense features, one column per feature beats one array per row.
 NARROW_WIDTH = 32
 # Largest number of weights, over all configurations, that may sit on the driver or be broadcast
@@ -177,7 +179,7 @@ def scaled(df: DataFrame, sd: DataFrame, width: int) -> DataFrame:
     gradient instead of the rows.
     """
     if width > MAX_DRIVER_VALUES:
-        return _scaled_by_join(df, sd)
+        return _scaled_by_join(df, sd, width)
     factors = df.sparkSession.sparkContext.broadcast(inverse_sd(collect_vector(sd, "sd", width)))
     if is_sparse(df):
 
@@ -203,25 +205,34 @@ def _with_lists_of(lists: pa.Array, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(ends, values, mask=lists.is_null())
 
 
-def _scaled_by_join(df: DataFrame, sd: DataFrame) -> DataFrame:
-    """Every entry meets its deviation; a row's entries come together again with the rest of the row."""
+def _scaled_by_join(df: DataFrame, sd: DataFrame, width: int) -> DataFrame:
+    """Entries meet the deviations of their index block, part by part of a grid; a row's entries come together
+    again and join back to the row, which is kept in the shared folder and never meets the deviations."""
+    from slopeworks.operators.joined import grid_of, met_by_part, places_of, sparse_form
+
     sparse = is_sparse(df)
+    kept = settled(df.withColumn("row_id", F.monotonically_increasing_id()))
+    slim = sparse_form(kept).select("row_id", "idx", "val")
+    grid = grid_of(slim, width)
+    entries = slim.select("row_id", F.posexplode(F.arrays_zip("idx", "val")).alias("place", "e")).select("row_id", "place", "e.*")
+    part = grid.part(F.coalesce("idx", F.lit(0)), F.col("row_id")).alias("part")
+
+    def divided(own: pa.Table, other: pa.Table) -> pa.Table:
+        at, there = places_of(own["idx"].fill_null(-1).to_numpy(), other["idx"].to_numpy())
+        factors = np.where(there, inverse_sd(other["sd"].to_numpy())[at], 0.0) if other.num_rows else np.zeros(len(at))
+        values = pa.compute.multiply(own["val"].combine_chunks(), pa.array(factors))
+        return pa.table([own["row_id"], own["place"], own["idx"], values], names=["row_id", "place", "idx", "val"])
+
+    schema = "row_id long, place int, idx int, val double"
+    met = met_by_part(entries.select(part, "row_id", "place", "idx", "val"), sd.select("idx", "sd"), grid, divided, schema)
+    lists = met.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("place", "idx", "val"))).alias("e"))
     others = [c for c in df.columns if c not in ("idx", "val", "features")]
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    places = F.arrays_zip("idx", "val") if sparse else F.transform(
-        "features", lambda x, i: F.struct(i.cast("int").alias("idx"), x.alias("val"))
-    )
-    # One entry at index -1 carries the rest of the row, so that the table is read once.
-    none = F.lit(None).cast("struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.select(*others).schema) + ">")
-    carried = F.array(F.struct(F.lit(-1).alias("idx"), F.lit(None).cast("double").alias("val"), F.struct(*others).alias("rest")))
-    entries = F.transform(places, lambda e: F.struct(e["idx"].alias("idx"), e["val"].alias("val"), none.alias("rest")))
-    flat = rows.select("_row", F.inline(F.concat(carried, F.coalesce(entries, F.slice(carried, 1, 0)))))
-    factor = F.when(F.col("sd") > 0, F.col("val") / F.col("sd")).otherwise(F.lit(0.0))
-    met = flat.join(sd, "idx", "left").select("_row", "idx", "rest", factor.alias("val"))
-    pair = F.when(F.col("idx") >= 0, F.struct("idx", "val"))
-    whole = met.groupBy("_row").agg(F.array_sort(F.collect_list(pair)).alias("e"), F.max("rest").alias("rest"))
-    vector = [F.col("e.idx").alias("idx"), F.col("e.val").alias("val")] if sparse else [F.col("e.val").alias("features")]
-    return whole.select("rest.*", *vector).select(*df.columns)
+    none = F.array().cast("array<double>")
+    if sparse:
+        vector = [F.when(F.col("idx").isNotNull(), F.coalesce(f"e.{c}", none.cast(f"array<{t}>"))).alias(c) for c, t in (("idx", "int"), ("val", "double"))]
+    else:
+        vector = [F.when(F.col("features").isNotNull(), F.coalesce("e.val", none)).alias("features")]
+    return kept.join(lists, "row_id", "left").select(*others, *vector).select(*df.columns)
 
 
 def unscaled_weights(params: DataFrame, sd: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Margins and gradients by joins, for weights too many to broadcast.
+"""Margins and gradients by meeting in a grid of rows and indices, for weights too many to broadcast.
 
 ``rows``: ``(row_id, label, idx array, val array[, row_key, held_out])``, spread by ``row_id``.
 ``params``: one row per index with one weight column per configuration.
@@ -6,8 +6,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +21,9 @@ from slopeworks.functions.sampling import WORD
 from slopeworks.operators.features import is_sparse
 from slopeworks.shared import settled
 
-# An index is hot when it holds more than this share of what one partition holds on average.
-_HOT_SHARE = 1 / 4
+# An index space is cut into at most so many blocks, and a part of the grid holds about so many entries at most.
+MAX_BLOCKS = 1024
+PART_ENTRIES = 1 << 22
 
 # Indices below 0 carry totals through the gradient sum.
 TRAIN_LOSS, HELD_LOSS, BIAS = -1, -2, -3
@@ -51,49 +56,94 @@ def spread_by_id(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions_of(rows), "row_id")
 
 
-def hot_indices(rows: DataFrame) -> DataFrame:
-    """``idx, ways``: indices with so many entries that a join must split them, and into how many parts, so
-    that no part is above a share of an average partition.  At most ``partitions / _HOT_SHARE`` rows."""
-    counts = rows.select(F.explode("idx").alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("n")).persist()
-    try:
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        limit = max(1.0, total * _HOT_SHARE / partitions_of(rows))
-        hot = counts.filter(F.col("n") > limit).select("idx", F.ceil(F.col("n") / limit).cast("int").alias("ways"))
-        found = hot.toArrow()
-    finally:
-        counts.unpersist()
-    return rows.sparkSession.createDataFrame(found, "idx int, ways int")
+@dataclass(frozen=True)
+class Grid:
+    """A matrix of rows and indices cut both ways: indices into blocks (remainders), the rows of a block into as many
+    ways as its entries need.  A part is one way of one block."""
 
+    ways: tuple[int, ...]
 
-def entries_of(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """``(row_id, idx, val, _part[, h])``: the stored entries; those of a hot index are split over its parts."""
+    def _of_block(self, values: Sequence[int], idx: Column) -> Column:
+        return F.element_at(F.lit([int(v) for v in values]), (F.pmod(idx, F.lit(len(self.ways))) + 1).cast("int"))
+
+    def _first(self) -> list[int]:
+        return np.concatenate([[0], np.cumsum(self.ways)[:-1]]).tolist()
+
+    def part(self, idx: Column, row_id: Column) -> Column:
+        """The part of an entry: a row has at most one in each block."""
+        way = F.pmod(F.xxhash64(row_id), self._of_block(self.ways, idx))
+        return (self._of_block(self._first(), idx) + way).cast("int")
+
+    def parts(self, idx: Column) -> Column:
+        """All parts that need what belongs to an index."""
+        first = self._of_block(self._first(), idx)
+        return F.sequence(first, first + self._of_block(self.ways, idx) - 1)
+
+
+def grid_of(rows: DataFrame, width: int) -> Grid:
+    """The grid that moves least: weights go to every way of their block, margins come from every block of a
+    row.  A block with many entries (a hot index) has more ways.  One row a block comes to the driver."""
+    partitions = partitions_of(rows)
+    seen = rows.agg(F.count("*").alias("n"), F.sum(F.size("idx")).alias("entries")).first()
+    n, entries = seen["n"], seen["entries"] or 0
+    each = entries / n if n else 0.0
+    choices = [1 << k for k in range(11) if 1 << k <= min(MAX_BLOCKS, max(1, width), max(1, partitions))]
+    blocks = min(choices, key=lambda c: width * partitions / c + n * min(each, c))
+    block = F.pmod("idx", F.lit(blocks)).alias("block")
+    each_idx = rows.select(F.explode("idx").alias("idx")).filter("idx >= 0")
+    counts = dict(each_idx.groupBy(block).count().collect())
+    room = max(1.0, min(entries / partitions, PART_ENTRIES))
+    return Grid(tuple(max(1, math.ceil(counts.get(c, 0) / room)) for c in range(blocks)))
+
+
+def entries_of(rows: DataFrame, grid: Grid) -> DataFrame:
+    """``(row_id, idx, val, part[, h])``: the stored entries and the part of the grid each lies in."""
     kept = [c for c in ("row_id", WORD) if c in rows.columns]
-    entries = rows.select(*kept, F.inline(F.arrays_zip("idx", "val"))).join(F.broadcast(hot), "idx", "left")
-    part = F.pmod("row_id", F.coalesce("ways", F.lit(1))).cast("int")
-    return entries.select(*kept, "idx", "val", part.alias("_part"))
+    entries = rows.select(*kept, F.inline(F.arrays_zip("idx", "val"))).filter("idx >= 0 and val is not null")
+    return entries.select(*kept, "idx", "val", grid.part(F.col("idx"), F.col("row_id")).alias("part"))
+
+
+def spread_by_part(entries: DataFrame) -> DataFrame:
+    """Entries partitioned and sorted by part, as they are when they meet weights, so that once this is persisted
+    they stay where they are: an iteration moves weights and partial margins only."""
+    return entries.repartition(partitions_of(entries), "part").sortWithinPartitions("part")
 
 
-def spread_by_index(entries: DataFrame) -> DataFrame:
-    """Entries partitioned as weights are when they meet, so that once this is persisted they stay where
-    they are: an iteration moves weights and partial margins only."""
-    return entries.repartition(partitions_of(entries), "idx", "_part")
+def met_by_part(entries: DataFrame, points: DataFrame, grid: Grid, made: Callable, schema: str) -> DataFrame:
+    """``made`` of each part's entries and of what ``points`` has for the indices of its block (two Arrow tables)."""
+    sent = points.withColumn("part", F.explode(grid.parts(F.col("idx"))))
+    return entries.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(made, schema)
 
 
-def table_margins(entries: DataFrame, params: DataFrame, weights: Sequence[Column], hot: DataFrame) -> DataFrame:
+def places_of(wanted: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted index stands among the known ones (each there once), and whether it is there."""
+    if len(known) == 0:
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    order = np.argsort(known, kind="stable")
+    at = np.minimum(np.searchsorted(known, wanted, sorter=order), len(known) - 1)
+    place = order[at]
+    return place, known[place] == wanted
+
+
+def table_margins(entries: DataFrame, params: DataFrame, weights: Sequence[Column], grid: Grid) -> DataFrame:
     """``(row_id, m_0, ..)``: w.x per row and weight column.
 
-    Entries meet their weight by an equi-join on the index and its part, to each of which the weights of a hot
-    index are repeated.  Partial sums per row follow.
+    Entries meet the weights of their block part by part; what moves after that is one partial margin per row
+    and block.  An index without a weight counts nothing.
     """
-    named = [w.alias(f"w_{k}") for k, w in enumerate(weights)]
-    points = params.select("idx", *named).join(F.broadcast(hot), "idx", "left")  # bounded by the partitions
-    parts = F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)
-    points = points.withColumn("_part", F.explode(parts)).drop("ways")
-    return (
-        entries.join(points, ["idx", "_part"])
-        .groupBy("row_id")
-        .agg(*[F.sum(F.col("val") * F.col(f"w_{k}")).alias(f"m_{k}") for k in range(len(weights))])
-    )
+    names = [f"m_{k}" for k in range(len(weights))]
+    points = params.select("idx", *[w.alias(f"w_{k}") for k, w in enumerate(weights)])
+
+    def margins(own: pa.Table, other: pa.Table) -> pa.Table:
+        place, there = places_of(own["idx"].to_numpy(), other["idx"].to_numpy())
+        rows, at = np.unique(own["row_id"].to_numpy()[there], return_inverse=True)
+        values, place = own["val"].to_numpy()[there], place[there]
+        sums = [np.bincount(at, values * other[f"w_{k}"].to_numpy()[place], len(rows)) for k in range(len(names))]
+        return pa.table([pa.array(rows, pa.int64()), *[pa.array(x, pa.float64()) for x in sums]], names=["row_id", *names])
+
+    columns = entries.select("part", "row_id", "idx", "val")
+    partial = met_by_part(columns, points, grid, margins, ", ".join(["row_id long", *[f"{m} double" for m in names]]))
+    return partial.groupBy("row_id").agg(*[F.sum(m).alias(m) for m in names])
 
 
 def table_gradient(

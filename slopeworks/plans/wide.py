@@ -1,7 +1,7 @@
 """Training with weights that stay a table: for more weights than may be broadcast.
 
-Per iteration two tables are settled in the shared folder: the gradient (margins by a join on the
-index, sums per index) and the next weights (an equi-join of weights and gradient).  The driver
+Per iteration two tables are settled in the shared folder: the gradient (margins part by part of a
+grid, sums per index) and the next weights (an equi-join of weights and gradient).  The driver
 sees totals only.
 """
 
@@ -25,18 +25,18 @@ from slopeworks.operators.joined import (
     HELD_LOSS,
     TRAIN_LOSS,
     entries_of,
-    hot_indices,
+    grid_of,
     identified,
     sparse_form,
     spread_by_id,
-    spread_by_index,
+    spread_by_part,
     table_gradient,
     table_margins,
 )
 from slopeworks.operators.update import state_columns, updated, weight_norms
 from slopeworks.plans.fit import FitResult, _Run
 from slopeworks.plans.model import LinearModel, cut_of, predicted, prediction_of, with_prediction
-from slopeworks.shared import removed, written
+from slopeworks.shared import removed, settled, written
 
 # Configurations that share the columns of one weight table.
 _TOGETHER = 8
@@ -63,28 +63,19 @@ class TableModel:
         )
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``margin``, ``probability`` (logistic only) and ``prediction``; nothing runs before the result
-        is asked for.
+        """Adds ``margin``, ``probability`` (logistic only) and ``prediction``.
 
-        Each row sends its entries to the weights, and one entry that carries the row itself; sums per
-        row bring them together, so the table is read once.  A skewed index is split by the join.
+        The table is kept in the shared folder with row ids, so that its rows never meet the weights: only their
+        entries do, part by part of a grid, and one margin a row joins back.
         """
-        form = sparse_form(df.withColumn("_rest", F.struct(*df.columns))).withColumn("_row", F.monotonically_increasing_id())
-        vector = F.arrays_zip("idx", "val")
-        kind = f"struct<{', '.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in df.schema)}>"
-        entries = F.coalesce(
-            F.transform(vector, lambda e: F.struct(e["idx"].alias("idx"), e["val"].alias("val"), F.lit(None).cast(kind).alias("rest"))),
-            F.array().cast(f"array<struct<idx:int,val:double,rest:{kind}>>"),
-        )
-        whole = F.array(F.struct(F.lit(-1).alias("idx"), F.lit(None).cast("double").alias("val"), F.col("_rest").alias("rest")))
-        flat = form.select("_row", F.inline(F.concat(whole, entries)))
-        met = flat.join(self.weights.select("idx", "w"), "idx", "left")
-        sums = met.groupBy("_row").agg(
-            F.max("rest").alias("rest"), F.sum(F.when(F.col("idx") >= 0, F.col("val") * F.col("w"))).alias("m")
-        )
-        has = F.col("rest.idx").isNotNull() if is_sparse(df) else F.col("rest.features").isNotNull()
-        margin = F.when(has, F.coalesce("m", F.lit(0.0)) + F.lit(self.intercept))
-        return with_prediction(sums.select("rest.*", margin.alias("margin")), self.loss, self.cut)
+        kept = settled(df.withColumn("row_id", F.monotonically_increasing_id()))
+        slim = sparse_form(kept).select("row_id", "idx", "val")
+        grid = grid_of(slim, self.num_features)
+        margins = table_margins(entries_of(slim, grid), self.weights, [F.col("w")], grid)
+        has = F.col("idx").isNotNull() if is_sparse(df) else F.col("features").isNotNull()
+        margin = F.when(has, F.coalesce("m_0", F.lit(0.0)) + F.lit(self.intercept))
+        met = kept.join(margins, "row_id", "left").select(*df.columns, margin.alias("margin"))
+        return with_prediction(met, self.loss, self.cut)
 
     def predict_one(self, features: Sequence[float]) -> float:
         """The class of one dense vector; only its non-zero places are looked up."""
@@ -115,24 +106,37 @@ class TableModel:
         return TableModel(weights, last["w"], last["loss"], last["idx"], last["threshold"])
 
 
-def table_accuracies(rows: DataFrame, models: Sequence[TableModel]) -> list[float | None]:
-    """Accuracy of models with weight tables on prepared rows, in one join for all of them."""
+def table_predictions(rows: DataFrame, models: Sequence[TableModel]) -> DataFrame:
+    """``(label, predictions)``: the classes of every model with a weight table, one place a model."""
     rows = rows if "row_id" in rows.columns else identified(rows)
     params = None
     for k, model in enumerate(models):
         own = model.weights.select("idx", F.col("w").alias(f"v{k}"))
         params = own if params is None else params.join(own, "idx", "full")
     weights = [F.coalesce(f"v{k}", F.lit(0.0)) for k in range(len(models))]
-    hot = hot_indices(rows)
-    margins = table_margins(entries_of(rows, hot), params, weights, hot)
+    grid = grid_of(rows, max(model.num_features for model in models))
+    margins = table_margins(entries_of(rows, grid), params, weights, grid)
     scored = rows.select("row_id", "label").join(margins, "row_id", "left")
-    hits = []
+    predictions = []
     for k, model in enumerate(models):
         margin = F.coalesce(f"m_{k}", F.lit(0.0)) + F.lit(model.intercept)
-        hits.append(F.avg((predicted(margin, model.loss, model.cut) == F.col("label")).cast("double")))
+        predictions.append(predicted(margin, model.loss, model.cut))
+    return scored.select("label", F.array(*predictions).alias("predictions"))
+
+
+def table_accuracies(rows: DataFrame, models: Sequence[TableModel]) -> list[float | None]:
+    """Accuracy of models with weight tables on prepared rows, in one pass for all of them."""
+    scored = table_predictions(rows, models)
+    hits = [F.avg((F.col("predictions")[k] == F.col("label")).cast("double")) for k in range(len(models))]
     return list(scored.agg(*hits).first())
 
 
+def table_confusion(rows: DataFrame, models: Sequence[TableModel]) -> DataFrame:
+    """``(model, label, prediction, n)``: confusion counts of models with weight tables, by one grouped count."""
+    each = table_predictions(rows, models).select("label", F.posexplode("predictions").alias("model", "prediction"))
+    return each.groupBy("model", "label", "prediction").agg(F.count("*").alias("n"))
+
+
 @dataclass
 class _WideRun:
     """One configuration: bookkeeping in ``run`` (whose own weights hold the intercept, if any),
@@ -167,15 +171,15 @@ def fit_wide(rows: DataFrame, configs: list[SgdConfig], shape, start, storage, t
         table = spread_by_id(table).persist(storage)
     entries = None
     try:
-        hot = hot_indices(table)
-        entries = entries_of(table, hot)
+        grid = grid_of(table, shape.width)
+        entries = entries_of(table, grid)
         if storage is not None:
-            entries = spread_by_index(entries).persist(storage)
+            entries = spread_by_part(entries).persist(storage)
         found: list[FitResult] = []
         for first in range(0, len(configs), _TOGETHER):
             told_own = (lambda k, step, first=first: told(first + k, step)) if told else None
             found += _fit_together(
-                table, entries, configs[first : first + _TOGETHER], shape, start, hot, told_own
+                table, entries, configs[first : first + _TOGETHER], shape, start, grid, told_own
             )
         return found
     finally:
@@ -186,7 +190,7 @@ def fit_wide(rows: DataFrame, configs: list[SgdConfig], shape, start, storage, t
 
 
 def _fit_together(
-    rows: DataFrame, entries: DataFrame, configs: list[SgdConfig], shape, start: DataFrame | None, hot, told
+    rows: DataFrame, entries: DataFrame, configs: list[SgdConfig], shape, start: DataFrame | None, grid, told
 ) -> list[FitResult]:
     lead, spark = configs[0], rows.sparkSession
     base = spark.range(shape.width).select(F.col("id").cast("int").alias("idx"))
@@ -223,7 +227,7 @@ def _fit_together(
     while active := [r for r in runs if r.run.stop_reason is None]:
         batch, own = (x.batch(iteration, lead.mini_batch_fraction) for x in (sampled, split_up))
         before = path
-        params, path = _iterate(batch, own, params, path, active, iteration, hot)
+        params, path = _iterate(batch, own, params, path, active, iteration, grid)
         if path != before and not any(r.path == before for r in runs):
             removed(spark, before)  # no run's weights lie there any more
         if told:
@@ -233,11 +237,11 @@ def _fit_together(
     return [FitResult(r.run.config, _model(r, lead, shape), r.run.steps, r.run.stop_reason, 0) for r in runs]
 
 
-def _iterate(batch: DataFrame, entries: DataFrame, params: DataFrame, path: str, active: list[_WideRun], iteration: int, hot):
+def _iterate(batch: DataFrame, entries: DataFrame, params: DataFrame, path: str, active: list[_WideRun], iteration: int, grid):
     """One pass and update; the weight table after it, and where it lies."""
     configs = [r.run.config for r in active]
     points = [F.col(f"ahead{r.key}_") * F.col("scale") for r in active]
-    margins = table_margins(entries, params, points, hot)
+    margins = table_margins(entries, params, points, grid)
     biases = [float(r.run.position[-1]) if c.intercept else 0.0 for r, c in zip(active, configs)]
     gradient, sums_path = written(table_gradient(batch, margins, [c.loss for c in configs], biases), "gradient")
     totals = {r["idx"]: r for r in gradient.filter(F.col("idx") < 0).collect()}

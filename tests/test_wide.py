@@ -13,7 +13,7 @@ from slopeworks.operators import features, joined
 from slopeworks.plans import fit as fit_module
 from slopeworks.plans import wide
 from slopeworks.plans.model import LinearModel
-from slopeworks.shared import shared_root
+from slopeworks.shared import settled, shared_root
 
 pytestmark = pytest.mark.filterwarnings("ignore::UserWarning")
 
@@ -31,18 +31,64 @@ def skewed_rows(spark, n=600, width=50):
     return rows
 
 
-def test_hot_indices_are_found_and_split_without_changing_sums(spark):
+def weights_of(spark):
+    return spark.range(50).select(F.col("id").cast("int").alias("idx"), (F.col("id") / 10.0).alias("w"))
+
+
+def test_every_grid_gives_the_same_margins(spark):
     rows = joined.identified(skewed_rows(spark))
-    hot = joined.hot_indices(rows)
-    ways = {r["idx"]: r["ways"] for r in hot.collect()}
-    assert ways[0] >= 8 and len(ways) <= 4 * joined.partitions_of(rows)
-    params = spark.range(50).select(F.col("id").cast("int").alias("idx"), (F.col("id") / 10.0).alias("w"))
-    none = hot.limit(0)
-    split = joined.table_margins(joined.entries_of(rows, hot), params, [F.col("w")], hot)
-    whole = joined.table_margins(joined.entries_of(rows, none), params, [F.col("w")], none)
-    a = {r["row_id"]: r["m_0"] for r in split.collect()}
-    b = {r["row_id"]: r["m_0"] for r in whole.collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    found = []
+    for grid in (joined.Grid((1,)), joined.Grid((7,)), joined.Grid((1,) * 50), joined.Grid((9, 1, 3, 2)), joined.grid_of(rows, 50)):
+        margins = joined.table_margins(joined.entries_of(rows, grid), weights_of(spark), [F.col("w"), -F.col("w")], grid)
+        found.append({r["row_id"]: (r["m_0"], r["m_1"]) for r in margins.collect()})
+    want = {}
+    for row in rows.filter("size(idx) > 0").collect():
+        want[row["row_id"]] = sum(i / 10.0 * v for i, v in zip(row["idx"], row["val"]))
+    for margins in found:
+        assert margins.keys() == want.keys()
+        assert all(margins[k] == pytest.approx((want[k], -want[k])) for k in want)
+
+
+def test_a_hot_block_is_cut_into_ways_and_a_row_has_one_part_a_block(spark):
+    rows = joined.identified(skewed_rows(spark))
+    grid = joined.grid_of(rows, 50)
+    entries = joined.entries_of(rows, grid)
+    total, parts = entries.count(), entries.groupBy("part").count().collect()
+    assert len(parts) >= joined.partitions_of(rows)
+    assert max(r["count"] for r in parts) < 1.5 * total / joined.partitions_of(rows)
+    blocks = len(grid.ways)
+    most = entries.groupBy("row_id").agg(F.count_distinct("part").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= blocks
+
+
+def test_no_join_of_wide_scoring_has_a_constant_key_or_weights_in_every_task(spark, monkeypatch):
+    """Without broadcasts: rows move by row id only, entries by part only."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = skewed_rows(spark).withColumn("about", F.create_map(F.lit("a"), F.col("row_key")))
+        model = wide.TableModel(weights_of(spark), 0.5, "logistic", 50)
+        near = LinearModel(np.arange(50) / 10.0, 0.5, "logistic")
+        far = model.transform(rows)
+        plan = far._jdf.queryExecution().executedPlan().toString()
+        keys = {line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "hashpartitioning(" in line}
+        assert keys <= {"part", "row_id"} and "Broadcast" not in plan
+        a = {r["row_key"]: (r["margin"], r["prediction"], r["about"]) for r in far.collect()}
+        b = {r["row_key"]: (pytest.approx(r["margin"]), r["prediction"], r["about"]) for r in near.transform(rows).collect()}
+        assert a == b
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_confusion_counts_of_models_with_tables(spark):
+    rows = skewed_rows(spark).withColumn("label", F.when(F.col("row_key") == "3", 7.0).otherwise(F.col("label")))
+    models = [wide.TableModel(weights_of(spark), b, "logistic", 50) for b in (-0.5, -9.0)]
+    counted = {tuple(r)[:3]: r["n"] for r in wide.table_confusion(rows, models).collect()}
+    want = {}
+    for k, model in enumerate(models):
+        near = LinearModel(np.arange(50) / 10.0, model.intercept, "logistic")
+        for r in near.transform(rows).groupBy("label", "prediction").count().collect():
+            want[(k, r["label"], r["prediction"])] = r["count"]
+    assert counted == want
 
 
 def test_table_weights_equal_broadcast_weights(spark):
@@ -156,15 +202,23 @@ def test_scaling_beyond_the_bound_joins(spark, monkeypatch):
 
 
 def test_entries_stay_where_they_are_in_an_iteration(spark):
-    """Once spread and persisted, entries meet the weights without an exchange of their own."""
-    rows = joined.identified(skewed_rows(spark))
-    hot = joined.hot_indices(rows)
-    entries = joined.spread_by_index(joined.entries_of(rows, hot)).persist()
+    """Once spread and persisted, neither entries nor rows are exchanged when margins and gradient are made."""
+    rows = joined.spread_by_id(joined.identified(skewed_rows(spark))).persist()
+    grid = joined.grid_of(rows, 50)
+    entries = joined.spread_by_part(joined.entries_of(rows, grid)).persist()
     entries.count()
-    params = spark.range(50).select(F.col("id").cast("int").alias("idx"), (F.col("id") / 10.0).alias("w"))
-    margins = joined.table_margins(entries, params, [F.col("w")], hot)
-    plan = margins._jdf.queryExecution().executedPlan().toString()
-    cached = plan[plan.index("InMemoryTableScan") - 400 : plan.index("InMemoryTableScan")]
-    assert "Exchange hashpartitioning(idx" not in cached.splitlines()[-2]
-    assert sum("hashpartitioning(idx" in line for line in plan.split("InMemoryRelation")[0].splitlines()) <= 1
+    params = settled(weights_of(spark))
+    margins = joined.table_margins(entries, params, [F.col("w")], grid)
+    sums = joined.table_gradient(rows, margins, ["logistic"], [0.0])
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    lines, moved = plan.splitlines(), []
+    depth_of = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            below = lines[k + 1 : k + 4]
+            moved.append((line.split("hashpartitioning(")[1].split("#")[0], any("InMemoryTableScan" in x for x in below)))
+            assert depth_of(lines[k + 1]) >= depth_of(line)
+    before_cache = [m for m in moved if m[0] in ("part", "row_id", "idx")]
+    assert ("part", True) not in before_cache and ("row_id", True) not in before_cache
     entries.unpersist()
+    rows.unpersist()
