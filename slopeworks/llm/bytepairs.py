@@ -3,7 +3,8 @@
 The pre-tokenizer cuts a text by character class (letters, numbers, white space, the rest); the cut is
 found here on arrays of code points, with classes learned by asking the library's own pre-tokenizer, and
 every new pre-token is encoded by the library.  What a pre-token encodes to does not depend on where it
-stands, so the ids are those of the whole text.
+stands, so the ids are those of the whole text.  Strings of added tokens, such as ``<|endoftext|>``, get the ids the
+library gives them.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ class WordTable:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.opens = np.zeros(self.vocabulary, bool)
         for piece, place in self.tokenizer.get_vocab().items():
@@ -109,8 +110,28 @@ class WordTable:
             self.starts.append(len(self.flat))
 
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and the number of ids by text."""
+        """Ids of all texts, and the number of ids by text.
+
+        A text that holds an added token's string is cut there before anything else; the library encodes such texts
+        whole, so the token's own rules (strip, single word) hold."""
         joined = "".join(texts)
+        marked = [k for k, text in enumerate(texts) if any(token in text for token in self.added)] if any(t in joined for t in self.added) else []
+        if not marked:
+            return self._plain(texts, joined)
+        own = self.tokenizer.encode_batch_fast([texts[k] for k in marked], add_special_tokens=False)
+        rest = list(texts)
+        for k in marked:
+            rest[k] = ""
+        values, counts = self._plain(rest, "".join(rest))
+        ends = np.cumsum(counts)
+        parts, done = [], 0
+        for k, ids in zip(marked, own, strict=True):
+            parts += [values[done : ends[k]], np.array(ids.ids, np.int32)]
+            counts[k], done = len(ids.ids), ends[k]
+        return np.concatenate([*parts, values[done:]]), counts
+
+    def _plain(self, texts: list[str], joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """``encoded`` for texts without added tokens."""
         breaks = np.cumsum([0, *map(len, texts)])
         if not joined:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
