@@ -24,21 +24,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopeworks.llm.graph import join_spread
-from slopeworks.shared import settled
+from slopeworks.shared import removed, settled, written
 
 GROUPS = 16
 STEP = 4
 # A node with more words is taken apart further.
-NODE_WORDS = 1 << 13
+NODE_WORDS = 1 << 14
+# A tier with more nodes (some 60 bytes each) is joined by a shuffle.
+MAX_NODES = 200_000
 # Inside a task a subtrie of at most so many words is a leaf.
-_LEAF_WORDS = 24
+_LEAF_WORDS = 256
 # Letters beyond these are compared word by word.
 _WIDTH = 48
-_PAIRS = 1 << 19
+_PAIRS = 1 << 20
 
 
 def letter_groups(words: DataFrame) -> dict[str, int]:
@@ -54,70 +56,85 @@ def letter_groups(words: DataFrame) -> dict[str, int]:
     return groups
 
 
-def frequency_vector(word: Column, groups: dict[str, int]) -> Column:
-    """Counts by group as an array column."""
-    marks = [chr(0x41 + group) for group in range(GROUPS)]
-    marked = F.translate(word, "".join(groups), "".join(marks[g] for g in groups.values()))
-    return F.array(*[F.length(marked) - F.length(F.translate(marked, mark, "")) for mark in marks])
+def _ways(size: int, budget: int) -> np.ndarray:
+    """Changes of a tier's counts that spend at most one surplus and one deficit; without budget, none."""
+    one = np.eye(size, dtype=np.int64)
+    moved = [one[a] - one[b] for a in range(size) for b in range(size) if a != b]
+    return np.array([np.zeros(size, np.int64), *([*one, *-one, *moved] if budget else [])])
 
 
-def _steps(vector: Column, up: Column, down: Column, start: int, size: int) -> Column:
-    """Structs (counts, up, down): every way to spend what is left of the budget on the counts of one tier."""
-    part = F.slice(vector, start + 1, size)
+def _vectors(words: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Frequency vectors of words; the words' letters, end to end, with the word and the place of each."""
+    lengths = np.fromiter((len(word) for word in words), np.int64, len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    group = table[np.minimum(points, len(table) - 1)]
+    vectors = np.bincount(owner * GROUPS + group, minlength=len(words) * GROUPS).reshape(-1, GROUPS)
+    return vectors, points, owner, place
 
-    def moved(changes: dict[int, int]) -> Column:
-        shifts = F.array(*[F.lit(changes.get(place, 0)) for place in range(size)])
-        counts = F.zip_with(part, shifts, lambda a, b: a + b)
-        more, less = sum(c > 0 for c in changes.values()), sum(c < 0 for c in changes.values())
-        fine = (up >= more) & (down >= less) & F.forall(counts, lambda c: c >= 0)
-        left = F.struct(counts.alias("counts"), (up - more).alias("up"), (down - less).alias("down"))
-        return F.when(fine, left)
 
-    places = range(size)
-    ways = [{}, *[{a: 1} for a in places], *[{a: -1} for a in places], *[{a: 1, b: -1} for a in places for b in places if a != b]]
-    return F.array_compact(F.array(*[moved(way) for way in ways]))
+def _sent(table: np.ndarray, start: int, size: int, budget: int):
+    """A mapInArrow function: rows of a node (word, n, node, up, down) with the keys of the subtrees they go to.
 
+    A key holds a tier's counts, 16 bits each; larger counts share a key, and a word is sent to it once."""
+    ways = _ways(size, budget)
+    more, less = np.maximum(ways, 0).sum(1), np.maximum(-ways, 0).sum(1)
+    shifts = np.arange(size, dtype=np.int64) * 16
 
-def _key(key: Column, counts: Column) -> Column:
-    return F.concat(key, F.array_join(counts.cast("array<string>"), ","), F.lit(";"))
-
-
-def _dealt(words: DataFrame) -> DataFrame:
-    """``node, part, role, word, n``: members of every node (role 0) and queries to it (role 1)."""
-    members = words.withColumn("node", F.lit(""))
-    asked = members.withColumn("up", F.lit(1)).withColumn("down", F.lit(1))
+    def sent(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            up, down = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            part = _vectors(batch.column(0).to_pylist(), table)[0][:, start : start + size]
+            counts = part[:, None, :] + ways[None]
+            fine = (counts >= 0).all(2) & (more[None] <= up[:, None]) & (less[None] <= down[:, None])
+            rows, way = np.nonzero(fine)
+            keys = (np.minimum(counts[rows, way], 0xFFFF) << shifts).sum(1)
+            if part.max(initial=0) >= 0xFFFF - 1:
+                once = np.unique(np.stack([rows, keys]), axis=1, return_index=True)[1]
+                rows, keys, way = rows[once], keys[once], way[once]
+            taken = [batch.column(k).take(pa.array(rows)) for k in range(3)]
+            # Where a key is shared the search itself counts what is spent, from whole vectors.
+            left = [pa.array((a[rows] - b[way]).astype(np.int8)) for a, b in ((up, more), (down, less))]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(keys), *left], names=["word", "n", "node", "key", "up", "down"])
+
+    return sent
+
+
+def _dealt(words: DataFrame, table: np.ndarray, paths: list[str]) -> DataFrame:
+    """``node, part, role, word, n``: members of every node (role 0) and queries to it (role 1).
+
+    A tier's nodes are broadcast where they have been counted to be few, else joined by a shuffle.  ``paths``
+    receives the tables kept on the way."""
+    fields = "word string, n long, node long, key long, up byte, down byte"
+    begin = [F.lit(value).cast("byte").alias(name) for name, value in (("up", 1), ("down", 1))]
+    asked = members = words.select("word", "n", "node", "key", *begin)
     out, depth = [], 0
     while True:
-        sizes = settled(members.groupBy("node").agg(F.count("*").alias("size")))
         last = depth >= GROUPS
-        big = sizes.filter(F.col("size") > NODE_WORDS)
-        here = sizes if last else sizes.filter(F.col("size") <= NODE_WORDS)
-        # Nodes are far fewer than words, but they grow with them: no broadcast is asked for.
+        sizes = members.groupBy("node", "key").agg(F.count("*").alias("size"))
+        sizes = settled(sizes.withColumn("child", F.monotonically_increasing_id()))
+        known = F.broadcast(sizes) if sizes.count() <= MAX_NODES else sizes
+        sized, reached = (df.join(known, ["node", "key"]) for df in (members, asked))
         parts = F.ceil(F.col("size") / NODE_WORDS).cast("int")
-        placed = here.select("node", parts.alias("parts"))
-        out.append(
-            members.join(placed, "node").select(
-                "node", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "word", "n"
-            )
-        )
-        out.append(
-            asked.join(placed, "node").select(
-                "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "word", "n"
-            )
-        )
-        if last or big.isEmpty():
+        fits = F.lit(True) if last else F.col("size") <= NODE_WORDS
+        node = (F.col("child") * (GROUPS + 1) + depth).alias("node")
+        part = F.pmod(F.xxhash64("word"), parts).cast("int").alias("part")
+        each = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
+        out.append(sized.filter(fits).select(node, part, F.lit(0).alias("role"), "word", "n"))
+        out.append(reached.filter(fits).select(node, each, F.lit(1).alias("role"), "word", F.lit(None).cast("long").alias("n")))
+        if last or sizes.filter(F.col("size") > NODE_WORDS).isEmpty():
             break
         size = min(STEP, GROUPS - depth)
-        split = big.select("node")
-        deeper = F.slice("vector", depth + 1, size)
-        members = settled(members.join(split, "node").withColumn("node", _key(F.col("node"), deeper)))
-        ways = F.explode(_steps(F.col("vector"), F.col("up"), F.col("down"), depth, size))
-        spent = asked.join(split, "node").select("word", "n", "vector", "node", ways.alias("way"))
-        asked = settled(
-            spent.select("word", "n", "vector", _key(F.col("node"), F.col("way.counts")).alias("node"), "way.up", "way.down").join(
-                members.select("node").distinct(), "node", "left_semi"
-            )
-        )
+        deeper = []
+        for df, budget in ((sized, 0), (reached, 1)):
+            rest = df.filter(~fits).select("word", "n", F.col("child").alias("node"), "up", "down")
+            kept, path = written(rest, "spelling")
+            paths.append(path)
+            deeper.append(kept.mapInArrow(_sent(table, depth, size, budget), fields))
+        members, asked = deeper
         depth += size
     found = out[0]
     for more in out[1:]:
@@ -130,12 +147,11 @@ class _Words:
 
     def __init__(self, words: list[str], counts: np.ndarray, table: np.ndarray) -> None:
         self.words, self.counts = words, counts
+        self.vectors, points, owner, place = _vectors(words, table)
         self.lengths = np.fromiter((len(word) for word in words), np.int64, len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.arange(len(words)), self.lengths)
-        place = np.arange(len(points)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        group = table[np.minimum(points, len(table) - 1)]
-        self.vectors = np.bincount(owner * GROUPS + group, minlength=len(words) * GROUPS).reshape(-1, GROUPS)
+        # As doubles, whose products are exact for any word that fits in memory.
+        self.exact = self.vectors.astype(np.float64)
+        self.squares = (self.exact**2).sum(1)
         self.letters = np.zeros((len(words), _WIDTH), np.uint32)
         near = place < _WIDTH
         self.letters[owner[near], place[near]] = points[near]
@@ -181,6 +197,7 @@ class _Trie:
     def __init__(self, held: _Words) -> None:
         self.order = np.lexsort(held.vectors.T[::-1]) if len(held.words) else np.zeros(0, np.int64)
         self.held, self.vectors = held, held.vectors[self.order]
+        self.exact, self.squares = held.exact[self.order], held.squares[self.order]
 
     def near(self, asked: _Words) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, word) that are one apart."""
@@ -210,10 +227,12 @@ class _Trie:
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
     def _leaf(self, asked: _Words, who: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-        change = self.vectors[None, low:high, :] - asked.vectors[who][:, None, :]
-        fine = (np.maximum(change, 0).sum(2) <= 1) & (np.maximum(-change, 0).sum(2) <= 1)
-        a, b = np.nonzero(fine)
+        # One surplus and one deficit at most: a squared distance of 2 at most, and lengths at most one apart.
+        squares = self.squares[None, low:high] + asked.squares[who][:, None] - 2 * (asked.exact[who] @ self.exact[low:high].T)
+        a, b = np.nonzero(squares <= 2)
         a, b = who[a], self.order[low + b]
+        fine = np.abs(asked.lengths[a] - self.held.lengths[b]) <= 1
+        a, b = a[fine], b[fine]
         near = _verified(asked, a, self.held, b)
         return a[near], b[near]
 
@@ -244,7 +263,7 @@ def _search(table: np.ndarray):
         current, words, counts, trie = None, [], [], None
         for batch in batches:
             node, part, role = (batch.column(k).to_pylist() for k in range(3))
-            word, n = batch.column(3).to_pylist(), batch.column(4).to_numpy()
+            word, n = batch.column(3).to_pylist(), batch.column(4).fill_null(0).to_numpy()
             state = list(zip(node, part, role, strict=True))
             cuts = [0, *[k for k in range(1, len(state)) if state[k] != state[k - 1]], len(state)]
             for start, end in zip(cuts, cuts[1:], strict=False):
@@ -270,18 +289,21 @@ def near_words(words: DataFrame) -> DataFrame:
     """``word, n, n_near, best, form`` for words with counts (``word, n``): how many words are one apart, and the most
     frequent of them with its count (0 and nulls if there is none)."""
     clean = words.filter("word is not null and n is not null").select("word", F.col("n").cast("long").alias("n"))
-    known = settled(clean.groupBy("word").agg(F.sum("n").alias("n")))
+    known = settled(clean.groupBy("word").agg(F.sum("n").alias("n")).selectExpr("*", "0L as node", "0L as key"))
     groups = letter_groups(known)
     table = np.zeros(max([ord(letter) for letter in groups], default=0) + 1, np.int64)
     for letter, group in groups.items():
         table[ord(letter)] = group
-    vectors = settled(known.withColumn("vector", frequency_vector(F.col("word"), groups)))
-    dealt = _dealt(vectors).repartition("node", "part").sortWithinPartitions("node", "part", "role")
+    paths: list[str] = []
+    dealt = _dealt(known, table, paths).repartition("node", "part").sortWithinPartitions("node", "part", "role")
     found = dealt.mapInArrow(_search(table), "word string, n_near long, best long, form string")
     ranked = F.min(F.struct((-F.col("best")).alias("less"), "form"))
     near = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), ranked.alias("top"))
     named = near.select("word", "n_near", (-F.col("top.less")).alias("best"), F.col("top.form").alias("form"))
-    return known.join(named, "word", "left").fillna(0, ["n_near"])
+    result = settled(known.drop("node", "key").join(named, "word", "left").fillna(0, ["n_near"]))
+    for path in paths:
+        removed(words.sparkSession, path)
+    return result
 
 
 def forms(words: DataFrame, factor: int = 5) -> DataFrame:
@@ -289,16 +311,15 @@ def forms(words: DataFrame, factor: int = 5) -> DataFrame:
     ``factor`` (2 or more) times as frequent; the root is the last word on the way from form to form."""
     chosen = F.col("best") >= factor * F.col("n")
     found = near_words(words).withColumn("form", F.when(chosen, F.col("form"))).withColumn("form_n", F.when(chosen, F.col("best")))
-    found = settled(found.select("word", "form", "n", "n_near", "form_n"))
+    found = found.select("word", "form", "n", "n_near", "form_n")
     # Counts grow by the factor at each step, so ways are short; each round doubles how far a word has come.
     way = settled(found.filter("form is not null").select("word", F.col("form").alias("root")))
     while True:
-        total, turn = way.count(), F.col("turn")
+        total = way.count()
         step = way.select(F.col("word").alias("root"), F.col("root").alias("further"))
         times = way.groupBy("root").agg(F.count("*").alias("turn"))
         step = step.join(times, "root")
-        moved = join_spread(way, step, "root", "turn", total).select("word", F.col("further").alias("root"))
-        moved = settled(moved)
+        moved = settled(join_spread(way, step, "root", "turn", total).select("word", F.col("further").alias("root")))
         if moved.isEmpty():
             break
         rest = way.join(moved.select("word"), "word", "left_anti")
