@@ -721,6 +721,9 @@ def all_oracles() -> dict[str, str]:
     )
     found["experiment_run"] = _experiment()
     found["predict_sparse_join"] = found["predict_sparse"]
+    found["eval_confusion_join"] = found["eval_confusion_many"]
+    for updater in ("adam", "nesterov"):
+        found[f"train_lr_resumed_{updater}"] = found[f"train_lr_{updater}"]
     found["feat_std_scale_rows_sparse"] = f"""
       WITH en AS MATERIALIZED ({document_entries()}),
       n AS (SELECT count(DISTINCT k) AS n FROM en),
@@ -729,5 +732,6 @@ def all_oracles() -> dict[str, str]:
     found["sweep_runs_sparse"] = _sparse_sweep()
     found["parse_run_log_text"] = _LOG_FILES
     found["train_lr_sparse"] = sparse_training_sql(0.01)
+    found["feat_std_scale_rows_join"] = found["feat_std_scale_rows_sparse"]
     found["train_lr_sparse_join"] = sparse_training_sql(0.01)
     return found

@@ -20,7 +20,8 @@ from slopeworks.plans.experiment import named_experiment
 from slopeworks.plans.fit import FitResult, fit, history_table
 from slopeworks.plans.model import LinearModel
 from slopeworks.plans.sweep import sweep, sweep_configs
-from slopeworks.plans.wide import TableModel
+from slopeworks.plans.snapshots import Snapshots
+from slopeworks.plans.wide import TableModel, table_confusion
 from slopeworks.shared import settled, shared_folder
 from slopeworks.sources.libsvm import DATASETS, read_libsvm, to_libsvm_lines
 from slopeworks.sources.run_log import log_tables, parse_run_log, read_run_log
@@ -34,9 +35,8 @@ STEP = 0.5
 REG = 0.05
 BATCH = 0.25
 SPLIT = 0.2
-SWEEP_STEPS = 3
-# Iteration at which the best rate is judged.
-CRITERION = 20
+# Iterations of the sweeps; the best rate is judged at the last of them.
+SWEEP_STEPS = CRITERION = 20
 # Steps of the longer training queries.
 LONG_STEPS = 10
 STANDARD_FORMS = ("adam", "adamax", "nadam", "amsgrad")
@@ -294,6 +294,19 @@ def _train_query(make_set=lineitem_set, width: int = 4, layout: str = "auto", **
     return run
 
 
+def _resumed_query(**changes) -> Query:
+    """A fit in two parts, the second from the snapshot of the first."""
+
+    def run(spark, folder):
+        snapshots = Snapshots(shared_folder(spark, f"snapshots-{uuid.uuid4().hex}"), every=3)
+        rows = lineitem_set(spark, folder)
+        fit(rows, training_config(**changes, num_iterations=4), num_features=4, snapshots=snapshots)
+        results = fit(rows, training_config(**changes, num_iterations=LONG_STEPS), num_features=4, snapshots=snapshots)
+        return result_rows(spark, results)
+
+    return run
+
+
 def history_last10(spark, folder):
     result = fit(lineitem_set(spark, folder), training_config(num_iterations=12), num_features=4)[0]
     return history.last_losses(result.history(spark)).select(
@@ -555,6 +568,16 @@ def eval_confusion_many(spark, folder):
     return evaluate.confusion_of(prepare(rows, 4, sampled=False), models)
 
 
+def eval_confusion_join(spark, folder):
+    """As ``eval_confusion_many``, by models whose weights are tables."""
+    number = F.split("row_key", "-")[1].cast("int")
+    rows = lineitem_set(spark, folder).withColumn("label", F.when(number != 5, (number % 4 - 1).cast("double")))
+    places = spark.createDataFrame(list(enumerate(POINT)), "idx int, w double")
+    models = [TableModel(places, POINT_BIAS, loss, len(POINT)) for loss in ("logistic", "hinge")]
+    counted = table_confusion(joined.identified(prepare(rows, 4, sampled=False).df), models)
+    return counted.withColumnRenamed("model", "config_id")
+
+
 # --- stopping inside the fit ------------------------------------------------------------------------
 
 STOPPING = ("simple", "momentum", "nesterov", "adam", "rmsprop")
@@ -646,13 +669,18 @@ def predict_sparse_join(spark, folder):
     return scored.select("row_key", "label", rounded(F.col("probability")).alias("probability"), "prediction")
 
 
-def feat_std_scale_rows_sparse(spark, folder):
+def feat_std_scale_rows_sparse(spark, folder, scale=features.scaled):
     rows = settled(document_set(spark, folder))
-    scaled = features.scaled(rows, features.column_stddev(rows, BUCKETS), BUCKETS)
+    scaled = scale(rows, features.column_stddev(rows, BUCKETS), BUCKETS)
     entries = scaled.select("row_key", F.inline(F.arrays_zip("idx", "val")))
     return entries.select("row_key", "idx", rounded(F.col("val")).alias("x"))
 
 
+def feat_std_scale_rows_join(spark, folder):
+    """As ``feat_std_scale_rows_sparse``, by the form for more features than may be broadcast."""
+    return feat_std_scale_rows_sparse(spark, folder, features.scaled_by_join)
+
+
 SPARSE_RATES = (0.01, 0.1)
 
 
@@ -677,7 +705,7 @@ def all_queries() -> dict[str, Query]:
         ctl_early_stop, history_last10, predict_lr, predict_svm, predict_dense64, predict_sparse,
         eval_accuracy, eval_confusion, eval_majority, sweep_grid, sweep_best_rate, sweep_curves,
         sweep_best_curves, parse_run_log_runs, parse_run_log_text, log_best_rate, sample_unkeyed, val_features,
-        eval_confusion_many, train_lr_early_stop, train_lr_converged, api_train_logistic, api_train_svm,
+        eval_confusion_many, eval_confusion_join, feat_std_scale_rows_join, train_lr_early_stop, train_lr_converged, api_train_logistic, api_train_svm,
         api_logistic_estimator, api_svm_estimator, experiment_run, predict_sparse_join, feat_std_scale_rows_sparse, sweep_runs_sparse,
     ]
     found: dict[str, Query] = {q.__name__: q for q in plain}
@@ -690,6 +718,8 @@ def all_queries() -> dict[str, Query]:
         found[name] = _update_query(SgdConfig(**({"updater": "simple", "step_size": STEP} | changes)))
     for name, changes in training_cases().items():
         found[name] = _train_query(**changes)
+    for updater in ("adam", "nesterov"):
+        found[f"train_lr_resumed_{updater}"] = _resumed_query(updater=updater)
     found["train_lr_dense64"] = _train_query(embedding_set, 64, updater="adam")
     found["train_lr_sparse"] = _train_query(document_set, BUCKETS, updater="simple", step_size=0.01)
     found["train_lr_sparse_join"] = _train_query(

@@ -179,7 +179,7 @@ def scaled(df: DataFrame, sd: DataFrame, width: int) -> DataFrame:
     gradient instead of the rows.
     """
     if width > MAX_DRIVER_VALUES:
-        return _scaled_by_join(df, sd, width)
+        return scaled_by_join(df, sd, width)
     factors = df.sparkSession.sparkContext.broadcast(inverse_sd(collect_vector(sd, "sd", width)))
     if is_sparse(df):
 
@@ -205,7 +205,7 @@ def _with_lists_of(lists: pa.Array, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(ends, values, mask=lists.is_null())
 
 
-def _scaled_by_join(df: DataFrame, sd: DataFrame, width: int) -> DataFrame:
+def scaled_by_join(df: DataFrame, sd: DataFrame, width: int) -> DataFrame:
     """Entries meet the deviations of their index block, part by part of a grid; a row's entries come together
     again and join back to the row, which is kept in the shared folder and never meets the deviations."""
     from slopeworks.operators.joined import grid_of, met_by_part, places_of, sparse_form

@@ -42,7 +42,9 @@ from slopeworks.operators.gradient import (
     spread_small,
 )
 from slopeworks.operators.joined import identified
+from slopeworks.plans import snapshots as kept_state
 from slopeworks.plans.model import LinearModel
+from slopeworks.plans.snapshots import Snapshots
 
 
 @dataclass(frozen=True)
@@ -175,6 +177,7 @@ def fit(
     layout: str = "auto",
     score: bool = False,
     on_step: Callable[[int, Step], None] | None = None,
+    snapshots: Snapshots | None = None,
 ) -> list[FitResult]:
     """Train every configuration on a canonical training table; results keep the given order.
 
@@ -190,6 +193,9 @@ def fit(
 
     ``on_step`` is called as each iteration ends, with the place of the configuration and its ``Step``, so that
     the losses of a fit that dies are not lost.
+
+    ``snapshots`` keeps the state of the fit every few iterations, and takes up the fit whose state lies there: same
+    rows and settings, the number of iterations excepted.  Only for weights within the broadcast bound.
     """
     began = time.perf_counter()
     configs = [configs] if isinstance(configs, SgdConfig) else list(configs)
@@ -239,7 +245,9 @@ def fit(
             start = weight_table(df.sparkSession, initial_weights) if given else initial_weights
             from slopeworks.plans.wide import fit_wide
 
-            fit_groups = lambda chosen, told: fit_wide(rows, chosen, shape, start, storage, told)
+            if snapshots:
+                raise ValueError("snapshots are kept for weights within the broadcast bound")
+            fit_groups = lambda chosen, told, _: fit_wide(rows, chosen, shape, start, storage, told)
             scored, most = replace(base, df=rows), len(configs)
         else:
             if spread_first:
@@ -252,13 +260,14 @@ def fit(
             if any(c.scale for c in configs) and shape.n_rows:
                 deviations = column_stddev(base.df, shape.width, shape.n_rows)
                 factors = inverse_sd(collect_vector(deviations, "sd", shape.width))
-            fit_groups = lambda chosen, told: _fit_group(scored, chosen, opening, factors, layout, told)
+            fit_groups = lambda chosen, told, kept: _fit_group(scored, chosen, opening, factors, layout, told, kept)
             most = max(1, MAX_DRIVER_VALUES // (shape.width + 1))
         for members in groups.values():
             for first in range(0, len(members), most):
                 places = members[first : first + most]
                 told = (lambda k, step, places=places: on_step(places[k], step)) if on_step else None
-                for i, result in zip(places, fit_groups([configs[i] for i in places], told)):
+                state = snapshots.of_group(places[0]) if snapshots else None
+                for i, result in zip(places, fit_groups([configs[i] for i in places], told, state)):
                     results[i] = replace(result, elapsed_ms=round((time.perf_counter() - began) * 1000))
         if score and shape.n_rows:
             for result, value in zip(results, accuracies(scored, [r.model for r in results])):
@@ -304,7 +313,7 @@ def weight_table(spark: SparkSession, weights: Sequence[float]) -> DataFrame:
     )
 
 
-def _fit_group(rows: Rows, configs, start: np.ndarray, factors, layout: str, told) -> list[FitResult]:
+def _fit_group(rows: Rows, configs, start: np.ndarray, factors, layout: str, told, state: Snapshots | None) -> list[FitResult]:
     lead, width, n_rows = configs[0], len(start), rows.n_rows
     split = lead.validation_split
     if split > 0:
@@ -318,7 +327,8 @@ def _fit_group(rows: Rows, configs, start: np.ndarray, factors, layout: str, tol
         warnings.warn("the mini-batch fraction is too small for the number of rows")
 
     factors = np.ones(width) if factors is None or not lead.scale else factors
-    iteration = 1
+    spark = rows.df.sparkSession
+    iteration = (kept_state.restore(spark, state, runs) if state else 0) + 1
     while active := [run for run in runs if run.stop_reason is None]:
         sums = _one_pass(rows, active, iteration, width, factors, layout)
         for k, run in enumerate(active):
@@ -330,6 +340,8 @@ def _fit_group(rows: Rows, configs, start: np.ndarray, factors, layout: str, tol
             )
             if told:
                 told(runs.index(run), run.steps[-1])
+        if state and (iteration % state.every == 0 or all(run.stop_reason for run in runs)):
+            kept_state.save(spark, state, runs, iteration)
         iteration += 1
 
     results = []
