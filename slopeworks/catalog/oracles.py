@@ -732,6 +732,8 @@ def all_oracles() -> dict[str, str]:
     found["sweep_runs_sparse"] = _sparse_sweep()
     found["parse_run_log_text"] = _LOG_FILES
     found["train_lr_sparse"] = sparse_training_sql(0.01)
+    plain = training_sql({"updater": "simple", "step_size": q.STEP / 2, "num_iterations": q.LONG_STEPS})
+    found["train_lr_plugged"] = f"SELECT 'halved' AS updater, entry, pos, value FROM ({plain})"
     found["feat_std_scale_rows_join"] = found["feat_std_scale_rows_sparse"]
     found["train_lr_sparse_join"] = sparse_training_sql(0.01)
     return found

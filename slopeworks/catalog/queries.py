@@ -20,6 +20,7 @@ from slopeworks.plans.experiment import named_experiment
 from slopeworks.plans.fit import FitResult, fit, history_table
 from slopeworks.plans.model import LinearModel
 from slopeworks.plans.sweep import sweep, sweep_configs
+from slopeworks.plans.plugins import checked_loss, checked_updater
 from slopeworks.plans.snapshots import Snapshots
 from slopeworks.plans.wide import TableModel, table_confusion
 from slopeworks.shared import settled, shared_folder
@@ -307,6 +308,26 @@ def _resumed_query(**changes) -> Query:
     return run
 
 
+def _halved(ops, g, state, tick):
+    return 0.5 * tick.step * g, ()
+
+
+def _by_sign(ops, margin, label):
+    """The logistic loss written by the sign of the label."""
+    sign = 2.0 * label - 1.0
+    small = ops.exp(-ops.abs(margin))
+    against = ops.where(sign * margin < 0, 1.0, small) / (1.0 + small)
+    return -sign * against, ops.log1p(small) + ops.maximum(-sign * margin, 0.0)
+
+
+def train_lr_plugged(spark, folder):
+    """A user's rule and loss, checked and registered: steps of half the size under a loss like the logistic one."""
+    checked_updater(spark, "halved", _halved, 0)
+    checked_loss(spark, "by_sign", _by_sign, "sigmoid")
+    configs = training_config(updater="halved", loss="by_sign", num_iterations=LONG_STEPS)
+    return result_rows(spark, fit(lineitem_set(spark, folder), configs, num_features=4))
+
+
 def history_last10(spark, folder):
     result = fit(lineitem_set(spark, folder), training_config(num_iterations=12), num_features=4)[0]
     return history.last_losses(result.history(spark)).select(
@@ -705,7 +726,7 @@ def all_queries() -> dict[str, Query]:
         ctl_early_stop, history_last10, predict_lr, predict_svm, predict_dense64, predict_sparse,
         eval_accuracy, eval_confusion, eval_majority, sweep_grid, sweep_best_rate, sweep_curves,
         sweep_best_curves, parse_run_log_runs, parse_run_log_text, log_best_rate, sample_unkeyed, val_features,
-        eval_confusion_many, eval_confusion_join, feat_std_scale_rows_join, train_lr_early_stop, train_lr_converged, api_train_logistic, api_train_svm,
+        eval_confusion_many, eval_confusion_join, train_lr_plugged, feat_std_scale_rows_join, train_lr_early_stop, train_lr_converged, api_train_logistic, api_train_svm,
         api_logistic_estimator, api_svm_estimator, experiment_run, predict_sparse_join, feat_std_scale_rows_sparse, sweep_runs_sparse,
     ]
     found: dict[str, Query] = {q.__name__: q for q in plain}
