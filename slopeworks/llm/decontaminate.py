@@ -7,11 +7,13 @@ of them is a sufficient prefix: the rarest one, counted over all documents, is j
 1. Documents are scanned once.  Shingles whose hash is absent from a bitmap of fixed size over all
    benchmark shingles are passed over; what remains are runs of words, kept with their place.  A benchmark
    larger than the bitmap lets more runs through and changes no result.
-2. Equal runs of different documents are joined once, so a passage in a third of all documents is one row.
+2. Equal runs of different documents are joined once, so a passage in a third of all documents is one row.  A
+   shingle carries only the words that a window around it can have, so the work is linear in a run's length.
 3. Shingles are ordered by rarity; windows with a shingle that no document has are out; the rarest shingle
    of each other window meets the runs' shingles; place and length bounds drop windows that would begin
    before or end behind the run; the words themselves are compared at last.
-4. Hits return to the documents by their run.
+4. Hits return to the documents by their run, those of frequent runs dealt to many tasks.
+   All item ids of one run are held in one row.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  Null texts have no words and no
 hits; items without words have no windows.  Repeated rows of documents are judged one by one, repeated items
@@ -27,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopeworks.llm.blocks import column_of, row_blocks, runs, shingle_hashes, span_hashes, text_bytes
-from slopeworks.llm.graph import bitmap, held, row_key, without_ids
+from slopeworks.llm.graph import bitmap, held, join_salted, row_key, without_ids
 from slopeworks.shared import settled
 
 WINDOW = 10
 SHINGLE = 5
 # The bitmap has 2 ** FILTER_BITS bits: 4 MB.
 FILTER_BITS = 25
+# Places of a run handed on at once.
+_PLACES = 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -111,6 +115,37 @@ def _scanned(documents: DataFrame, filter_words, sizes: list[int], id_type: str)
     return documents.mapInArrow(run, f"doc_id {id_type}, n_words long, runs array<{_RUN}>")
 
 
+def _run_grams(texts: DataFrame, window: int) -> DataFrame:
+    """Every shingle of every run (``run, size, words, times``) by its place ``at``, with the run's ``length`` and what
+    a window that holds the shingle may cover: ``around``, in which ``before`` words stand before the shingle.  So a
+    row has at most ``2 * window`` words, however long its run is."""
+
+    def run(batches):
+        for block in row_blocks(batches, "words"):
+            columns = [column_of(block, name).to_pylist() for name in ("run", "size", "words", "times")]
+            for number, size, text, times in zip(*columns, strict=True):
+                words = text.split(" ")
+                for first in range(0, len(words) - size + 1, _PLACES):
+                    places = range(first, min(first + _PLACES, len(words) - size + 1))
+                    lows = [max(at - window + size, 0) for at in places]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([number] * len(places), pa.int64()),
+                            pa.array([size] * len(places), pa.int32()),
+                            pa.array([times] * len(places), pa.int64()),
+                            pa.array(places, pa.int64()),
+                            pa.array([len(words)] * len(places), pa.int64()),
+                            pa.array([" ".join(words[at : at + size]) for at in places], pa.string()),
+                            pa.array([at - low for at, low in zip(places, lows, strict=True)], pa.int32()),
+                            pa.array([" ".join(words[low : at + window]) for at, low in zip(places, lows, strict=True)]),
+                        ],
+                        ["run", "size", "times", "at", "length", "gram", "before", "around"],
+                    )
+
+    schema = "run long, size int, times long, at long, length long, gram string, before int, around string"
+    return texts.select("run", "size", "words", "times").mapInArrow(run, schema)
+
+
 def _covered(spans: Column) -> Column:
     """How many places a list of spans (start, end) covers."""
     zero = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("end"))
@@ -134,14 +169,10 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     scanned = settled(_scanned(rows, filter_words, sizes, id_type)).withColumn("row", F.monotonically_increasing_id())
     found = scanned.select("row", F.explode("runs").alias("run")).select("row", "run.*")
 
-    # Equal runs once, with the number of documents that hold them.
-    texts = found.groupBy("size", "words").agg(F.count("*").alias("times"))
-    texts = texts.withColumn("list", F.split("words", " ")).withColumn(
-        "at", F.explode(F.expr("sequence(0, size(list) - size)"))
-    )
-    grams = texts.select(
-        "size", "words", "times", "list", "at", F.array_join(F.expr("slice(list, at + 1, size)"), " ").alias("gram")
-    )
+    # Equal runs once, with the number of documents that hold them; from here on a run goes by its number.
+    texts = settled(found.groupBy("size", "words").agg(F.count("*").alias("times")))
+    texts = texts.withColumn("run", F.monotonically_increasing_id())
+    grams = _run_grams(texts, window)
     rarity = grams.groupBy("size", "gram").agg(F.sum("times").alias("times"))
     parts = windows.select("window", "n", "size").distinct().withColumn("own", F.split("window", " "))
     parts = parts.withColumn("offset", F.explode(F.expr("sequence(0, n - size)")))
@@ -156,16 +187,22 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
         .filter(~F.col("absent"))
         .select("window", "n", "size", "rarest.offset", "rarest.gram")
     )
-    met = grams.select("size", "words", "list", "at", "gram").join(prefix, ["size", "gram"])
+    met = grams.join(prefix, ["size", "gram"])
     met = met.withColumn("start", F.col("at") - F.col("offset"))
-    met = met.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("list")))
-    met = met.filter(F.array_join(F.expr("slice(list, start + 1, n)"), " ") == F.col("window"))
-    named = met.select("size", "words", "window", "start", "n").join(windows.select("window", "item_id"), "window")
-    run_hits = named.groupBy("size", "words").agg(
+    met = met.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("length")))
+    own = F.split("around", " ")
+    met = met.filter(F.array_join(F.slice(own, F.col("before") - F.col("offset") + 1, F.col("n")), " ") == F.col("window"))
+    named = met.select("run", "window", "start", "n").join(windows.select("window", "item_id"), "window")
+    run_hits = named.groupBy("run").agg(
         F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("spans"),
         F.collect_set("item_id").alias("items"),
     )
-    hits = found.join(run_hits, ["size", "words"]).select(
+    # A passage that many documents share is one hot key.
+    same = F.struct("size", F.xxhash64("words").alias("one"), F.xxhash64(F.lit(1), "words").alias("two")).alias("same")
+    run_hits = settled(texts.join(run_hits, "run").select(same, F.col("words").alias("own"), "times", "spans", "items"))
+    total = run_hits.agg(F.sum("times")).first()[0] or 0
+    hits = join_salted(found.select("row", "at", "words", same), run_hits, "same", "times", total, "row")
+    hits = hits.filter(F.col("words") == F.col("own")).select(
         "row",
         F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end"))).alias("spans"),
         "items",

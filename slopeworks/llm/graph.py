@@ -56,6 +56,17 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, times: str, total:
     return near.unionByName(far)
 
 
+def join_salted(left: DataFrame, right: DataFrame, key: str, times: str, total: int, spread: str) -> DataFrame:
+    """Like ``join_spread`` where rows of ``right`` may be large: only hot keys, of fixed size, and their ways are
+    broadcast.  A hot key's rows in ``left`` are dealt to its ways by a hash of ``spread``; ``right`` goes to each."""
+    ways = F.ceil(F.col(times) / F.lit(max(total * HOT_SHARE, 1))).cast("int")
+    hot = right.select(key, ways.alias("__ways")).filter("__ways > 1")
+    dealt = left.join(F.broadcast(hot), key, "left")
+    dealt = dealt.withColumn("__way", F.pmod(F.xxhash64(spread), F.coalesce("__ways", F.lit(1))).cast("int")).drop("__ways")
+    copies = right.withColumn("__way", F.explode(F.sequence(F.lit(0), F.greatest(ways, F.lit(1)) - 1)))
+    return dealt.join(copies, [key, "__way"]).drop("__way")
+
+
 def bitmap(df: DataFrame, place: Column, bits: int) -> np.ndarray:
     """The places (0 to 2 ** bits - 1) that occur in a table, as a bitmap of 64-bit words; at most
     2 ** (bits - 6) rows come to the driver."""

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+from slopeworks.llm import decontaminate
 from slopeworks.llm.decontaminate import clean, contamination
 from tests.llm.fixtures import ascii_lower, documents, no_documents, sentence, texts
 
@@ -72,3 +73,17 @@ def test_clean_rows_stay_whatever_rows_share_their_id(spark):
     items = spark.createDataFrame([(1, passage)], "item_id long, text string")
     found = sorted(((r.doc_id, r.text) for r in clean(documents(spark, rows), items).collect()), key=str)
     assert found == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
+def test_a_long_run_and_a_frequent_one(spark):
+    """A run carries few words a place however long it is; a run of most documents is dealt to many tasks."""
+    long = " ".join(f"w{k}" for k in range(6000))
+    rows = [(k, sentence(5, 25)) for k in range(60)] + [(100, long), (101, "x " + long + " y"), (102, "clear")]
+    items = spark.createDataFrame([("a", long), ("b", sentence(5, 25))], "item_id string, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in contamination(documents(spark, rows), items).collect()}
+    assert found[100] == (6000, 6000, ["a"]) and found[101] == (6002, 6000, ["a"]) and found[102] == (1, 0, [])
+    assert {found[k] == (len(words(rows[k][1])),) * 2 + (["b"],) for k in range(60)} == {True}
+    texts = spark.createDataFrame([(1, 5, long, 1)], "run long, size int, words string, times long")
+    places = decontaminate._run_grams(texts, 10).collect()
+    assert len(places) == 5996 and max(len(r.around.split()) for r in places) == 15
+    assert all(r.around.split()[r.before : r.before + 5] == r.gram.split() for r in places)
