@@ -5,13 +5,15 @@ by language over all training texts.  A text's words vote: a known word by its l
 language; an unseen word by the mean log frequency of its known character n-grams of the longest order that
 has any, from ``MAX_ORDER`` down to 1.  A word with no known n-gram does not vote.
 
-The model has at most ``MAX_WORDS`` known words and ``MAX_GRAMS`` n-grams an order, the most frequent ones
-over all training texts, so its size does not grow with them; keys are 64-bit hashes.
+No word and no n-gram is dropped: the ``MAX_WORDS`` most frequent words are broadcast, the others and all n-grams
+stay tables.  A text's votes of broadcast words are summed where it is read; its other words are joined as keys
+with their number, n-grams once for each distinct unseen word.  Keys are 64-bit hashes.
 
 Texts that are null or have no letter are ``und`` with score 0, and so is every text if there is nothing
-to learn from.  Rows with a null language or text teach nothing.  Every input row gives one output row,
-repeated rows included; equally likely languages are taken in alphabetical order.  Other columns are left
-out.
+to learn from.  Rows with a null language or text teach nothing; an empty table gives no rows.  Every input row
+gives one output row, repeated rows and rows without an id included; equally likely languages are taken in
+alphabetical order.  A very long text is a block of its own, a very long word travels once for each task that meets
+it.  Other columns are left out.
 """
 
 from __future__ import annotations
@@ -21,26 +23,34 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopeworks.llm.blocks import column_of, letter_words, row_blocks, shingle_hashes, span_hashes, sums_by_text
-from slopeworks.shared import settled
+from slopeworks.llm.blocks import column_of, letter_words, list_array, row_blocks, shingle_hashes, span_hashes, sums_by_text
+from slopeworks.llm.graph import join_spread
+from slopeworks.shared import removed, written
 
 MAX_ORDER = 4
+# Words in the broadcast; the others are joined.
 MAX_WORDS = 1 << 17
-MAX_GRAMS = 1 << 16
 # Entries a task gathers before it hands them on.
 _GATHERED = 1 << 20
+# Distinct words a task remembers to have named.
+_NAMED = 1 << 20
 _ALPHA = 0.5
 
 
 @dataclass
 class LanguageModel:
-    """``tables[order]``: sorted keys, and for each key the log frequency in every language; order 0: words."""
+    """``keys`` (sorted) and ``votes`` (log frequency in every language) of the most frequent words; ``rest`` (``key,
+    votes``) has the other words, if there are any, ``grams`` (``n, key, votes``) the n-grams of all."""
 
     languages: list[str]
-    tables: list[tuple[np.ndarray, np.ndarray]]
+    keys: np.ndarray
+    votes: np.ndarray
+    rest: DataFrame | None = None
+    grams: DataFrame | None = None
 
 
 def _gram_spans(points, starts, ends, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,28 +119,47 @@ def _gathered(batches):
 
 def train(df: DataFrame, text_column: str = "text", lang_column: str = "lang") -> LanguageModel:
     """Learn from every row with a text and a language."""
+    spark = df.sparkSession
     rows = df.select(df[text_column].cast("string").alias("text"), df[lang_column].cast("string").alias("lang"))
     rows = rows.filter("text is not null and lang is not null")
-    counts = settled(
+    counts, path = written(
         rows.mapInArrow(_gathered, "lang string, n int, key long, times long")
         .groupBy("n", "key", "lang")
-        .agg(F.sum("times").alias("times"))
+        .agg(F.sum("times").alias("times")),
+        "language-counts",
     )
-    totals = {(row["lang"], row["n"]): row["times"] for row in counts.groupBy("lang", "n").agg(F.sum("times").alias("times")).collect()}
-    languages = sorted({lang for lang, _ in totals})
-    places = {lang: place for place, lang in enumerate(languages)}
-    tables = []
-    for order in range(MAX_ORDER + 1):
-        own = counts.filter(F.col("n") == order)
-        limit = MAX_GRAMS if order else MAX_WORDS
-        top = own.groupBy("key").agg(F.sum("times").alias("total")).orderBy(F.desc("total"), "key").limit(limit)
-        found = own.join(F.broadcast(top.select("key")), "key").select("key", "lang", "times").toArrow().to_pandas()
-        keys, spots = np.unique(found["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-        table = np.full((len(keys), len(languages)), _ALPHA)
-        table[spots, found["lang"].map(places).to_numpy(np.int64)] += found["times"].to_numpy(np.float64)
-        whole = np.array([totals.get((lang, order), 0) for lang in languages], np.float64)
-        tables.append((keys, np.log(table / (whole + _ALPHA * max(len(keys), 1))).astype(np.float32)))
-    return LanguageModel(languages, tables)
+    languages = sorted(row["lang"] for row in counts.select("lang").distinct().collect())
+    if not languages:
+        removed(spark, path)
+        return LanguageModel([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
+    own = [F.sum(F.when(F.col("lang") == lang, F.col("times")).otherwise(0)) for lang in languages]
+    table = counts.groupBy("n", "key").agg(F.sum("times").alias("total"), F.array(*own).alias("times"))
+    table, table_path = written(table, "language-table")
+    removed(spark, path)
+    whole = table.groupBy("n").agg(F.count("*").alias("keys"), F.array(*[F.sum(F.col("times")[k]) for k in range(len(languages))]).alias("sums"))
+    # One row for words and one an order: what a count is divided by.
+    below = {row["n"]: [total + _ALPHA * row["keys"] for total in row["sums"]] for row in whole.collect()}
+
+    def votes(order: int) -> Column:
+        parts = [F.log((F.col("times")[k] + _ALPHA) / F.lit(float(total))) for k, total in enumerate(below[order])]
+        return F.array(*parts).cast("array<float>")
+
+    chosen = F.when(F.col("n") == 0, votes(0))
+    for order in sorted(set(below) - {0}):
+        chosen = chosen.when(F.col("n") == order, votes(order))
+    model, _ = written(table.select("n", "key", "total", chosen.alias("votes")), "language-votes")
+    removed(spark, table_path)
+    words = model.filter("n = 0")
+    top = words.orderBy(F.desc("total"), "key").limit(MAX_WORDS + 1).select("total", "key", "votes").toArrow().to_pandas()
+    rest = None
+    if len(top) > MAX_WORDS:
+        top = top.iloc[:MAX_WORDS]
+        total, key = (F.lit(int(top.iloc[-1][name])) for name in ("total", "key"))
+        rest = words.filter((F.col("total") < total) | ((F.col("total") == total) & (F.col("key") > key))).select("key", "votes")
+    keys = top["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    logs = np.stack(top["votes"].to_list()).astype(np.float32)
+    return LanguageModel(languages, keys[order], logs[order], rest, model.filter("n > 0").select("n", "key", "votes"))
 
 
 def _looked_up(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,56 +169,126 @@ def _looked_up(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     return table[spots] == keys, spots
 
 
-def word_votes(model: LanguageModel, points, starts, ends, keys) -> np.ndarray:
-    """Log frequencies by word and language; zeros for a word that does not vote."""
-    votes = np.zeros((len(keys), len(model.languages)))
-    known, spots = _looked_up(keys, model.tables[0][0])
-    votes[known] = model.tables[0][1][spots[known]]
-    open_ = np.flatnonzero(~known)
-    for order in range(MAX_ORDER, 0, -1):
-        if not len(open_):
-            break
-        grams, own = _gram_spans(points, starts[open_], ends[open_], order)
-        hit, spots = _looked_up(grams, model.tables[order][0])
-        number = np.bincount(own[hit], minlength=len(open_))
-        for place in range(len(model.languages)):
-            sums = np.bincount(own[hit], model.tables[order][1][spots[hit], place], len(open_))
-            votes[open_, place] = sums / np.maximum(number, 1)
-        open_ = open_[number == 0]
-    return votes
-
-
-def predicted(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """Language and score (its share of the likelihood, all languages being equally likely before)."""
-    points, starts, ends, before = letter_words(texts)
-    counts = np.diff(before)
-    if not model.languages or not len(starts):
-        return ["und"] * len(texts), np.zeros(len(texts))
-    codes, keys = pd.factorize(span_hashes(points, starts, ends))
-    first = np.empty(len(keys), np.int64)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
-    votes = word_votes(model, points, starts[first], ends[first], keys)
-    logs = sums_by_text(votes[codes], before)
-    best = logs.argmax(axis=1)
-    shares = np.exp(logs - logs.max(axis=1, keepdims=True))
-    scores = np.where(counts > 0, 1 / shares.sum(axis=1), 0.0)
-    return [model.languages[k] if n else "und" for k, n in zip(best.tolist(), counts.tolist(), strict=True)], scores
+def _structs(counts: np.ndarray, **columns) -> pa.ListArray:
+    offsets = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
 
-def identify(df: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The id column, ``lang_pred`` and ``score`` for every row."""
-    id_type = df.schema[id_column].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS and MAX_GRAMS
+def _read(rows: DataFrame, model: LanguageModel, id_type: str) -> DataFrame:
+    """``id``, a number ``row``, the number ``n`` of words, the sum ``votes`` of the broadcast words' votes, the other
+    words (``asked``: keys and how often), and ``fresh``: those of them that the task has not named yet."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.keys, model.votes))  # bounded by MAX_WORDS
 
     def run(batches):
+        known_keys, known_votes = shared.value
+        row, seen = TaskContext.get().partitionId() << 33, set()
         for block in row_blocks(batches):
-            langs, scores = predicted(shared.value, [text or "" for text in column_of(block, "text").to_pylist()])
+            size = block.num_rows
+            points, starts, ends, before = letter_words([text or "" for text in column_of(block, "text").to_pylist()])
+            codes, keys = pd.factorize(span_hashes(points, starts, ends))
+            first = np.empty(len(keys), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            known, spots = _looked_up(keys, known_keys)
+            votes = np.zeros((len(keys), known_votes.shape[1]))
+            votes[known] = known_votes[spots[known]]
+            open_ = np.flatnonzero(~known[codes])
+            owner = np.repeat(np.arange(size), np.diff(before))[open_]
+            pairs, number = np.unique(owner * max(len(keys), 1) + codes[open_], return_counts=True)
+            asked, code = np.divmod(pairs, max(len(keys), 1))
+            signed = keys.view(np.int64)
+            new = [k for k in np.flatnonzero(~known).tolist() if int(signed[k]) not in seen]
+            if len(seen) + len(new) > _NAMED:
+                seen.clear()
+            seen.update(signed[new].tolist())
+            named = [points[starts[first[k]] : ends[first[k]]].tobytes().decode("utf-32-le") for k in new]
+            sums = sums_by_text(votes[codes], before) if len(codes) else np.zeros((size, votes.shape[1]))
             yield pa.RecordBatch.from_arrays(
-                [column_of(block, "id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                ["id", "lang_pred", "score"],
+                [
+                    column_of(block, "id"),
+                    pa.array(np.arange(row, row + size)),
+                    pa.array(np.diff(before), pa.int64()),
+                    list_array(sums.ravel(), np.full(size, votes.shape[1]), pa.float64()),
+                    _structs(np.bincount(asked, minlength=size), key=pa.array(signed[code]), number=pa.array(number, pa.int64())),
+                    # Named in the block's first row, whichever row has them.
+                    _structs(np.bincount([0], [len(new)], size).astype(np.int64), key=pa.array(signed[new], pa.int64()), word=pa.array(named, pa.string())),
+                ],
+                ["id", "row", "n", "votes", "asked", "fresh"],
             )
+            row += size
 
-    rows = df.select(df[id_column].alias("id"), df[text_column].cast("string").alias("text"))
-    schema = f"id {id_type}, lang_pred string, score double"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    schema = f"id {id_type}, row long, n long, votes array<double>"
+    return rows.mapInArrow(run, schema + ", asked array<struct<key:bigint,number:bigint>>, fresh array<struct<key:bigint,word:string>>")
 
+
+def _grams(batches):
+    """``key, n, gram`` of words ``key, word``: their n-grams of every order, repeated ones as often."""
+    for block in row_blocks(batches, "word"):
+        points, starts, ends, _ = letter_words(column_of(block, "word").to_pylist())
+        keys = span_hashes(points, starts, ends).view(np.int64)
+        for order in range(1, MAX_ORDER + 1):
+            grams, own = _gram_spans(points, starts, ends, order)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[own]), pa.array(np.full(len(own), order, np.int32)), pa.array(grams.view(np.int64))],
+                ["key", "n", "gram"],
+            )
+
+
+def _per_language(languages: int, function, column: str = "votes") -> Column:
+    return F.array(*[function(F.col(column)[k].cast("double")) for k in range(languages)])
+
+
+def backed_off(words: DataFrame, model: LanguageModel) -> DataFrame:
+    """``key, votes`` of words ``key, word`` by the longest order of which any n-gram is known; none without one."""
+    size = len(model.languages)
+    found, _ = written(words.select("word").mapInArrow(_grams, "key long, n int, gram long"), "language-grams")
+    found = found.select("key", "n", F.struct("n", "gram").alias("which"))
+    known = found.groupBy("which").agg(F.count("*").alias("times"))
+    known = known.join(model.grams.select(F.struct("n", F.col("key").alias("gram")).alias("which"), "votes"), "which")
+    known, _ = written(known, "language-known-grams")
+    total = known.agg(F.sum("times")).first()[0] or 0
+    met = join_spread(found, known, "which", "times", total)
+    means = met.groupBy("key", "n").agg(_per_language(size, F.avg).alias("votes"))
+    return means.groupBy("key").agg(F.max_by("votes", "n").alias("votes"))
+
+
+def _other_votes(marked: DataFrame, model: LanguageModel) -> DataFrame:
+    """``row, more``: the votes of the words that were not in the broadcast."""
+    size = len(model.languages)
+    asked = marked.select("row", F.explode("asked").alias("one")).select("row", "one.key", "one.number")
+    named = asked.groupBy("key").agg(F.count("*").alias("times"))
+    if model.rest is None:
+        unseen = named.withColumn("votes", F.lit(None).cast("array<double>"))
+    else:
+        unseen = named.join(model.rest.withColumn("votes", F.col("votes").cast("array<double>")), "key", "left")
+    named, _ = written(unseen, "language-asked")
+    words = marked.select(F.explode("fresh").alias("one")).groupBy("one.key").agg(F.min("one.word").alias("word"))
+    unseen = named.filter("votes is null").select("key", "times")
+    votes = unseen.join(backed_off(unseen.join(words, "key"), model), "key")
+    resolved, _ = written(named.filter("votes is not null").unionByName(votes), "language-resolved")
+    total = resolved.agg(F.sum("times")).first()[0] or 0
+    met = join_spread(asked, resolved, "key", "times", total)
+    return met.groupBy("row").agg(_per_language(size, lambda vote: F.sum(vote * F.col("number"))).alias("more"))
+
+
+def identify(df: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The id column, ``lang_pred`` and ``score`` (its share of the likelihood, all languages being equally likely
+    before) for every row."""
+    id_type = df.schema[id_column].dataType.simpleString()
+    rows = df.select(df[id_column].alias("id"), df[text_column].cast("string").alias("text"))
+    if not model.languages:
+        return rows.select(F.col("id").alias(id_column), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    marked, _ = written(_read(rows, model, id_type), "language-rows")
+    more = _other_votes(marked, model)
+    none = F.array_repeat(F.lit(0.0), len(model.languages))
+    votes = F.zip_with("votes", F.coalesce("more", none), lambda a, b: a + b)
+    judged = marked.select("id", "row", "n", "votes").join(more, "row", "left").select("id", "n", votes.alias("votes"))
+    best = F.array_max("votes")
+    share = F.aggregate("votes", F.lit(0.0), lambda total, vote: total + F.exp(vote - best))
+    first = F.array_position("votes", best).cast("int")
+    names = F.array(*[F.lit(lang) for lang in model.languages])
+    return judged.select(
+        F.col("id").alias(id_column),
+        F.when(F.col("n") > 0, F.element_at(names, first)).otherwise(F.lit("und")).alias("lang_pred"),
+        F.when(F.col("n") > 0, 1 / share).otherwise(F.lit(0.0)).alias("score"),
+    )

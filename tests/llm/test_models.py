@@ -77,11 +77,17 @@ def test_nothing_to_learn_from(spark):
         assert frame.count() == 0
 
 
+def languages_of(spark, model, words):
+    frame = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    rows = sorted(language.identify(frame, model).collect(), key=lambda r: r.doc_id)
+    return [r.lang_pred for r in rows], np.array([r.score for r in rows])
+
+
 def test_language_backs_off_to_shorter_grams(spark):
     rows = [(1, "walking talking making", "en"), (2, "walking", "en"), (3, "gehen stehen sehen", "de"), (4, None, "de"), (5, "x", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.train(frame)
-    langs, scores = language.predicted(model, ["working", "drehen", "1234 !!!", "", "WALKING", "東京", "  walking drehen sehen"])
+    langs, scores = languages_of(spark, model, ["working", "drehen", "1234 !!!", "", "WALKING", "東京", "  walking drehen sehen"])
     assert langs[:2] == ["en", "de"] and langs[2:4] == ["und", "und"] and langs[4] == "en" and langs[6] == "de"
     assert scores[2] == scores[3] == 0 and 0 <= scores.min() and scores.max() <= 1
     assert scores[5] == pytest.approx(0.5)  # a word without a known n-gram does not vote
@@ -90,12 +96,78 @@ def test_language_backs_off_to_shorter_grams(spark):
 def test_known_word_has_its_log_frequency(spark):
     rows = [(1, "same same same other", "aa"), (2, "same different", "bb")]
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    _, scores = language.predicted(model, ["same"])
+    _, scores = languages_of(spark, model, ["same"])
     words, alpha = 3, 0.5
     a, b = (3 + alpha) / (4 + alpha * words), (1 + alpha) / (2 + alpha * words)
     assert scores[0] == pytest.approx(a / (a + b), rel=1e-5)
 
 
+LANGUAGE_ROWS = [
+    (1, "Walking talking, making walking MAKING ever-after", "en"), (2, "walking straße über", "de"),
+    (3, "gehen stehen sehen gehen", "de"), (4, "идти стоять видеть идти", "ru"), (5, None, "de"), (6, "lost", None),
+    (7, "andare vedere stare parlare", "it"), (7, "andare vedere stare parlare", "it"), (None, "restare mai", "it"),
+]
+ASKED = [
+    *texts(), (None, "working"), (None, "working"), (500, "видеть working"), (501, "ǅ İstanbul straßen"), (502, "gehend " * 300),
+    (503, "x" * 20_000), (504, "qq andare wxyz " * 2000), (505, "東京 стоит"),
+]
+
+
+def language_brute_force(rows, asked):
+    """Plain dictionaries of counts: words first, then n-grams of the longest order that has any."""
+
+    def words_of(text):
+        return "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ")
+
+    def grams(word, order):
+        marked = f"\0{word}\0"
+        return [g for g in (marked[k : k + order] for k in range(len(marked) - order + 1)) if g != "\0"]
+
+    counts = {order: {} for order in range(language.MAX_ORDER + 1)}
+    for _, text, lang in rows:
+        for word in words_of(text) if lang and text is not None else ():
+            for order in counts if word else ():
+                for key in grams(word, order) if order else [word]:
+                    own = counts[order].setdefault(key, {})
+                    own[lang] = own.get(lang, 0) + 1
+    langs = sorted({lang for _, text, lang in rows if lang and text is not None})
+    sums = {(o, lang): sum(c.get(lang, 0) for c in counts[o].values()) for o in counts for lang in langs}
+
+    def vote(order, key):
+        return np.array([np.log((counts[order][key].get(l, 0) + 0.5) / (sums[order, l] + 0.5 * len(counts[order]))) for l in langs])
+
+    out = []
+    for doc_id, text in asked:
+        total, any_ = np.zeros(len(langs)), False
+        for word in filter(None, words_of(text)):
+            any_ = True
+            if word in counts[0]:
+                total = total + vote(0, word)
+                continue
+            for order in range(language.MAX_ORDER, 0, -1):
+                known = [vote(order, g) for g in grams(word, order) if g in counts[order]]
+                if known:
+                    total = total + np.mean(known, axis=0)
+                    break
+        share = np.exp(total - total.max())
+        out.append((doc_id, langs[int(total.argmax())] if any_ else "und", 1 / share.sum() if any_ else 0.0))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most", [0, 3, 10, 1 << 17])
+def test_language_against_brute_force_with_words_beyond_the_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(language, "MAX_WORDS", most or 1)
+    monkeypatch.setattr(language, "_NAMED", 4 if most == 3 else 1 << 20)
+    frame = spark.createDataFrame(LANGUAGE_ROWS, "doc_id long, text string, lang string").selectExpr("*", "1 as n", "2 as votes")
+    found = language.identify(documents(spark, ASKED), language.train(frame)).collect()
+    expected = language_brute_force(LANGUAGE_ROWS, ASKED)
+    key = lambda r: (str(r[0]), r[1])
+    found, expected = sorted(map(tuple, found), key=key), sorted(expected, key=key)
+    assert [r[:1] for r in found] == [r[:1] for r in expected]
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in expected], abs=1e-4)
+    assert [a for a, b in zip(found, expected, strict=True) if a[1] != b[1] and b[2] > 0.51] == []
+
+
 def test_features_do_not_depend_on_neighbours():
     rows = pa.array([t or "" for _, t in texts()])
     together = quality.block_features(rows)
