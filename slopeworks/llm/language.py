@@ -5,9 +5,10 @@ by language over all training texts.  A text's words vote: a known word by its l
 language; an unseen word by the mean log frequency of its known character n-grams of the longest order that
 has any, from ``MAX_ORDER`` down to 1.  A word with no known n-gram does not vote.
 
-No word and no n-gram is dropped: the ``MAX_WORDS`` most frequent words are broadcast, the others and all n-grams
-stay tables.  A text's votes of broadcast words are summed where it is read; its other words are joined as keys
-with their number, n-grams once for each distinct unseen word.  Keys are 64-bit hashes.
+No word and no n-gram is dropped: the ``MAX_WORDS`` most frequent words and ``MAX_GRAMS`` n-grams an order are broadcast,
+the others stay tables.  A text's votes of broadcast words are summed where it is read; its other words are joined as
+keys with their number, and n-grams are looked up once for each distinct unseen word, joined where a bitmap cannot rule
+them out.  Keys are 64-bit hashes.
 
 Texts that are null or have no letter are ``und`` with score 0, and so is every text if there is nothing
 to learn from.  Rows with a null language or text teach nothing; an empty table gives no rows.  Every input row
@@ -18,7 +19,8 @@ it.  Other columns are left out.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,12 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopeworks.llm.blocks import column_of, letter_words, list_array, row_blocks, shingle_hashes, span_hashes, sums_by_text
-from slopeworks.llm.graph import join_spread
+from slopeworks.llm.graph import ID_BITS, bitmap, held, join_spread
 from slopeworks.shared import removed, written
 
 MAX_ORDER = 4
-# Words in the broadcast; the others are joined.
+# Words, and n-grams an order, in the broadcast; the others are joined.
 MAX_WORDS = 1 << 17
+MAX_GRAMS = 1 << 16
 # Entries a task gathers before it hands them on.
 _GATHERED = 1 << 20
 # Distinct words a task remembers to have named.
@@ -43,14 +46,15 @@ _ALPHA = 0.5
 
 @dataclass
 class LanguageModel:
-    """``keys`` (sorted) and ``votes`` (log frequency in every language) of the most frequent words; ``rest`` (``key,
-    votes``) has the other words, if there are any, ``grams`` (``n, key, votes``) the n-grams of all."""
+    """``keys`` (sorted) and ``votes`` (log frequency in every language) of the most frequent words, and the same by
+    order in ``grams``; ``rest`` (``key, votes``) and ``rest_grams`` (``n, key, votes``) have the others, if any."""
 
     languages: list[str]
     keys: np.ndarray
     votes: np.ndarray
     rest: DataFrame | None = None
-    grams: DataFrame | None = None
+    grams: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    rest_grams: DataFrame | None = None
 
 
 def _gram_spans(points, starts, ends, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,17 +153,27 @@ def train(df: DataFrame, text_column: str = "text", lang_column: str = "lang") -
         chosen = chosen.when(F.col("n") == order, votes(order))
     model, _ = written(table.select("n", "key", "total", chosen.alias("votes")), "language-votes")
     removed(spark, table_path)
-    words = model.filter("n = 0")
-    top = words.orderBy(F.desc("total"), "key").limit(MAX_WORDS + 1).select("total", "key", "votes").toArrow().to_pandas()
+    keys, logs, rest = _split(model.filter("n = 0"), MAX_WORDS, len(languages))
+    grams, others = {}, []
+    for order in range(1, MAX_ORDER + 1):
+        own_keys, own_logs, other = _split(model.filter(F.col("n") == order), MAX_GRAMS, len(languages))
+        grams[order] = own_keys, own_logs
+        others += [other.select("n", "key", "votes")] if other is not None else []
+    return LanguageModel(languages, keys, logs, rest, grams, reduce(DataFrame.unionByName, others) if others else None)
+
+
+def _split(table: DataFrame, most: int, languages: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """Keys (sorted) and votes of the most frequent entries of ``n, key, total, votes``, and the others as a table."""
+    top = table.orderBy(F.desc("total"), "key").limit(most + 1).select("total", "key", "votes").toArrow().to_pandas()
     rest = None
-    if len(top) > MAX_WORDS:
-        top = top.iloc[:MAX_WORDS]
+    if len(top) > most:
+        top = top.iloc[:most]
         total, key = (F.lit(int(top.iloc[-1][name])) for name in ("total", "key"))
-        rest = words.filter((F.col("total") < total) | ((F.col("total") == total) & (F.col("key") > key))).select("key", "votes")
+        rest = table.filter((F.col("total") < total) | ((F.col("total") == total) & (F.col("key") > key)))
     keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    logs = np.stack(top["votes"].to_list()).astype(np.float32)
-    return LanguageModel(languages, keys[order], logs[order], rest, model.filter("n > 0").select("n", "key", "votes"))
+    logs = np.stack(top["votes"].to_list()).astype(np.float32) if len(top) else np.zeros((0, languages), np.float32)
+    return keys[order], logs[order], rest
 
 
 def _looked_up(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,17 +235,43 @@ def _read(rows: DataFrame, model: LanguageModel, id_type: str) -> DataFrame:
     return rows.mapInArrow(run, schema + ", asked array<struct<key:bigint,number:bigint>>, fresh array<struct<key:bigint,word:string>>")
 
 
-def _grams(batches):
-    """``key, n, gram`` of words ``key, word``: their n-grams of every order, repeated ones as often."""
-    for block in row_blocks(batches, "word"):
-        points, starts, ends, _ = letter_words(column_of(block, "word").to_pylist())
-        keys = span_hashes(points, starts, ends).view(np.int64)
-        for order in range(1, MAX_ORDER + 1):
-            grams, own = _gram_spans(points, starts, ends, order)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[own]), pa.array(np.full(len(own), order, np.int32)), pa.array(grams.view(np.int64))],
-                ["key", "n", "gram"],
-            )
+def _gram_votes(words: DataFrame, model: LanguageModel) -> DataFrame:
+    """For words ``key, word``, from the longest order down to one with a broadcast n-gram: ``key, n``, how many of the
+    word's n-grams are in the broadcast, the sum of their votes, and which may be in the rest (``asked``)."""
+    languages = len(model.languages)
+    maybe = bitmap(model.rest_grams, F.shiftrightunsigned("key", 64 - ID_BITS), ID_BITS) if model.rest_grams is not None else None
+    # Bounded by MAX_GRAMS an order, and a bitmap of fixed size.
+    shared = words.sparkSession.sparkContext.broadcast((model.grams, maybe))
+
+    def run(batches):
+        tables, maybe = shared.value
+        for block in row_blocks(batches, "word"):
+            points, starts, ends, _ = letter_words(column_of(block, "word").to_pylist())
+            keys = span_hashes(points, starts, ends).view(np.int64)
+            open_ = np.arange(len(keys))
+            for order in range(MAX_ORDER, 0, -1):
+                grams, own = _gram_spans(points, starts[open_], ends[open_], order)
+                hit, spots = _looked_up(grams, tables[order][0])
+                number = np.bincount(own[hit], minlength=len(open_))
+                ask = np.zeros(len(grams), bool) if maybe is None else ~hit & held(maybe, grams >> np.uint64(64 - ID_BITS))
+                asks = np.bincount(own[ask], minlength=len(open_))
+                sums = np.zeros((len(open_), languages))
+                for place in range(languages):
+                    sums[:, place] = np.bincount(own[hit], tables[order][1][spots[hit], place], len(open_))
+                told = (number > 0) | (asks > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys[open_[told]]),
+                        pa.array(np.full(int(told.sum()), order, np.int32)),
+                        pa.array(number[told], pa.int64()),
+                        list_array(sums[told].ravel(), np.full(int(told.sum()), languages), pa.float64()),
+                        list_array(grams[ask].view(np.int64), asks[told], pa.int64()),
+                    ],
+                    ["key", "n", "number", "sums", "asked"],
+                )
+                open_ = open_[number == 0]
+
+    return words.select("word").mapInArrow(run, "key long, n int, number long, sums array<double>, asked array<long>")
 
 
 def _per_language(languages: int, function, column: str = "votes") -> Column:
@@ -241,14 +281,19 @@ def _per_language(languages: int, function, column: str = "votes") -> Column:
 def backed_off(words: DataFrame, model: LanguageModel) -> DataFrame:
     """``key, votes`` of words ``key, word`` by the longest order of which any n-gram is known; none without one."""
     size = len(model.languages)
-    found, _ = written(words.select("word").mapInArrow(_grams, "key long, n int, gram long"), "language-grams")
-    found = found.select("key", "n", F.struct("n", "gram").alias("which"))
-    known = found.groupBy("which").agg(F.count("*").alias("times"))
-    known = known.join(model.grams.select(F.struct("n", F.col("key").alias("gram")).alias("which"), "votes"), "which")
-    known, _ = written(known, "language-known-grams")
-    total = known.agg(F.sum("times")).first()[0] or 0
-    met = join_spread(found, known, "which", "times", total)
-    means = met.groupBy("key", "n").agg(_per_language(size, F.avg).alias("votes"))
+    found = _gram_votes(words, model)
+    if model.rest_grams is not None:
+        found, _ = written(found, "language-grams")
+        asked = found.select("key", "n", F.explode("asked").alias("gram")).select("key", "n", F.struct("n", "gram").alias("which"))
+        times = asked.groupBy("which").agg(F.count("*").alias("times"))
+        rest = model.rest_grams.select(F.struct("n", F.col("key").alias("gram")).alias("which"), "votes")
+        known, _ = written(times.join(rest, "which"), "language-known-grams")
+        total = known.agg(F.sum("times")).first()[0] or 0
+        met = join_spread(asked, known, "which", "times", total).groupBy("key", "n")
+        met = met.agg(F.count("*").alias("number"), _per_language(size, F.sum).alias("sums"))
+        found = found.select("key", "n", "number", "sums").unionByName(met).groupBy("key", "n")
+        found = found.agg(F.sum("number").alias("number"), _per_language(size, F.sum, "sums").alias("sums"))
+    means = found.filter("number > 0").select("key", "n", F.transform("sums", lambda total: total / F.col("number")).alias("votes"))
     return means.groupBy("key").agg(F.max_by("votes", "n").alias("votes"))
 
 
@@ -260,7 +305,7 @@ def _other_votes(marked: DataFrame, model: LanguageModel) -> DataFrame:
     if model.rest is None:
         unseen = named.withColumn("votes", F.lit(None).cast("array<double>"))
     else:
-        unseen = named.join(model.rest.withColumn("votes", F.col("votes").cast("array<double>")), "key", "left")
+        unseen = named.join(model.rest.select("key", F.col("votes").cast("array<double>").alias("votes")), "key", "left")
     named, _ = written(unseen, "language-asked")
     words = marked.select(F.explode("fresh").alias("one")).groupBy("one.key").agg(F.min("one.word").alias("word"))
     unseen = named.filter("votes is null").select("key", "times")

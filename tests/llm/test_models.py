@@ -157,6 +157,7 @@ def language_brute_force(rows, asked):
 @pytest.mark.parametrize("most", [0, 3, 10, 1 << 17])
 def test_language_against_brute_force_with_words_beyond_the_broadcast(spark, monkeypatch, most):
     monkeypatch.setattr(language, "MAX_WORDS", most or 1)
+    monkeypatch.setattr(language, "MAX_GRAMS", most or 1)
     monkeypatch.setattr(language, "_NAMED", 4 if most == 3 else 1 << 20)
     frame = spark.createDataFrame(LANGUAGE_ROWS, "doc_id long, text string, lang string").selectExpr("*", "1 as n", "2 as votes")
     found = language.identify(documents(spark, ASKED), language.train(frame)).collect()
