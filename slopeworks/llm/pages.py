@@ -4,16 +4,21 @@ A page is cut into blocks at block-level tags; each block knows its length, the
 inside links, the share of its words that are stop words, and its container: boilerplate (by tag, or by a
 word in its class or id), article, or neither.
 
-First pass: blocks in boilerplate containers, blocks made of links, and, outside an article, blocks without
-stop words are bad; long blocks with many stop words are good; the others are undecided.  Second pass:
-undecided blocks take the label of the nearest decided block on either side; where the sides differ, blocks with
-some stop words are good and short ones follow the nearer side.  An article's blocks look no further than
-the article, and are good where it has no decided block.  If an article has good blocks, blocks outside any are
-bad.
+First pass: blocks in boilerplate containers and blocks made of links are bad, but not running paragraphs and
+headlines of an article; long blocks with many stop words are good; the others are undecided.  Where a page's blocks
+have next to no known stop words, its language is not among those of the list, and length alone decides (a character of a
+script without spaces counts as three).  Second pass: undecided blocks take the label of the nearest decided block
+on either side; where the sides differ, blocks with some stop words are good and short ones follow the nearer side (a
+tie is good).  An article's blocks look no further than the article, and are good where it has no decided block.  If an
+article has good blocks, blocks outside any are bad, but for the last top headline before an article without one.
+
+A container is boilerplate by its tag, or by a class, id or role all of whose parts say so or are neutral
+(``site-footer``); ``share-enabled`` is none, and no class makes an article boilerplate.
 
 The text is the good blocks in page order with an empty line between; character references are decoded, white
 space within a block is one space.  Null and empty pages have an empty text; an unclosed comment, script or style
-reaches to the end of the page.  Every input row gives one output row; other columns are left out.
+reaches to the end of the page.  Every input row gives one output row, repeated rows and rows without an id included,
+and an empty table gives none; a very long page is a block of its own; other columns are left out.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from slopeworks.llm.blocks import column_of, row_blocks
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOPS_LOW, STOPS_HIGH = 0.12, 0.22
+# A page with a smaller share of known stop words is in another language.
+STOPS_KNOWN = 0.06
 LINKS_HIGH = 0.34
 
 # HTML elements by their part in a page.
@@ -53,6 +60,15 @@ _BOILERPLATE_NAMES = frozenset(
     "pagination popup promo promoted promotion related replies reply search share sharing sidebar signup social sponsor "
     "sponsored subscribe tags teaser toolbar widget".split()
 )
+# Words of class and id names that say nothing by themselves, and those that mark the main text.
+_NEUTRAL_NAMES = frozenset(
+    "area bar block bottom box container div global group inner item items left link links list main module outer page panel "
+    "primary right row secondary section site top wrap wrapper".split()
+)
+_MAIN_NAMES = frozenset("article content entry post story text".split())
+# Boilerplate words that name a part of the article behind a word for the main text.
+_PART_NAMES = frozenset("banner header masthead".split())
+_HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Frequent function words.
 _STOPS = frozenset(
     """a about after all also an and are as at be because been but by can could for from had has have he her his if in
@@ -76,6 +92,8 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
+_COMMENT_NAMES = frozenset("comment comments reply replies".split())
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass
@@ -84,6 +102,12 @@ class Block:
     linked: float
     kind: str | None  # "bad", "article" or None
     region: int  # number of the article it is in, or 0
+    tag: str = ""  # the block-level tag it stands in
+
+    @property
+    def running(self) -> bool:
+        """A paragraph or headline of an article."""
+        return bool(self.region) and self.kind == "article" and (self.tag == "p" or self.tag in _HEADLINES)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -93,6 +117,7 @@ def blocks_of(page: str) -> list[Block]:
     open_tags: dict[str, int] = {}
     kind: str | None = None
     region = articles = links = 0
+    block_tag = ""
     parts: list[str] = []
     linked_parts: list[str] = []
 
@@ -102,7 +127,7 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             linked = len(" ".join("".join(linked_parts).split()))
-            found.append(Block(text, linked / len(text), kind, region))
+            found.append(Block(text, linked / len(text), kind, region, block_tag))
         parts.clear()
         linked_parts.clear()
 
@@ -127,6 +152,7 @@ def blocks_of(page: str) -> list[Block]:
             links = 0 if token["end"] else 1
         elif tag in _BLOCK_TAGS:
             close()
+            block_tag = "" if token["end"] else tag
             if tag not in _CONTAINERS:
                 continue
             if not token["end"]:
@@ -150,34 +176,55 @@ def blocks_of(page: str) -> list[Block]:
 
 def _kind_of(tag: str, rest: str, region: int) -> str | None:
     """What a container makes of its blocks; None leaves it to the container around it."""
-    if tag in _ARTICLE_TAGS and not _named(rest):
-        return "article"
+    if tag in _ARTICLE_TAGS:
+        # A comment may be marked up as an article of its own.
+        return "bad" if tag == "article" and _named(rest, _COMMENT_NAMES) else "article"
     if tag in _BOILERPLATE_TAGS and not (tag == "header" and region):
         return "bad"
     return "bad" if tag != "body" and _named(rest) else None
 
 
-def _named(rest: str) -> bool:
-    return bool(rest) and any(
-        word in _BOILERPLATE_NAMES
-        for groups in _NAMES.findall(rest)
-        for word in re.split(r"[^a-z]+", "".join(groups).lower())
-    )
+def _named(rest: str, names: frozenset[str] = _BOILERPLATE_NAMES) -> bool:
+    """Whether a class, id or role says boilerplate as a whole."""
+    for groups in _NAMES.findall(rest) if rest else ():
+        for name in "".join(groups).split():
+            # Parts between marks, digits and changes to upper case.
+            parts = {part.lower() for part in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)}
+            said = parts & names
+            if parts & _MAIN_NAMES:
+                said -= _PART_NAMES
+            if said and parts <= said | _NEUTRAL_NAMES | _MAIN_NAMES:
+                return True
+    return False
+
+
+def _length(text: str) -> int:
+    """Characters, those of scripts without spaces counted as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(word in _STOPS for word in words) / max(len(words), 1)
+
+
+def known_language(blocks: list[Block]) -> bool:
+    """Whether the page's text outside boilerplate has stop words of the list."""
+    return _stop_share("\n".join(block.text for block in blocks if block.kind != "bad" and block.linked <= LINKS_HIGH)) >= STOPS_KNOWN
 
 
-def first_pass(block: Block) -> str:
-    """``good``, ``bad``, or undecided: ``near`` (with some stop words) or ``short``."""
-    if block.kind == "bad" or block.linked > LINKS_HIGH:
+def first_pass(block: Block, known: bool = True) -> str:
+    """``good``, ``bad``, or undecided: ``near`` (with some stop words) or ``short``; without a ``known`` language by
+    length."""
+    if block.kind == "bad" or (block.linked > LINKS_HIGH and not block.running):
         return "bad"
-    words = _WORD.findall(block.text.lower())
-    stops = sum(word in _STOPS for word in words) / max(len(words), 1)
-    if len(block.text) < LENGTH_LOW:
+    length = _length(block.text)
+    if length < LENGTH_LOW:
         return "bad" if block.linked and not block.region else "short"
+    stops = _stop_share(block.text) if known else STOPS_HIGH
     if stops >= STOPS_HIGH:
-        return "good" if len(block.text) >= LENGTH_HIGH else "near"
-    if stops >= STOPS_LOW:
-        return "near"
-    return "short" if block.region else "bad"
+        return "good" if length >= LENGTH_HIGH else "near"
+    return "near" if stops >= STOPS_LOW else "short"
 
 
 def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
@@ -205,14 +252,20 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
             good.append(True)
         else:
             good.append(min(sides, key=lambda side: (abs(side[1] - at), side[0] == "bad"))[0] == "good")
-    if any(own and block.region for own, block in zip(good, blocks, strict=True)):
+    inside = [at for at, block in enumerate(blocks) if good[at] and block.region]
+    if inside:
         good = [own and bool(block.region) for own, block in zip(good, blocks, strict=True)]
+        if not any(blocks[at].tag == "h1" for at in inside):
+            tops = [at for at in range(inside[0]) if blocks[at].tag == "h1" and blocks[at].kind is None]
+            if tops and labels[tops[-1]] != "bad":
+                good[tops[-1]] = True
     return good
 
 
 def main_text(page: str) -> str:
     blocks = blocks_of(page)
-    good = second_pass(blocks, [first_pass(block) for block in blocks])
+    known = known_language(blocks)
+    good = second_pass(blocks, [first_pass(block, known) for block in blocks])
     return "\n\n".join(block.text for block, own in zip(blocks, good, strict=True) if own)
 
 
