@@ -13,6 +13,8 @@ columns are left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -95,12 +97,18 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return join_spread(marked, named, "fingerprint", "times", total).select(id_column, "fingerprint", "component_id")
 
 
-def one_of_each(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def one_of_each(
+    df: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    grouping: Callable[[DataFrame, str, str], DataFrame] = near_copies,
+) -> DataFrame:
     """The rows of ``df``, all columns as they are, with one row of each component: that with the smallest id, or
     one without an id where no row has one.  Of rows of a component that share such an id (null included) one stays,
-    by the hash of the text; rows that share an id in different components do not touch each other."""
+    by the hash of the text; rows that share an id in different components do not touch each other.  ``grouping`` gives
+    each id its ``component_id``."""
     rows = df.withColumn("__key", row_key(id_column, text_column))
-    found = near_copies(rows, "__key", text_column)
+    found = grouping(rows, "__key", text_column)
     own = F.max(F.col("__key") == F.col("component_id")).alias("own")
     keys = settled(found.groupBy("__key").agg(F.count("*").alias("times"), own))
     kept = without_ids(rows, "__key", keys.filter("not own"))
