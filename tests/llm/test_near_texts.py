@@ -116,3 +116,39 @@ def test_layout_grows_slowly():
     for count in (0, 1, 10**5, 10**7, 10**10):
         width, blocks = layout(count)
         assert 2**width >= 2 * count * (width + 1) and blocks >= 1
+
+
+def test_every_pair_at_a_variant_is_compared(spark, monkeypatch):
+    """Two variants hold all classes: each is met by texts between which, by name, lie many unlike ones."""
+    from slopeworks.llm import near_texts as module
+
+    monkeypatch.setattr(module, "layout", lambda classes: (1, 1))
+    monkeypatch.setattr(module, "_COMPARED", 100, raising=False)
+    rng = random.Random(9)
+    bases = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(40)]
+    rows = [(k, with_words(base, [])) for k, base in enumerate(bases)]
+    rows += [(100 + k, with_words(base, [20, 150])) for k, base in enumerate(bases)]
+    rows += [(200 + k, with_words(bases[0], [7 * k % 200])) for k in range(20)]
+    group = grouped(rows)
+    found = {r.doc_id: r.component_id for r in near_texts(documents(spark, rows)).collect()}
+    assert found == {i: rows[g][0] for (i, _), g in zip(rows, group, strict=True)}
+
+
+def test_texts_of_one_first_word_keep_their_own_links(spark, monkeypatch):
+    """Texts whose fingerprints share their first word are not one class: each has its own partners."""
+    from slopeworks.llm import near_texts as module
+
+    rng = random.Random(3)
+    first = " ".join(f"w{rng.randrange(5000)}" for _ in range(200)).split()
+    other = " ".join(f"v{rng.randrange(5000)}" for _ in range(210)).split()
+    rows = [(1, " ".join(first)), (2, " ".join(other)), (3, with_words(" ".join(other), [100]))]
+
+    def same_word(shingles):
+        bits = long_fingerprint(shingles)
+        bits[0] = 5
+        return bits
+
+    monkeypatch.setattr(module, "long_fingerprint", same_word)
+    monkeypatch.setattr(module, "layout", lambda classes: (1, 1))
+    found = {r.doc_id: r.component_id for r in near_texts(documents(spark, rows)).collect()}
+    assert found == {1: 1, 2: 2, 3: 2}
