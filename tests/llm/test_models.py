@@ -221,6 +221,79 @@ def test_toxicity_words_beyond_the_broadcast_are_joined(spark, monkeypatch):
         assert [r[2:] for r in found] == [pytest.approx(r[2:]) for r in expected]
 
 
+def toxicity_brute_force(rows, asked, discount, pair_discount):
+    """``whole, worst`` by dictionaries of counts: log-likelihoods of whole texts in two models of word pairs."""
+    from collections import Counter, defaultdict
+
+    def pairs_of(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        return list(zip(["", *words], words))  # noqa: B905
+
+    n = [Counter(pair for text, label in rows if label == c for pair in pairs_of(text)) for c in (0, 1)]
+    both = n[0] + n[1]
+    own = [Counter(w for _, w in n[c]) for c in (0, 1)]
+    types, bands = Counter(w for _, w in both), defaultdict(lambda: [0, 0])
+    for w, k in types.items():
+        for c in (0, 1):
+            bands[k.bit_length()][c] += own[c][w]
+    freed = np.mean([1 - sum(max(k - discount, 0) for k in own[c].values()) / sum(own[c].values()) for c in (0, 1)])
+    total = sum(sum(own[c].values()) for c in (0, 1))
+
+    def alone(c, w):
+        ordinary, toxic = bands[types[w].bit_length()]
+        share = (toxic + 1) / (ordinary + toxic + 2)
+        share = share if c else 1 - share
+        return (max(own[c][w] - discount, 0) + freed * types[w] * share) / share / total
+
+    def after(counts, v):
+        return [k for (a, _), k in counts.items() if a == v]
+
+    def behind(c, v, w):
+        around = after(both, v)
+        if not around:
+            return alone(c, w)
+        kept = [sum(max(k - pair_discount, 0) for k in after(n[d], v)) for d in (0, 1)]
+        spare = np.mean([1 - kept[d] / sum(after(n[d], v)) if after(n[d], v) else 1 for d in (0, 1)])
+        left = sum(min(k, pair_discount) for k in around)
+        shared = max(both[v, w] - pair_discount, 0)
+        back = (shared + left * alone(c, w)) / sum(around) if shared else alone(c, w)  # else the classes share the factor
+        if not kept[c]:
+            return back
+        return (1 - spare) * max(n[c][v, w] - pair_discount, 0) / kept[c] + spare * back
+
+    found = []
+    for text in asked:
+        ratios = [np.log(behind(1, v, w) / behind(0, v, w)) if types[w] else _context(after, n, v, pair_discount) for v, w in pairs_of(text)]
+        worst = sorted(ratios)[-toxicity.WORST :]
+        found.append((np.mean(ratios) if ratios else 0.0, np.mean(worst) if worst else 0.0))
+    return found
+
+
+def _context(after, n, v, discount):
+    """An unseen word has the same probability in both classes, but for what the context leaves to it."""
+    kept = [sum(max(k - discount, 0) for k in after(n[d], v)) for d in (0, 1)]
+    spare = np.mean([1 - kept[d] / sum(after(n[d], v)) if after(n[d], v) else 1 for d in (0, 1)])
+    left = [spare if kept[d] else 1 for d in (0, 1)]
+    return np.log(left[1] / left[0])
+
+
+@pytest.mark.parametrize("most", [5, 1 << 20])
+def test_toxicity_is_of_whole_texts_in_two_models_of_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(toxicity, "MAX_WORDS", most)
+    random = np.random.default_rng(4)
+    words = [f"w{chr(97 + k)}" for k in range(12)]
+    rows = [(" ".join(random.choice(words[3 * label :], 40)), label) for label in (0, 0, 0, 1, 1) for _ in range(3)]
+    rows += [("wa vile wb vile wc vile we vile wf vile one", 1), ("one wa two wb one wd", 0)]
+    asked = [*[text for text, _ in rows[::4]], "vile wa wb", "unseen wa unseen", "wa", "", None, "wk wl wk wl vile one vile one " * 50]
+    model = toxicity.built(toxicity.all_counts(spark.createDataFrame(rows, "text string, label int")))
+    assert (model.rest is not None) == (most == 5)
+    frame = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(3)
+    found = sorted(toxicity.score(frame, model).collect())
+    expected = toxicity_brute_force(rows, asked, toxicity.DISCOUNT, toxicity.PAIR_DISCOUNT)
+    assert len({round(float(e[0]), 6) for e in expected}) > 6
+    assert [(r.whole, r.worst) for r in found] == [pytest.approx(e) for e in expected]
+
+
 def test_toxicity_counts_the_fold_too(spark):
     docs, labels = toxicity_rows(spark)
     more = [(300 + 4 * k, f"two{'abcdefgh'[k]} fold") for k in range(8)]  # in the fold only
