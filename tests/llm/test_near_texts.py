@@ -152,3 +152,62 @@ def test_texts_of_one_first_word_keep_their_own_links(spark, monkeypatch):
     monkeypatch.setattr(module, "layout", lambda classes: (1, 1))
     found = {r.doc_id: r.component_id for r in near_texts(documents(spark, rows)).collect()}
     assert found == {1: 1, 2: 2, 3: 2}
+
+
+def counted_pairs(module, monkeypatch):
+    """The numbers of pairs that are compared, filled as they are."""
+    counts, told = [], module.told
+
+    def counting(pairs, *args):
+        counts.append(pairs.count())
+        return told(pairs, *args)
+
+    monkeypatch.setattr(module, "told", counting)
+    return counts
+
+
+def test_texts_that_share_a_passage_are_few_pairs(spark, monkeypatch):
+    """Texts of one long passage and words of their own meet nearly never, and near copies among them are linked."""
+    from slopeworks.llm import near_texts as module
+
+    counts = counted_pairs(module, monkeypatch)
+    rng = random.Random(4)
+    passage = " ".join(f"p{rng.randrange(5000)}" for _ in range(120))
+    rows = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(40)) + " " + passage) for k in range(400)]
+    rows += [(1000 + k, with_words(rows[k][1], [20])) for k in range(0, 400, 20)]
+    found = {r.doc_id: r.component_id for r in near_texts(documents(spark, rows)).collect()}
+    assert found == {i: i % 1000 for i, _ in rows}
+    assert sum(counts) < 2000
+
+
+def test_every_pair_alike_is_met(spark):
+    """Pairs of just 0.8: some would be lost by meeting at random."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        own = [f"w{rng.randrange(100_000)}" for _ in range(4 + 45 + k % 3)]
+        # One word replaced: five of 45 shingles in each.
+        rows += [(k, " ".join(own)), (1000 + k, with_words(" ".join(own), [10 + k % 20]))]
+    sets = {i: shingles(text) for i, text in rows}
+    assert all(0.8 <= similarity(sets[k], sets[1000 + k]) < 0.82 for k in range(300))
+    found = {r.doc_id: r.component_id for r in near_texts(documents(spark, rows)).collect()}
+    assert found == {i: i % 1000 for i, _ in rows}
+
+
+def test_short_texts_are_verified_on_their_shingles(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(100):
+        own = [f"w{rng.randrange(100_000)}" for _ in range(9)]
+        rows += [(k, " ".join(own)), (1000 + k, " ".join(own[:-1]))]  # five shingles, four of them
+    found = {r.doc_id: r.component_id for r in near_texts(documents(spark, rows)).collect()}
+    assert found == {i: i % 1000 for i, _ in rows}
+
+
+def test_any_order_of_shingles_gives_the_same(spark, monkeypatch):
+    from slopeworks.llm import near_texts as module
+
+    rows = [(k, text) for k, (_, text) in enumerate(messy())]
+    expected = sorted(map(tuple, near_texts(documents(spark, rows)).collect()))
+    monkeypatch.setattr(module, "MAX_COMMON", 3)
+    assert sorted(map(tuple, near_texts(documents(spark, rows)).collect())) == expected
